@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.llm.confusables import consistent_names, lookalike_table, name_forms
+from almanac.llm.residue import residue_values, templates, without_residue
 from almanac.session import table
 
 
@@ -29,5 +30,32 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     ).where("originals > 1")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+RESIDUE_FIELDS = ["file_path", "error", "file_type"]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "fetch_results").select("result_id", "key", *RESIDUE_FIELDS)
+    return residue_values(df, "result_id", RESIDUE_FIELDS, "key").select("result_id", "field")
+
+
+def p2_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Recurring templates with their verdicts, rows and sources."""
+    df = table(spark, sf, "fetch_results").select("result_id", "key", *RESIDUE_FIELDS)
+    return templates(df, RESIDUE_FIELDS, "key", id_col="result_id").where("widely").select("field", "template", "n_rows", "n_sources", "verdict")
+
+
+def p2_run_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Per run: results, and file paths, errors and file types that are real content."""
+    df = table(spark, sf, "fetch_results").select("result_id", "run_id", "key", *RESIDUE_FIELDS).distinct()
+    clean = without_residue(df, "result_id", RESIDUE_FIELDS, "key")
+    return clean.groupBy("run_id").agg(F.count("*").alias("results"), *[F.count(f).alias(f"with_{f}") for f in RESIDUE_FIELDS])
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_templates": p2_templates,
+    "p2_run_stats": p2_run_stats,
+}
 ORACLE: dict[str, str] = {}
