@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.llm.canonical import bounded_entries, map_to_list
 from almanac.llm.confusables import consistent_names, lookalike_table, name_forms
 from almanac.llm.residue import residue_values, templates, without_residue
 from almanac.session import table
@@ -51,11 +52,32 @@ def p2_run_stats(spark: SparkSession, sf: str) -> DataFrame:
     return clean.groupBy("run_id").agg(F.count("*").alias("results"), *[F.count(f).alias(f"with_{f}") for f in RESIDUE_FIELDS])
 
 
+def _mapped_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [
+        table(spark, sf, t).select(F.lit(t).alias("table_name"), "row_id", "display_name") for t in ("report_long", "contacts")
+    ]
+    refs = table(spark, sf, "parish_names")
+    names = refs.select(F.col("canonical_name").alias("display_name"))
+    typed = rows[0].unionByName(rows[1]).join(names, "display_name", "left_anti")
+    return map_to_list(typed, "display_name", bounded_entries(refs, "ref_id", "canonical_name"), lookalike_table(spark))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped_names(spark, sf).select("table_name", "row_id", "ref_id")
+
+
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that mean no entry, or none decidedly, with the rows that have them."""
+    return _mapped_names(spark, sf).where("ref_id = 0").groupBy("display_name", "nearest").agg(F.count("*").alias("n_rows"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_templates": p2_templates,
     "p2_run_stats": p2_run_stats,
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
 }
 ORACLE: dict[str, str] = {}
