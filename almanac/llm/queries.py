@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.canonical import bounded_entries, map_to_list
 from almanac.llm.confusables import consistent_names, lookalike_table, name_forms
+from almanac.llm.leaks import bounded_items, decontaminated, leaked
 from almanac.llm.residue import residue_values, templates, without_residue
 from almanac.session import table
 
@@ -71,6 +72,25 @@ def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped_names(spark, sf).where("ref_id = 0").groupBy("display_name", "nearest").agg(F.count("*").alias("n_rows"))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    items = bounded_items(table(spark, sf, "eval_items"), "item_id", "text")
+    return leaked(table(spark, sf, "documents"), "doc_id", "text", items, lookalike_table(spark))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that leaked, with the documents that have them and the longest passage."""
+    return _leaks(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("longest").alias("longest"))
+
+
+def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    items = bounded_items(table(spark, sf, "eval_items"), "item_id", "text")
+    return decontaminated(table(spark, sf, "documents"), "doc_id", "text", items, lookalike_table(spark))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -79,5 +99,8 @@ QUERIES = {
     "p2_run_stats": p2_run_stats,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p6_cleaned": p6_cleaned,
 }
 ORACLE: dict[str, str] = {}
