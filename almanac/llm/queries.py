@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from almanac.llm.canonical import bounded_entries, map_to_list
 from almanac.llm.confusables import consistent_names, lookalike_table, name_forms
 from almanac.llm.leaks import bounded_items, decontaminated, leaked
+from almanac.llm.mixing import mix
 from almanac.llm.residue import residue_values, templates, without_residue
+from almanac.llm.splitting import bounded_profiles, split_texts
+from almanac.llm.tokens import ByteTokenizer
 from almanac.session import table
 
 
@@ -91,6 +94,25 @@ def p6_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminated(table(spark, sf, "documents"), "doc_id", "text", items, lookalike_table(spark))
 
 
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), ByteTokenizer())[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), ByteTokenizer())[1]
+
+
+def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return split_texts(table(spark, sf, "documents"), "doc_id", "text", bounded_profiles(table(spark, sf, "split_limits")), ByteTokenizer())
+
+
+def p8_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Per profile and kind of boundary: pieces that end there, their mean and greatest size."""
+    return p8_pieces(spark, sf).groupBy("profile", "cut").agg(
+        F.count("*").alias("pieces"), F.avg("tokens").alias("mean_tokens"), F.max("tokens").alias("most_tokens")
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -102,5 +124,9 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p6_cleaned": p6_cleaned,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
+    "p8_pieces": p8_pieces,
+    "p8_cuts": p8_cuts,
 }
 ORACLE: dict[str, str] = {}
