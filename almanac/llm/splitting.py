@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from almanac.llm.tokens import ByteTokenizer
 
-TOKEN, CHAR_WORD, SENTENCE, LINE, PARAGRAPH = range(5)
-KINDS = ("token", "word", "sentence", "line", "paragraph")
-#: Boundaries in UTF-8: after blank lines, after a line's end, after a sentence's end.
-_CUT = re.compile(rb"(\n[ \t\r\f\v]*\n\s*)|(\r?\n)|([.!?]+(?:\xe2\x80[\x99\x9d]|[\"')\]])*(?=[ \t]))|(\xe2\x80\xa6(?=[ \t]))")
+TOKEN, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
+KINDS = ("token", "word", "clause", "sentence", "line", "paragraph")
 _BITS = 24
+_BLANK, _STOP, _COMMA, _CLOSE = 1, 2, 4, 8
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[[ord(c) for c in ".!?"]] = _STOP
+_CLASS[[ord(c) for c in ",;:"]] = _COMMA
+_CLASS[[ord(c) for c in "\"')]"]] = _CLOSE
 
 
 def merge(sizes: list[int], strengths: list[int], limit: int) -> list[int]:
@@ -60,78 +64,163 @@ def merge(sizes: list[int], strengths: list[int], limit: int) -> list[int]:
     return [i for i in range(n - 1) if stay[i]]
 
 
-def boundaries(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural boundaries as token indices (ascending, inside the text) with their strengths."""
-    at, kind = [], []
-    for m in _CUT.finditer(data):
-        at.append(m.end())
-        kind.append(PARAGRAPH if m.lastindex == 1 else LINE if m.lastindex == 2 else SENTENCE)
-    if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pos = np.searchsorted(starts, np.array(at))
-    strength = np.array(kind)
-    inside = pos < len(starts)
+def boundaries(raw: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int]]:
+    """Natural boundaries as token indices (ascending, inside the text) with their strengths.
+
+    In the text's UTF-8: after the last of several line ends with only blanks between them (paragraph), after a
+    line's end, after a stop and closing marks before a blank (sentence), after a comma, colon or semicolon
+    before a blank (clause). Where a boundary isn't a token's beginning the next one counts.
+    """
+    kind = _CLASS[raw]
+    blank = kind == _BLANK
+    solid = np.cumsum(~blank)
+    lines = np.flatnonzero(raw == 10)
+    level = np.full(len(lines), LINE)
+    if len(lines) > 1:
+        same = solid[lines[1:]] == solid[lines[:-1]]
+        last = np.append(~same, True)
+        level[1:][same] = PARAGRAPH
+        lines_end, level = lines[last], level[last]
+    else:
+        lines_end = lines
+    before = np.flatnonzero(blank[1:] & ~blank[:-1])
+    end = before.copy()
+    for _ in range(2):  # closing marks after a stop: of one byte, or a quotation mark of three
+        one = (kind[end] == _CLOSE) & (end > 0)
+        three = ((raw[end] == 0x99) | (raw[end] == 0x9D)) & (end > 2)
+        three[three] = (raw[end[three] - 1] == 0x80) & (raw[end[three] - 2] == 0xE2)
+        end = end - one - 3 * three
+    dots = (raw[end] == 0xA6) & (end > 1)
+    dots[dots] = (raw[end[dots] - 1] == 0x80) & (raw[end[dots] - 2] == 0xE2)
+    stop = (kind[end] == _STOP) | dots
+    comma = kind[before] == _COMMA
+    some = stop | comma
+    at, strength = before[some] + 1, np.where(stop[some], SENTENCE, CLAUSE)
+    if len(lines) and len(at):  # not where only blanks come before the line's end
+        k = np.searchsorted(lines, at)
+        own = (k == len(lines)) | (solid[lines[np.minimum(k, len(lines) - 1)]] > solid[at])
+        at, strength = at[own], strength[own]
+    at, strength = np.concatenate([at, lines_end + 1]), np.concatenate([strength, level])
+    order = np.argsort(at, kind="stable")
+    pos, strength = np.searchsorted(starts, at[order]), strength[order]
+    inside = (pos < len(starts)) & (pos > 0)
     pos, strength = pos[inside], strength[inside]
     if len(pos) > 1 and (pos[1:] == pos[:-1]).any():
-        keep, first = np.unique(pos, return_index=True)
-        pos, strength = keep, np.maximum.reduceat(strength, first)
-    return pos, strength
+        pos, first = np.unique(pos, return_index=True)
+        strength = np.maximum.reduceat(strength, first)
+    return pos.tolist(), strength.tolist()
 
 
-def _atoms(total: int, pos: np.ndarray, strength: np.ndarray, limit: int, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut positions and strengths from which merging starts.
+class _Cutter:
+    """Cut positions from which merging starts.
 
     A run between stronger boundaries that fits as a whole would be merged whole whatever the order, so
-    its weaker boundaries are left out at once; a sentence above the limit is cut at words, a word at tokens
-    that begin a character.
+    its weaker boundaries are left out at once. A clause above the limit is cut at words; a word above it between
+    tokens that begin a character, in atoms of an eighth of the limit.
     """
-    edges, kinds = np.array([0, total]), np.array([PARAGRAPH, PARAGRAPH])
-    for level in (PARAGRAPH, LINE, SENTENCE, CHAR_WORD, TOKEN):
-        big = np.flatnonzero(np.diff(edges) > limit)
-        if not len(big):
-            break
-        if level > CHAR_WORD:
-            own = pos[strength == level]
-        else:
-            first = data[starts]
-            own = np.flatnonzero((first == 32) | (first == 10) | (first == 9)) if level == CHAR_WORD else np.flatnonzero((first & 0xC0) != 0x80)
-        slot = np.searchsorted(edges, own, side="right") - 1
-        own = own[np.isin(slot, big) & (own > 0)]
-        own = own[~np.isin(own, edges)]
-        edges = np.concatenate([edges, own])
-        kinds = np.concatenate([kinds, np.full(len(own), level)])
-        order = np.argsort(edges, kind="stable")
-        edges, kinds = edges[order], kinds[order]
-    return edges, kinds
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, pos: list[int], strength: list[int]):
+        self.raw, self.starts, self.pos, self.strength = raw, starts, pos, strength
+        self._words: list[int] | None = None
+        self._chars: list[int] | None = None
+
+    def atoms(self, a: int, b: int, limit: int) -> tuple[list[int], list[int]]:
+        """Edges, the tokens ``a`` and ``b`` included, and the strengths of those between."""
+        self.limit, self.edges, self.kinds = limit, [a], []
+        self._cut(a, b, bisect_right(self.pos, a), bisect_left(self.pos, b), PARAGRAPH)
+        return [*self.edges, b], self.kinds
+
+    def _add(self, at: int, kind: int) -> None:
+        self.edges.append(at)
+        self.kinds.append(kind)
+
+    def _cut(self, a: int, b: int, lo: int, hi: int, level: int) -> None:
+        if b - a <= self.limit:
+            return
+        pos, strength = self.pos, self.strength
+        while level >= CLAUSE:
+            here = [j for j in range(lo, hi) if strength[j] == level]
+            if here:
+                for j in here:
+                    self._cut(a, pos[j], lo, j, level - 1)
+                    self._add(pos[j], level)
+                    a, lo = pos[j], j + 1
+                self._cut(a, b, lo, hi, level - 1)
+                return
+            level -= 1
+        if self._words is None:
+            first = _CLASS[self.raw[self.starts]]
+            self._words = np.flatnonzero(first == _BLANK).tolist()
+        for w in self._words[bisect_right(self._words, a) : bisect_left(self._words, b)]:
+            self._tokens(a, w)
+            self._add(w, WORD)
+            a = w
+        self._tokens(a, b)
+
+    def _tokens(self, a: int, b: int) -> None:
+        if b - a <= self.limit:
+            return
+        if self._chars is None:
+            self._chars = np.flatnonzero((self.raw[self.starts] & 0xC0) != 0x80).tolist()
+        step, last = max(1, self.limit // 8), a
+        for c in self._chars[bisect_right(self._chars, a) : bisect_left(self._chars, b)]:
+            if c - last >= step:
+                self._add(c, TOKEN)
+                last = c
+
+
+COLUMNS = ("profile", "piece", "first_token", "end_token", "tokens", "overlap", "cut", "text")
 
 
 class Splitter:
+    """Splits many texts at a time: what can be found for all their bytes or tokens at once is."""
+
     def __init__(self, tokenizer: ByteTokenizer):
         self.tokenizer = tokenizer
 
-    def pieces(self, text: str, profiles: list[tuple[str, int, int]]) -> Iterator[tuple]:
-        """``profile, piece, first, end, overlap, kind, text`` of every profile that the text exceeds; first and end count tokens."""
-        data = text.encode("utf-8", "surrogatepass")
-        if len(data) <= min(m for _, m, _ in profiles):
-            return
-        ends = self.tokenizer.ends(text)
-        total = len(ends)
-        todo = [p for p in profiles if total > p[1]]
-        if not todo:
-            return
-        starts = np.concatenate([[0], ends[:-1]])
-        raw = np.frombuffer(data, np.uint8)
-        pos, strength = boundaries(data, starts)
-        for profile, most, overlap in todo:
-            edges, kinds = _atoms(total, pos, strength, most - overlap, raw, starts)
-            kept = merge(np.diff(edges).tolist(), kinds[1:-1].tolist(), most - overlap)
-            cuts = [0, *edges[1:-1][kept].tolist(), total]
-            kind = [KINDS[k] for k in kinds[1:-1][kept].tolist()] + ["end"]
-            for i in range(len(cuts) - 1):
-                a = max(0, cuts[i] - overlap) if i else 0
-                while a < cuts[i] and raw[starts[a]] & 0xC0 == 0x80:
-                    a += 1
-                yield profile, i, a, cuts[i + 1], cuts[i] - a, kind[i], data[starts[a] : ends[cuts[i + 1] - 1]].decode("utf-8", "replace")
+    def split(self, texts: list[str], profiles: list[tuple[str, int, int]]) -> tuple[np.ndarray, list]:
+        """Index of the text and the ``COLUMNS`` of each piece. The texts lie in one buffer, with a byte between them that is no token."""
+        texts_b = [t.encode("utf-8", "surrogatepass") for t in texts]
+        sizes = [self.tokenizer.sizes(t) for t in texts]
+        buffer = b"\0".join(texts_b)
+        raw = np.frombuffer(buffer, np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).astype(np.int64)
+        size = np.concatenate(sizes)
+        ends = np.cumsum(size) + np.repeat(np.arange(len(texts)), np.diff(first))
+        starts = ends - size
+        cutter = _Cutter(raw, starts, *boundaries(raw, starts))
+        bounds = first.tolist()
+        rows: list[list] = [[], [], [], [], [], [], []]
+        text_of, profile_of, piece_of, own_of, end_of, begin_of, kind_of = rows
+        for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            for profile, most, overlap in profiles:
+                if b - a <= most:
+                    continue
+                edges, kinds = cutter.atoms(a, b, most - overlap)
+                kept = merge([y - x for x, y in zip(edges, edges[1:], strict=False)], kinds, most - overlap)
+                n = len(kept) + 1
+                cuts = [edges[i + 1] for i in kept]
+                text_of += [d] * n
+                profile_of += [profile] * n
+                piece_of += range(n)
+                own_of += [a, *cuts]
+                end_of += [*cuts, b]
+                begin_of += [a, *[max(a, c - overlap) for c in cuts]]
+                kind_of += [*[KINDS[kinds[i]] for i in kept], "end"]
+        if not text_of:
+            return np.empty(0, np.int64), [[] for _ in COLUMNS]
+        text, own, end, begin = (np.array(x, np.int64) for x in (text_of, own_of, end_of, begin_of))
+        while (inner := (raw[starts[begin]] & 0xC0 == 0x80) & (begin < own)).any():
+            begin += inner
+        at = zip(starts[begin].tolist(), ends[end - 1].tolist(), strict=True)
+        return text, [
+            profile_of, piece_of, begin - first[text], end - first[text], end - begin, own - begin, kind_of, [buffer[x:y] for x, y in at],
+        ]
+
+    def pieces(self, text: str, profiles: list[tuple[str, int, int]]) -> list[tuple]:
+        """The rows of one text."""
+        cols = self.split([text], profiles)[1]
+        return [(*r[:-1], r[-1].decode("utf-8", "replace")) for r in zip(*[c.tolist() if isinstance(c, np.ndarray) else c for c in cols], strict=True)]
 
 
 def bounded_profiles(limits: DataFrame, limit: int = 1000) -> list[tuple[str, int, int]]:
@@ -157,25 +246,31 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, profiles: list[tupl
     Scale: one pass without a shuffle, each text tokenized once for all profiles. A text of n tokens takes O(n log n).
     """
     splitter = Splitter(tokenizer)
-    names = ["id", "profile", "piece", "first_token", "end_token", "tokens", "overlap", "cut", "text"]
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+    kinds = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.string()]
+    schema = pa.schema([("id", pa.int64()), *zip(COLUMNS, kinds, strict=True)])
+    least = min((m for _, m, _ in profiles), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
+            ids, texts, size = [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for profile, k, a, b, shared, kind, piece in splitter.pieces(text, profiles):
-                    rows.append((i, profile, k, a, b, b - a, shared, kind, piece))
-                    size += len(piece)
-                if size > 1 << 22:
-                    yield flush(rows)
-                    rows, size = [], 0
-            if rows:
-                yield flush(rows)
+                if len(text) * 4 <= least:  # no more bytes than tokens allowed
+                    continue
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+                if size > 1 << 20:
+                    yield made(ids, texts)
+                    ids, texts, size = [], [], 0
+            if texts:
+                yield made(ids, texts)
+
+    def made(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        of, cols = splitter.split(texts, profiles)
+        arrays = [pa.array(np.array(ids, np.int64)[of])]
+        for c, t in zip(cols, kinds, strict=True):
+            arrays.append(pa.array(c, pa.binary()).cast(pa.string()) if c is cols[-1] else pa.array(c, t))
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not profiles:

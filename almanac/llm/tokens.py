@@ -41,10 +41,10 @@ class ByteTokenizer:
     def encode(self, text: str) -> list[int]:
         return self._load()[0].encode_ordinary(text)
 
-    def ends(self, text: str) -> np.ndarray:
-        """Byte offset in UTF-8 of each token's end."""
+    def sizes(self, text: str) -> np.ndarray:
+        """Bytes of each token."""
         enc, lens = self._load()
-        return np.cumsum(lens[np.array(enc.encode_ordinary(text), np.int64)])
+        return lens[np.array(enc.encode_ordinary(text), np.int64)]
 
 
 def token_counts(docs: DataFrame, keep: list[str], text_col: str, tokenizer: ByteTokenizer) -> DataFrame:
