@@ -94,7 +94,7 @@ def reliability(keys: DataFrame, results: DataFrame, failures: DataFrame) -> Dat
     seen = results.groupBy("key").agg(F.avg((F.col("status") == "ok").cast("double")).alias("_rate"), F.max(F.when(F.col("status") == "ok", F.col("fetched_at"))).alias("_last"))
     fails = failures.groupBy("key").agg(F.max_by("failures", F.struct("as_of", "row_id")).alias("_f"))
     j = keys.join(seen, "key", "left").join(fails, "key", "left")
-    rate = F.coalesce(F.least(F.greatest(F.col("_rate"), F.lit(0.0)), F.lit(1.0)), F.when(F.col("_f") <= 0, 1.0).when(F.col("_f") <= 2, 0.5).when(F.col("_f").isNotNull(), 0.0))
+    rate = F.coalesce(F.col("_rate"), F.when(F.col("_f") <= 0, 1.0).when(F.col("_f") <= 2, 0.5).when(F.col("_f").isNotNull(), 0.0))
     return j.select("key", rate.alias("success_rate"), P.tier(rate, F.col("_f")).alias("tier"), F.left(F.col("_last").cast("string"), F.lit(10)).alias("last_success"))
 
 

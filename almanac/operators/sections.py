@@ -94,8 +94,8 @@ def with_gotos(clicks: DataFrame, chain: str = "chain", seq: str = "seq") -> Dat
     """Recorded clicks with a step to go to the page before each click on another page than the one before: ``chain, step, action, url``."""
     w = Window.partitionBy(chain).orderBy(seq)
     moved = ~F.col("url").eqNullSafe(F.lag("url").over(w)) & F.col("url").isNotNull()
-    steps = F.filter(F.array(F.when(moved, F.lit("goto")), F.lit("click")), lambda a: a.isNotNull())
-    out = clicks.select(chain, seq, "url", F.posexplode(steps).alias("_k", "action"))
+    steps = F.filter(F.array(F.when(F.col("_moved"), F.lit("goto")), F.lit("click")), lambda a: a.isNotNull())
+    out = clicks.withColumn("_moved", moved).select(chain, seq, "url", F.posexplode(steps).alias("_k", "action"))
     return out.withColumn("step", F.row_number().over(Window.partitionBy(chain).orderBy(seq, "_k"))).select(chain, "step", "action", "url")
 
 
