@@ -27,18 +27,25 @@ GRACE_DAYS = 8
 
 
 def valid_date(y: Column, m: Column, d: Column) -> Column:
-    """Null instead of an error for days that don't exist."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
+    """Null instead of an error for days that don't exist. The cast reads the parts without a formatter, whose failures are dear."""
+    return F.concat(y.cast("string"), F.lit("-"), m.cast("string"), F.lit("-"), d.cast("string")).try_cast("date")
 
 
 def _group(text: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
 
-def _first(text: Column, pattern: str, y: int, m: int, d: int, century: bool = False) -> Column:
-    """The first hit only; if it's no date, none."""
-    year = _group(text, pattern, y)
-    return valid_date(F.concat(F.lit("20"), year) if century else year, _group(text, pattern, m), _group(text, pattern, d))
+def _first(text: Column, pattern: str, order: str, sep: int = 0) -> Column:
+    """The first hit only; if it's no date, none. ``order`` has a letter per digit, ``sep`` the letters between parts: one match, then cuts."""
+    hit = _group(text, pattern, 0)
+
+    def cut(letter: str) -> Column:
+        at = order.index(letter)
+        parts_before = len({c for c in order[:at]})
+        return F.substring(hit, at + 1 + parts_before * sep, order.count(letter))
+
+    year = cut("y")
+    return valid_date(F.concat(F.lit("20"), year) if order.count("y") == 2 else year, cut("m"), cut("d"))
 
 
 def _any(text: Column, pattern: str, y: int, m: int, d: int, two_digit: bool = False) -> Column:
@@ -57,8 +64,7 @@ def _any(text: Column, pattern: str, y: int, m: int, d: int, two_digit: bool = F
 def date_in_text(text: Column) -> Column:
     """Strict order: dashed, eight digits (year first, then day first), six digits, dotted year first; the first hit of each."""
     return F.coalesce(
-        _first(text, ISO, 1, 2, 3), _first(text, YMD8, 1, 2, 3), _first(text, DMY8, 3, 2, 1),
-        _first(text, DMY6, 3, 2, 1, True), _first(text, DOTTED, 1, 2, 3, True),
+        _first(text, ISO, "yyyymmdd", 1), _first(text, YMD8, "yyyymmdd"), _first(text, DMY8, "ddmmyyyy"), _first(text, DMY6, "ddmmyy"), _first(text, DOTTED, "yymmdd", 1)
     )
 
 
@@ -69,8 +75,8 @@ def month_number(name: Column) -> Column:
 
 def date_in_slug(text: Column) -> Column:
     """Day, month name and year, as in ``5th-april-2026`` or ``5_april_2026``."""
-    month = month_number(F.regexp_extract(text, SLUG, 2))
-    return F.when(month.isNotNull(), valid_date(_group(text, SLUG, 3), month, _group(text, SLUG, 1)))
+    hit = _group(text, SLUG, 0)
+    return valid_date(F.right(hit, F.lit(4)), month_number(F.regexp_extract(hit, SLUG, 2)), F.regexp_extract(hit, r"^\d+", 0))
 
 
 def bulletin_date(text: Column) -> Column:
@@ -136,7 +142,7 @@ def dotted(d: Column) -> Column:
 
 
 def dotted_date(text: Column) -> Column:
-    return _first(text, DOTTED, 1, 2, 3, True)
+    return _first(text, DOTTED, "yymmdd", 1)
 
 
 def target_sunday(d: Column) -> Column:

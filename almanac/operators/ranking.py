@@ -25,13 +25,12 @@ def scored_candidates(links: DataFrame, target: Column) -> DataFrame:
 
     ``links``: ``page, idx, href, text``.
     """
-    blob = _blob("href", "text")
-    d = D.candidate_date(blob)
+    d = F.col("day")
     week = F.coalesce(D.in_week(d, target), F.lit(False))
-    return links.withColumns({
-        "token": _has_token(blob, D.page_tokens(target)).cast("int"), "in_week": week.cast("int"),
-        "not_stale": (d.isNull() | week).cast("int"), "day": d,
-    })
+    dated = links.withColumn("_blob", _blob("href", "text")).withColumn("day", D.candidate_date(F.col("_blob")))
+    return dated.withColumns({
+        "token": _has_token(F.col("_blob"), D.page_tokens(target)).cast("int"), "in_week": week.cast("int"), "not_stale": (d.isNull() | week).cast("int"),
+    }).drop("_blob")
 
 
 def best_candidate(links: DataFrame, target: Column) -> DataFrame:
@@ -42,12 +41,13 @@ def best_candidate(links: DataFrame, target: Column) -> DataFrame:
 
 def best_listing_link(links: DataFrame, target: Column) -> DataFrame:
     """The best link of a listing page; none if even the best says nothing for the target or is known to be old."""
-    blob = _blob("href", "text")
-    d = D.date_in_text(blob)
+    d = F.col("_d")
     week = F.coalesce(D.in_week(d, target), F.lit(False))
-    scored = links.where(~F.trim("href").rlike("^(?:javascript:|mailto:|#)") & (F.trim("href") != "")).withColumns({
-        "token": _has_token(blob, D.link_tokens(target)).cast("int"), "in_week": week.cast("int"), "not_stale": (d.isNull() | week).cast("int"),
-    })
+    real = links.where(~F.trim("href").rlike("^(?:javascript:|mailto:|#)") & (F.trim("href") != ""))
+    dated = real.withColumn("_blob", _blob("href", "text")).withColumn("_d", D.date_in_text(F.col("_blob")))
+    scored = dated.withColumns({
+        "token": _has_token(F.col("_blob"), D.link_tokens(target)).cast("int"), "in_week": week.cast("int"), "not_stale": (d.isNull() | week).cast("int"),
+    }).drop("_blob", "_d")
     best = first_rows(scored, ["page"], [F.desc("token"), F.desc("in_week"), F.desc("not_stale"), F.col("idx")])
     return best.where("token + in_week + not_stale > 0")
 
@@ -75,9 +75,8 @@ def best_document(links: DataFrame) -> DataFrame:
 
 def ranked_links(links: DataFrame, pins: DataFrame | None = None, n: int = 4) -> DataFrame:
     """The best link of each page and its alternatives: rejected ones last, then pinned, fully dated, dated, points. Adds ``rank``."""
-    d = D.partial_date(F.concat_ws(" ", "href", "text"))
-    p = X.phrase_points(F.col("href"), F.col("text"))
-    j = links
+    d, p = F.col("_d"), F.col("_p")
+    j = links.withColumn("_d", D.partial_date(F.concat_ws(" ", "href", "text"))).withColumn("_p", X.phrase_points(F.col("href"), F.col("text")))
     if pins is not None:
         j = j.join(pins.select("page", F.lower("text").alias("_pin")), "page", "left")
     pinned = F.coalesce(F.contains(_blob("href", "text"), F.col("_pin")), F.lit(False)) if pins is not None else F.lit(False)
@@ -86,7 +85,7 @@ def ranked_links(links: DataFrame, pins: DataFrame | None = None, n: int = 4) ->
     j = j.withColumns({
         "rejected": (p["penalty"] >= 120) & (p["bonus"] < 40), "pinned": pinned, "full_date": full, "dated": d.isNotNull(),
         "date_score": score, "points": score.cast("long") * 100 + p["bonus"] - p["penalty"] + F.when(pinned, 200).otherwise(0) + F.col("idx"),
-    }).drop("_pin")
+    }).drop("_pin", "_d", "_p")
     order = [
         F.col("rejected"), F.desc("pinned"), F.desc("full_date"), F.desc("dated"), F.desc(F.when(F.col("dated"), F.col("date_score"))),
         F.desc("points"), F.col("idx"),
@@ -98,10 +97,11 @@ def ranked_links(links: DataFrame, pins: DataFrame | None = None, n: int = 4) ->
 
 def date_first(links: DataFrame) -> DataFrame:
     """Full dates newest first, then partial dates, then the later place on the page."""
-    d = D.partial_date(F.concat_ws(" ", "href", "text"))
+    d = F.col("_d")
     full = F.coalesce((d["month"] > 0) & (d["day"] > 0), F.lit(False))
     order = [F.desc("full_date"), F.desc("dated"), F.desc(F.when(F.col("dated"), F.col("date_score"))), F.desc("idx")]
-    return first_rows(links.withColumns({"full_date": full, "dated": d.isNotNull(), "date_score": D.date_score(d)}), ["page"], order)
+    dated = links.withColumn("_d", D.partial_date(F.concat_ws(" ", "href", "text")))
+    return first_rows(dated.withColumns({"full_date": full, "dated": d.isNotNull(), "date_score": D.date_score(d)}).drop("_d"), ["page"], order)
 
 
 def stale_pages(links: DataFrame, target: Column) -> DataFrame:
