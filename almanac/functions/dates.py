@@ -170,9 +170,8 @@ def in_week(d: Column, target: Column) -> Column:
     return d.between(F.date_sub(target, 6), target)
 
 
-def freshness(text: Column, target: Column) -> Column:
-    """``struct<status, reason, date, days>``: fresh within the week or the days of grace, stale beyond, unknown without a date."""
-    d = bulletin_date(F.coalesce(text, F.lit("")))
+def freshness(d: Column, target: Column) -> Column:
+    """``struct<status, reason, date, days>`` of an edition's date: fresh within the week or the days of grace, stale beyond, unknown without a date."""
     days = F.datediff(d, target)
     reason = (
         F.when(d.isNull(), "no_date_in_url").when(in_week(d, target), "in_bulletin_week").when(F.abs(days) <= GRACE_DAYS, "within_grace_days")

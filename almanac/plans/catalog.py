@@ -351,7 +351,7 @@ FRESH = f"(SELECT url, {BULLETIN_SQL} AS d, DATE '{TARGET}' AS t FROM {URLS})"
  CASE WHEN d IS NULL THEN 'no_date_in_url' WHEN d BETWEEN t - 6 AND t THEN 'in_bulletin_week' WHEN abs(d - t) <= 8 THEN 'within_grace_days' WHEN d > t THEN 'date_ahead_of_target' ELSE 'date_behind_of_target' END AS reason,
  d AS "date", CAST(d - t AS INTEGER) AS days FROM {FRESH}""")
 def freshness_verdict(spark, sf):
-    return _urls(spark, sf).withColumn("v", D.freshness(F.col("url"), target())).select("url", "v.*")
+    return _urls(spark, sf).withColumn("d", D.bulletin_date(F.col("url"))).withColumn("v", D.freshness(F.col("d"), target())).select("url", "v.*")
 
 
 _LOG_YMD = G[0] + "(20[0-9]{2})[-_/](0?[1-9]|1[0-2])[-_/](0?[1-9]|[12][0-9]|3[01])" + G[1]
