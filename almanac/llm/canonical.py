@@ -122,6 +122,7 @@ class Trie:
                     spelt.append(p[0] + p[m.end() :])
                 for x in spelt:
                     paths.setdefault(x, set()).add(ref)
+        self.longest = max(map(len, paths), default=0)
         for p, refs in paths.items():
             node = self.root
             for c in p:
@@ -136,6 +137,8 @@ class Trie:
         text may also break off up to so many letters before the end of a path.
         """
         m = len(text)
+        if m > self.longest + most:
+            return {}
         full, goal = (1 << (m + 1)) - 1, 1 << m
         masks: dict[str, int] = {}
         for i, c in enumerate(text):
@@ -234,8 +237,9 @@ def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], tabl
     before any Python runs), then joined back to their rows.
 
     Defined cases: null and blank texts (also of other blanks) come out nowhere; texts equally near to two
-    entries, or near to none, get 0; an empty list gives 0 everywhere; very long texts cost one pass over the
-    part of the trie that is near their beginning and get 0; repeated rows each come out; other columns stay.
+    entries, or near to none, get 0; an empty list gives 0 everywhere; texts longer
+    than any path by more than the distance get 0 without a search; repeated rows each come out; columns that
+    already have the names of the three are replaced, others stay.
     """
     m = Matcher(entries, TextForm(table))
 
@@ -243,6 +247,7 @@ def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], tabl
     def match(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([m.best(x) for x in s], columns=["ref_id", "distance", "nearest"]).astype({"distance": "Int32"})
 
-    distinct = rows.select(F.col(text).alias("_t")).where(F.col("_t").rlike(r"(?U)[^\s]")).distinct()
-    mapped = distinct.withColumn("_m", match("_t")).select("_t", "_m.*")
-    return rows.join(mapped, rows[text] == mapped["_t"]).drop("_t")
+    distinct = rows.select(F.col(text).alias("__text")).where(F.col("__text").rlike(r"(?U)[^\s]")).distinct()
+    mapped = distinct.withColumn("__m", match("__text")).select("__text", "__m.*")
+    rows = rows.drop("ref_id", "distance", "nearest")
+    return rows.join(mapped, rows[text] == mapped["__text"]).drop("__text")

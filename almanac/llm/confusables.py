@@ -197,11 +197,13 @@ def name_forms(names: DataFrame, table: dict[int, str], text: str = "display_nam
 def consistent_names(rows: DataFrame, table: dict[int, str], text: str = "display_name") -> DataFrame:
     """``rows`` with ``<text>_form`` and ``<text>_disguised``; null texts keep null forms and are not disguised.
 
+    Columns that already have these two names are replaced, all others stay; repeated rows each come out.
+
     The rows meet their forms by an equi-join on the text, whose hot values adaptive execution splits; the
     side of the forms has one row per distinct text.
     """
-    forms = name_forms(rows, table, text).select(
-        F.col(text).alias("_t"), F.col("form").alias(f"{text}_form"), F.col("disguised").alias(f"{text}_disguised")
-    )
-    out = rows.join(forms, rows[text] == forms["_t"], "left").drop("_t")
-    return out.withColumn(f"{text}_disguised", F.coalesce(f"{text}_disguised", F.lit(False)))
+    own = [f"{text}_form", f"{text}_disguised"]
+    forms = name_forms(rows, table, text).select(F.col(text).alias("__text"), F.col("form").alias(own[0]), F.col("disguised").alias(own[1]))
+    rows = rows.drop(*own)
+    out = rows.join(forms, rows[text] == forms["__text"], "left").drop("__text")
+    return out.withColumn(own[1], F.coalesce(own[1], F.lit(False)))

@@ -51,7 +51,6 @@ FILLERS = (
     r"^x{2,}$|^[x ]{3,}$",
     r"lorem[ -]?ipsum",
     r"\bfoo bar\b",
-    r"^(?:(?:test|asdf|blah|qwerty|foo|bar|baz)[ .,]*){2,}$",
     r"\bdummy (?:content|text)\b",
     r"\bplaceholder text\b",
     r"^(?:sample|example) text\b",
@@ -62,6 +61,8 @@ FILLERS = (
     r"\bedit or delete (?:it|this)\b",
     r"^welcome to your new site\b",
 )
+#: Words that are typed for want of any; a text of two or more of them and nothing else is filler.
+JUNK_WORDS = ("test", "asdf", "blah", "qwerty", "foo", "bar", "baz")
 #: The words of filler text in a dead language; a text of two words or more, three fifths of them these, is filler.
 FILLER_WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim "
@@ -109,9 +110,9 @@ def masked(value: Column, source: Column | None = None) -> Column:
     if source is not None:
         k = F.lower(F.trim(source))
         v = F.when(F.length(k) > 3, F.replace(v, k, F.lit("key"))).otherwise(v)
-    v = F.regexp_replace(v, r"(?:https?://|www\.)[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:example|test|invalid|com|org|net|ie|uk)\b", ADDRESS)
+    v = F.regexp_replace(v, r"(?:https?://|www\.)[^\s\"'<>]+|(?<![a-z0-9-])[a-z0-9-]{1,63}+(?:\.[a-z0-9-]{1,63}+){0,8}?\.(?:example|test|invalid|com|org|net|ie|uk)\b", ADDRESS)
     v = F.regexp_replace(v, r"%(?:2[0-9a-f]|3[a-f]|[57][b-f]|c[23]%[0-9a-f]{2})", " ")
-    v = F.regexp_replace(v, r"[0-9]+(?:[.,:/-][0-9]+)*", NUMBER)
+    v = F.regexp_replace(F.regexp_replace(v, r"[0-9]+", NUMBER), r"0(?:[.,:/-]0)++", NUMBER)
     return F.trim(F.regexp_replace(v, r"\s+", " "))
 
 
@@ -126,7 +127,7 @@ def verdict(template: Column) -> Column:
         t = F.regexp_replace(t, pattern, by)
     words = F.filter(F.split(F.regexp_replace(t, r"[^a-z ]", ""), " "), lambda w: w != "")
     known = F.size(F.filter(words, lambda w: w.isin(FILLER_WORDS)))
-    dead = (F.size(words) >= 2) & (known * 5 >= F.size(words) * 3)
+    dead = (F.size(words) >= 2) & ((known * 5 >= F.size(words) * 3) | F.forall(words, lambda w: w.isin(*JUNK_WORDS)))
     return (
         F.when(_any(t, PLACEHOLDERS), F.lit("placeholder"))
         .when(_any(t, FILLERS) | dead, F.lit("filler"))
@@ -181,7 +182,7 @@ def residue_values(df: DataFrame, id_col: str, fields: list[str], source: str) -
 
 def without_residue(df: DataFrame, id_col: str, fields: list[str], source: str) -> DataFrame:
     """``df`` with residue values set to null, so that statistics do not count them. ``id_col`` must identify values."""
-    bad = residue_values(df, id_col, fields, source).groupBy(F.col(id_col).alias("_bad_id")).agg(F.collect_set("field").alias("_bad"))
-    joined = df.join(bad, df[id_col] == bad["_bad_id"], "left")
-    cleaned = {f: F.when(F.array_contains(F.coalesce("_bad", F.array().cast("array<string>")), f), F.lit(None)).otherwise(F.col(f)) for f in fields}
-    return joined.withColumns(cleaned).drop("_bad", "_bad_id")
+    bad = residue_values(df, id_col, fields, source).groupBy(F.col(id_col).alias("__bad_id")).agg(F.collect_set("field").alias("__bad"))
+    joined = df.join(bad, df[id_col] == bad["__bad_id"], "left")
+    cleaned = {f: F.when(F.array_contains(F.coalesce("__bad", F.array().cast("array<string>")), f), F.lit(None)).otherwise(F.col(f)) for f in fields}
+    return joined.withColumns(cleaned).drop("__bad", "__bad_id")
