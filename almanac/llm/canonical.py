@@ -206,7 +206,8 @@ class Matcher:
         """``ref`` (0: none, or not decided between equally near entries), the least distance, number of entries at it.
 
         The automaton is run for growing distances and stops at the first that reaches an entry. A text of
-        ``BROKEN_OFF`` letters or more that reaches none may be the beginning of a longer name.
+        ``BROKEN_OFF`` letters or more that reaches none may be the beginning of a name half as long again, if it
+        begins no other.
         """
         vs = self.variants(text)
         for most in range(max((allowed(len(v)) for v in vs), default=-1) + 1):
@@ -215,9 +216,9 @@ class Matcher:
                 return (near.pop() if len(near) == 1 else 0), most, len(near)
         for v in vs:
             if len(v) >= BROKEN_OFF:
-                near = self._trie.search(v, allowed(len(v)) - 1, len(v) // 2)
+                near = self._trie.search(v, allowed(len(v)) - 1, self._trie.longest)
                 least = [r for r, d in near.items() if d == min(near.values())]
-                if len(least) == 1:
+                if len(least) == 1 and least[0] in self._trie.search(v, allowed(len(v)) - 1, len(v) // 2):
                     return least[0], near[least[0]], 1
         return 0, None, 0
 
@@ -250,4 +251,4 @@ def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], tabl
     distinct = rows.select(F.col(text).alias("__text")).where(F.col("__text").rlike(r"(?U)[^\s]")).distinct()
     mapped = distinct.withColumn("__m", match("__text")).select("__text", "__m.*")
     rows = rows.drop("ref_id", "distance", "nearest")
-    return rows.join(mapped, rows[text] == mapped["__text"]).drop("__text")
+    return rows.join(mapped, rows[text] == mapped["__text"]).drop(mapped["__text"])

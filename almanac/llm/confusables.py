@@ -205,5 +205,5 @@ def consistent_names(rows: DataFrame, table: dict[int, str], text: str = "displa
     own = [f"{text}_form", f"{text}_disguised"]
     forms = name_forms(rows, table, text).select(F.col(text).alias("__text"), F.col("form").alias(own[0]), F.col("disguised").alias(own[1]))
     rows = rows.drop(*own)
-    out = rows.join(forms, rows[text] == forms["__text"], "left").drop("__text")
+    out = rows.join(forms, rows[text] == forms["__text"], "left").drop(forms["__text"])
     return out.withColumn(own[1], F.coalesce(own[1], F.lit(False)))

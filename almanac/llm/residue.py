@@ -184,5 +184,5 @@ def without_residue(df: DataFrame, id_col: str, fields: list[str], source: str)
     """``df`` with residue values set to null, so that statistics do not count them. ``id_col`` must identify values."""
     bad = residue_values(df, id_col, fields, source).groupBy(F.col(id_col).alias("__bad_id")).agg(F.collect_set("field").alias("__bad"))
     joined = df.join(bad, df[id_col] == bad["__bad_id"], "left")
-    cleaned = {f: F.when(F.array_contains(F.coalesce("__bad", F.array().cast("array<string>")), f), F.lit(None)).otherwise(F.col(f)) for f in fields}
-    return joined.withColumns(cleaned).drop("__bad", "__bad_id")
+    found = F.coalesce(bad["__bad"], F.array().cast("array<string>"))
+    return joined.select(*[F.when(~F.array_contains(found, c), df[c]).alias(c) if c in fields else df[c] for c in df.columns])
