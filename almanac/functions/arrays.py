@@ -59,7 +59,7 @@ def overlay_defaults(defaults: Column, own: Column) -> Column:
 
 
 def first_int(*values: Column) -> Column:
-    return F.coalesce(*[F.try_to_number(v, F.lit("999999999")).cast("int") if False else v.try_cast("int") for v in values])
+    return F.coalesce(*[v.try_cast("int") for v in values])
 
 
 def step_timeout(timeout_ms: Column, timeout: Column, default: int = 15_000) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import arrays as A
@@ -52,7 +52,6 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FR = f"(SELECT DISTINCT {', '.join(c if c != 'key' else 'lower(trim(key)) AS key' for c in RESULT_COLUMNS)} FROM fetch_results)"
-UTC = "(SELECT TIMESTAMPTZ '{0}+00:00')".format(AS_OF)
 FAILED = "status NOT IN ('ok', 'html_link', 'skipped')"
 
 
@@ -543,8 +542,6 @@ def split_by_marker(spark, sf):
  s AS (SELECT chain, n, url, unnest(CASE WHEN url IS NOT NULL AND url IS DISTINCT FROM p THEN ['goto', 'click'] ELSE ['click'] END) AS action FROM c)
  SELECT chain, action, count(*) AS n FROM s GROUP BY 1, 2""")
 def goto_insertion(spark, sf):
-    from pyspark.sql import Window
-
     r = results(spark, sf).select(F.col("run_id").alias("chain"), "url", F.row_number().over(Window.partitionBy("run_id").orderBy("seq", "result_id")).alias("seq"))
     return sections.with_gotos(r).groupBy("chain", "action").agg(F.count("*").alias("n"))
 
@@ -658,8 +655,6 @@ def host_settings(spark, sf):
 @query("""WITH c AS (SELECT diocese, key, website, CAST(row_number() OVER (PARTITION BY diocese ORDER BY row_id) AS INTEGER) AS n FROM contacts WHERE website IS NOT NULL)
  SELECT diocese AS file, n AS section, key, 'Section ' || n AS display_name, CASE WHEN n % 2 = 0 THEN 'C' ELSE 'html_link' END AS pattern, CASE WHEN n % 2 = 0 THEN 'pdf' ELSE 'html_link' END AS content_type, website AS example_url, '' AS bulletin_page FROM c""")
 def evidence_entries(spark, sf):
-    from pyspark.sql import Window
-
     c = table(spark, sf, "contacts").where("website IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("diocese").orderBy("row_id")))
     block = F.format_string("# ——— Section %d ———\n# key: %s\n%s\n• %s\n* %s/again\n", F.col("n"), F.col("key"), F.when(F.col("n") % 2 == 0, "# Pattern C: dated").otherwise("# html_link: page"), F.col("website"), F.col("website"))
     files = c.groupBy(F.col("diocese").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n").alias("value"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.functions.arrays import clamped_int
+from almanac.operators.order import first_rows
+
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``file, value``: whole text files."""
@@ -22,8 +25,9 @@ def json_map(spark: SparkSession, path: str, value: T.DataType | str = "string")
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of files that hold one array of objects, with ``seq``, their place; other content gives none."""
-    items = F.from_json("value", f"array<{T.StructType.fromDDL(schema).simpleString() if ':' not in schema else schema}>")
-    return whole_texts(spark, path).select("file", F.posexplode(F.coalesce(items, F.array().cast(items_type(schema)))).alias("seq", "e")).select("file", "seq", "e.*")
+    kind = items_type(schema)
+    items = F.coalesce(F.from_json("value", kind), F.array().cast(kind))
+    return whole_texts(spark, path).select("file", F.posexplode(items).alias("seq", "e")).select("file", "seq", "e.*")
 
 
 def items_type(schema: str) -> str:
@@ -34,8 +38,6 @@ def json_file_per_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a file; ``key`` is the file's stem. Of several folders the first by name counts, files outside folders last."""
     df = spark.read.schema(schema).json(path, multiLine=True).withColumn("_p", F.col("_metadata.file_path"))
     df = df.withColumn("key", F.regexp_extract("_p", r"([^/]+)\.json$", 1)).withColumn("folder", F.regexp_extract("_p", r"([^/]+)/[^/]+$", 1))
-    from almanac.operators.order import first_rows
-
     return first_rows(df, ["key"], [F.desc(F.length(F.regexp_replace("_p", "[^/]", ""))), F.col("folder")]).drop("_p")
 
 
@@ -53,7 +55,5 @@ def named_files(files: DataFrame, pattern: str, columns: list[str]) -> DataFrame
 
 def clean_counters(rows: DataFrame, drop_bad: bool) -> DataFrame:
     """``key, failures`` of a raw map in either of the two readings of a counter."""
-    from almanac.functions.arrays import clamped_int
-
     out = rows.select(F.trim("key").alias("key"), clamped_int(F.col("value"), drop_bad).alias("failures")).where("key <> ''")
     return out.where("failures IS NOT NULL") if drop_bad else out
