@@ -189,7 +189,7 @@ def test_ranking(spark):
     assert best(ranking.best_listing_link(links.where("idx = 0 AND page = 'q'"), t)) == {}
     assert best(ranking.best_document(links)) == {"p": 1, "q": 0, "r": 0}
     assert best(ranking.date_first(links)) == {"p": 1, "q": 0, "r": 0}
-    assert {r["page"] for r in ranking.stale_pages(links.where("idx < 2 AND page <> 'r'"), t).collect()} == {"q"}
+    assert {r["page"] for r in ranking.stale_pages(links.where("idx = 0 AND page <> 'r'"), t).collect()} == {"p", "q"}
     assert best(ranking.ranked_links(links, spark.createDataFrame([("p", "undated")], "page string, text string")).where("rank = 1"))["p"] == 2
     assert {r["page"] for r in ranking.ambiguous_pages(spark.createDataFrame([("a", 0, "x", ""), ("a", 1, "y", ""), ("b", 0, "x/2026-06-14", ""), ("b", 1, "y", "")], "page string, idx int, href string, text string")).collect()} == {"a"}
     pages = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "none")], "page int, html string")

@@ -37,7 +37,7 @@ def test_report(spark):
 
 
 def test_calendar_and_feed(spark):
-    e = spark.createDataFrame([("g", "k", 2, "Tea, cake; fun", "2026-06-14", "9:5", "Hall", "", "social"), ("g", "k", 1, "All day", "2026-06-15", None, None, "x\ny", None), ("g", "k", 3, "Bad", "2026-02-31", None, None, None, None)],
+    e = spark.createDataFrame([("g", "k", 2, "Tea, cake\; fun", "2026-06-14", "9:5", "Hall", "", "social"), ("g", "k", 1, "All day", "2026-06-15", None, None, "x\ny", None), ("g", "k", 3, "Bad", "2026-02-31", None, None, None, None)],
                               '`group` string, key string, seq int, title string, date_iso string, time_24h_or_null string, location_or_null string, description string, category string')
     stamp = F.lit("2026-06-01 10:00:00+00:00").cast("timestamp")
     got = {r["group"]: r["ics"] for r in writers.calendars(e, stamp).collect()}
