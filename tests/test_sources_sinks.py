@@ -37,13 +37,13 @@ def test_report(spark):
 
 
 def test_calendar_and_feed(spark):
-    e = spark.createDataFrame([("g", "k", 2, "Tea, cake\; fun", "2026-06-14", "9:5", "Hall", "", "social"), ("g", "k", 1, "All day", "2026-06-15", None, None, "x\ny", None), ("g", "k", 3, "Bad", "2026-02-31", None, None, None, None)],
+    e = spark.createDataFrame([("g", "k", 2, "Tea, cake; fun", "2026-06-14", "9:5", "Hall", "", "social"), ("g", "k", 1, "All day", "2026-06-15", None, None, "x\ny", None), ("g", "k", 3, "Bad", "2026-02-31", None, None, None, None)],
                               '`group` string, key string, seq int, title string, date_iso string, time_24h_or_null string, location_or_null string, description string, category string')
     stamp = F.lit("2026-06-01 10:00:00+00:00").cast("timestamp")
     got = {r["group"]: r["ics"] for r in writers.calendars(e, stamp).collect()}
     assert set(got) == {"g", "all"} and got["g"].count("BEGIN:VEVENT") == 2
     body = got["g"]
-    assert "DTSTART:20260614T090500" in body and "DTSTART;VALUE=DATE:20260615" in body and "SUMMARY:Tea\\, cake\; fun" in body and "DESCRIPTION:x\\ny" in body and "CATEGORIES:SOCIAL" in body
+    assert "DTSTART:20260614T090500" in body and "DTSTART;VALUE=DATE:20260615" in body and "SUMMARY:Tea\\, cake\\; fun" in body and "DESCRIPTION:x\\ny" in body and "CATEGORIES:SOCIAL" in body
     assert body.index("All day") < body.index("Tea") and body.endswith("END:VCALENDAR\r\n") and "DTSTAMP:20260601T100000Z" in body
     g = spark.createDataFrame([("n", "A & B", "https://x/?a=1&b=2", "2026-06-14", "66.7%")], "name string, title string, link string, day string, rate string")
     xml = writers.rss(g, stamp).first()["xml"]
