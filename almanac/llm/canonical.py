@@ -20,7 +20,7 @@ DECORATION = (
     r"[\s_–—-]+(?:rc[ _]church|catholic[ _]church|bulletin[ _]page|weekly[ _]bulletin|sunday[ _]bulletin|newsletter|parish(?:es)?)(?=[\s_]+[–—-][\s_])",
 )
 #: The same at the end, in letters only, whole or broken off after four letters.
-TAILS = ("newsletter", "weekly", "bulletin", "page", "sunday", "rcchurch", "catholicchurch", "catholic", "church", "parish", "parishes", "website")
+TAILS = ("newsletter", "weekly", "bulletinpage", "page", "newsite", "oldsite", "sunday", "rcchurch", "catholicchurch", "catholic", "church", "parish", "parishes", "website")
 #: Abbreviations of words in names.
 SHORT = {"nth": "north", "sth": "south", "lwr": "lower", "lr": "lower", "upr": "upper", "uppr": "upper", "saint": "st", "est": "east", "wst": "west", "agus": "and"}
 #: Digits typed for letters; a one stands for either of two, which thereby become one.
@@ -46,8 +46,8 @@ def words_of(text: str) -> list[str]:
 
 
 def bare(text: str) -> str:
-    """The text without decoration in brackets or in front."""
-    t = text.lower()
+    """The text without decoration in brackets or in front; a nought counts as the letter there."""
+    t = text.lower().replace("0", "o")
     while True:
         before = t
         for pattern in DECORATION:
@@ -63,15 +63,19 @@ def letters(words: Iterable[str]) -> str:
 _TAIL = re.compile("(?:" + "|".join(sorted({letters([t])[:n] for t in TAILS for n in range(4, len(t) + 1)}, key=len, reverse=True)) + ")$")
 
 
+_HEAD = re.compile("^(?:" + letters(["the"]) + ")?(?:" + letters(["parishof"]) + ")(?:" + letters(["the"]) + ")?")
+
+
 def without_tail(compact: str) -> str:
-    """Letters without the decoration at their end."""
+    """Letters without the decoration at their end, and the same run together in front."""
+    compact = _HEAD.sub("", compact)
     while (m := _TAIL.search(compact)):
         compact = compact[: m.start()]
     return compact
 
 
-def alias_paths(name: str) -> Iterator[str]:
-    """What is typed for an entry: its words, a qualifier in front or doubled, initials of the qualifier or of the first part, its parts in turn."""
+def alias_paths(name: str) -> Iterator[tuple[str, bool]]:
+    """What is typed for an entry: its words, a qualifier in front or doubled, its parts in turn; shortened words as weak paths."""
     t = name.lower()
     m = re.fullmatch(r"(.*?)\s*\(([^()]*)\)\s*", t)
     if m:
@@ -82,58 +86,65 @@ def alias_paths(name: str) -> Iterator[str]:
         if q[0] == "st":
             short = [["s", *q[1:]]]
         for x in [q, *short]:
-            yield letters(base + x)
-            yield letters(x + base)
-        yield letters(q + base + q)
+            yield letters(base + x), x is not q
+            yield letters(x + base), x is not q
+        yield letters(q + base + q), False
         return
     parts = [words_of(p) for p in re.split(r"\s[&–—-]\s|/", t)]
     if len(parts) == 2:
         a, b = parts
         for x, y in ((a, b), (b, a)):
-            yield letters(x + y)
-            yield letters([*x, "and", *y])
+            yield letters(x + y), False
+            yield letters([*x, "and", *y]), False
             if m := INITIAL.match(letters(y)):
-                rest = letters(y)[0] + letters(y)[m.end() :]
-                yield letters([*x, rest])
-                yield letters([*x, "and", rest])
+                for n in (1, 2):
+                    rest = letters(y)[:n] + letters(y)[m.end() :]
+                    yield letters([*x, rest]), True
+                    yield letters([*x, "and", rest]), True
         return
     w = words_of(t)
-    yield letters(w)
+    yield letters(w), False
     if len(w) > 1 and w[-1] in ("north", "south", "east", "west", "upper", "lower", "urban", "rural"):
-        yield letters([w[-1], *w[:-1]])
-        yield letters([*w[:-1], w[-1][0]])
+        yield letters([w[-1], *w[:-1]]), False
+        yield letters([*w[:-1], w[-1][0]]), True
 
 
-#: First parts of names that are typed as an initial.
+#: First parts of names that are typed as one or two letters.
 PREFIXES = "bally knock derry carrow castle temple tully inish aghna kil clon corr drum doon dun fenn glen lis mag rath ard".split()
 INITIAL = re.compile("^(?:" + "|".join(letters([p]) for p in PREFIXES) + ")")
 
 
+#: Greatest distance from a weak path: it says less of its entry than a whole name.
+WEAK = 2
+
+
 class Trie:
-    """Trie of alias paths; a node is ``[children, ids]``. Built once from a bounded reference list."""
+    """Trie of alias paths; a node is ``[children, {id: weak}]``. Built once from a bounded reference list."""
 
     def __init__(self, entries: Iterable[tuple[int, str]]):
         self.root: list = [{}, None]
-        paths: dict[str, set[int]] = {}
+        paths: dict[str, dict[int, bool]] = {}
         for ref, name in entries:
-            for p in alias_paths(name):
-                spelt = [p, *(p.replace(letters([a]), letters([b])) for a, b in SPELLINGS if letters([a]) in p)]
+            for p, weak in alias_paths(name):
+                spelt = [(p, weak), *((p.replace(letters([a]), letters([b])), weak) for a, b in SPELLINGS if letters([a]) in p)]
                 if m := INITIAL.match(p):
-                    spelt.append(p[0] + p[m.end() :])
-                for x in spelt:
-                    paths.setdefault(x, set()).add(ref)
+                    spelt += [(p[:n] + p[m.end() :], True) for n in (1, 2)]
+                for x, w in spelt:
+                    own = paths.setdefault(x, {})
+                    own[ref] = w and own.get(ref, True)
         self.longest = max(map(len, paths), default=0)
         for p, refs in paths.items():
             node = self.root
             for c in p:
                 node = node[0].setdefault(c, [{}, None])
-            node[1] = frozenset(refs)
+            node[1] = refs
 
     def search(self, text: str, most: int, missing: int = 0) -> dict[int, int]:
         """All entries within ``most`` edits, with their distances.
 
         The automaton is run bit-parallel: bit i of state d says that the path so far equals the first i
-        letters of ``text`` up to d edits. A branch is left as soon as no state is alive. With ``missing``, the
+        letters of ``text`` up to d edits. A branch is left as soon as no state is alive. Weak paths count up to
+        ``WEAK`` edits. With ``missing``, the
         text may also break off up to so many letters before the end of a path.
         """
         m = len(text)
@@ -149,8 +160,8 @@ class Trie:
             (children, refs), states = stack.pop()
             if refs is not None and states[-1] & goal:
                 d = next(d for d, s in enumerate(states) if s & goal)
-                for r in refs:
-                    if d < found.get(r, most + 1):
+                for r, weak in refs.items():
+                    if d < found.get(r, most + 1) and not (weak and d > WEAK):
                         found[r] = d
             if missing and states[-1] & goal:
                 d = next(d for d, s in enumerate(states) if s & goal)
@@ -171,7 +182,7 @@ class Trie:
         stack = [(node, depth)]
         while stack:
             (children, refs), left = stack.pop()
-            yield from refs or ()
+            yield from (r for r, weak in (refs or {}).items() if not weak)
             if left:
                 stack += [(x, left - 1) for x in children.values()]
 
