@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,24 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that executors need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_almanac_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+    path = Path(tempfile.mkdtemp(prefix="almanac-")) / f"almanac_{mark}.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._almanac_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
