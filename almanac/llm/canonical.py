@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.confusables import TextForm
+from almanac.session import ship
 
 #: What people put round a name and means nothing by itself, between blanks or in brackets.
 DECORATION = (
@@ -253,6 +254,7 @@ def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], tabl
     than any path by more than the distance get 0 without a search; repeated rows each come out; columns that
     already have the names of the three are replaced, others stay.
     """
+    ship(rows.sparkSession)
     m = Matcher(entries, TextForm(table))
 
     @F.pandas_udf("ref_id long, distance int, nearest int")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.session import ship
+
 #: Typographic characters that count as plainly typed.
 TYPOGRAPHIC = "’‘“”–—"
 #: Prototypes that differ from the public confusables data. The palochka is drawn as a bar.
@@ -177,6 +179,7 @@ def name_forms(names: DataFrame, table: dict[int, str], text: str = "display_nam
 
     Returns ``text, n, skeleton, disguised, form``.
     """
+    ship(names.sparkSession)
     tf = TextForm(table)
 
     @F.pandas_udf("skeleton string, own string, disguised boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.confusables import TextForm
+from almanac.session import ship
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -175,6 +176,7 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, s
     Scale: one pass over the two columns without any shuffle; a task holds the automaton and one Arrow batch.
     The time per word doesn't depend on the number of items.
     """
+    ship(docs.sparkSession)
     finder = LeakFinder(items, TextForm(table), least)
     schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("words", pa.int32()), ("doc_share", pa.float64())])
 
@@ -202,6 +204,7 @@ def decontaminated(
     Of a document whose leaked words exceed ``most_share`` of its words nothing is kept (``dropped``, null
     text). Null texts stay null and texts without leaks are unchanged.
     """
+    ship(docs.sparkSession)
     finder = LeakFinder(items, TextForm(table), least)
     schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("removed_words", pa.int32()), ("dropped", pa.bool_())])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.tokens import ByteTokenizer
+from almanac.session import ship
 
 TOKEN, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 KINDS = ("token", "word", "clause", "sentence", "line", "paragraph")
@@ -245,6 +246,7 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, profiles: list[tupl
 
     Scale: one pass without a shuffle, each text tokenized once for all profiles. A text of n tokens takes O(n log n).
     """
+    ship(docs.sparkSession)
     splitter = Splitter(tokenizer)
     kinds = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.string()]
     schema = pa.schema([("id", pa.int64()), *zip(COLUMNS, kinds, strict=True)])

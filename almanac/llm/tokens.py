@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.session import ship
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public pre-tokenizer pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +51,7 @@ class ByteTokenizer:
 
 def token_counts(docs: DataFrame, keep: list[str], text_col: str, tokenizer: ByteTokenizer) -> DataFrame:
     """The columns ``keep`` and ``tokens`` (long; null texts have 0), whole texts, without a shuffle."""
+    ship(docs.sparkSession)
     schema = docs.select(*keep).schema.add("tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
