@@ -77,6 +77,13 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partitioned for work that is dear per row: adaptive execution would gather few bytes in one task, however long they take."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
+
+
 def utc_date(ts: Column) -> Column:
     """Calendar day of an instant in UTC, whatever the session's time zone."""
     return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
