@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.confusables import TextForm
-from almanac.session import ship
+from almanac.session import ship, spread
 
 #: What people put round a name and means nothing by itself, between blanks or in brackets.
 DECORATION = (
@@ -262,6 +262,7 @@ def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], tabl
         return pd.DataFrame([m.best(x) for x in s], columns=["ref_id", "distance", "nearest"]).astype({"distance": "Int32"})
 
     distinct = rows.select(F.col(text).alias("__text")).where(F.col("__text").rlike(r"(?U)[^\s]")).distinct()
-    mapped = distinct.withColumn("__m", match("__text")).select("__text", "__m.*")
+    match = match.asNondeterministic()  # else a filter on its result would run it twice
+    mapped = spread(distinct, "__text").withColumn("__m", match("__text")).select("__text", "__m.*")
     rows = rows.drop("ref_id", "distance", "nearest")
     return rows.join(mapped, rows[text] == mapped["__text"]).drop(mapped["__text"])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.session import ship
+from almanac.session import ship, spread
 
 #: Typographic characters that count as plainly typed.
 TYPOGRAPHIC = "’‘“”–—"
@@ -189,7 +189,8 @@ def name_forms(names: DataFrame, table: dict[int, str], text: str = "display_nam
         )
 
     distinct = names.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_t")).agg(F.count("*").alias("n"))
-    each = distinct.withColumn("_d", describe("_t")).select("_t", "n", "_d.*")
+    describe = describe.asNondeterministic()  # else a filter on its result would run it twice
+    each = spread(distinct, "_t").withColumn("_d", describe("_t")).select("_t", "n", "_d.*")
     forms = (
         each.groupBy("skeleton", "own").agg(F.sum(F.when(~F.col("disguised"), F.col("n")).otherwise(0)).alias("w"))
         .groupBy("skeleton").agg(F.min_by("own", F.struct(-F.col("w"), F.col("own"))).alias("form"))
