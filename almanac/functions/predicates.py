@@ -156,3 +156,39 @@ def status_dot(disabled: Column, override: Column, recipe: Column) -> Column:
         F.when(disabled, "disabled").when(override, "override").when(recipe == "dead", "dead").when(recipe == "ok", "ok")
         .when(recipe == "none", "none").otherwise("unchecked")
     )
+
+
+def page_type(url: Column, html: Column) -> Column:
+    """Kind of page by the first sign that fits, from its address and source text."""
+    h, u = F.coalesce(html, F.lit("")), F.lower(F.coalesce(url, F.lit("")))
+    pdf_links = F.regexp_count(h, F.lit(r"(?i)<a[^>]+href=[\"'][^\"']+\.(?:pdf|docx)"))
+    text = F.length(F.regexp_replace(h, r"(?s)<[^>]+>|\s+", ""))
+    return (
+        F.when(u.rlike(r"\.pdf(?:[?#]|$)"), "direct_pdf").when(cloud_folder(url), "cloud_folder").when(h.rlike("(?i)pdfemb-viewer"), "pdfemb")
+        .when(h.rlike(r"(?i)<iframe[^>]+src=[\"'][^\"']*(?:\.pdf|viewer)"), "iframe").when(h.rlike("(?i)<embed|<object[^>]+data="), "embed")
+        .when(pdf_links >= 8, "weekly_list").when(pdf_links >= 1, "pdf_links").when(h.rlike("(?i)<img[^>]+(?:bulletin|newsletter)"), "image").when(text >= 400, "html").otherwise("unknown")
+    )
+
+
+def edition_image(src: Column, width: Column, height: Column) -> Column:
+    """Images large enough to be a page."""
+    s = F.lower(F.coalesce(src, F.lit("")))
+    return ~s.rlike(r"^data:|\.svg(?:[?#]|$)") & (F.greatest(width, height) >= 800) & (F.least(width, height) >= 600)
+
+
+def image_score(src: Column, alt: Column, in_main: Column) -> Column:
+    return F.when(F.concat_ws(" ", src, alt).rlike(EDITION_WORDS), 2).otherwise(0) + F.coalesce(in_main.cast("int"), F.lit(0))
+
+
+def renamed(value: Column, aliases: dict[str, str]) -> Column:
+    """The alias's name, else the value itself, both in lower case with underscores."""
+    v = F.regexp_replace(F.lower(F.trim(value)), r"[\s-]+", "_")
+    if not aliases:
+        return v
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, v), v)
+
+
+def retrained_pending(recorded: Column, report_day: Column) -> Column:
+    """Recorded on the report's day or later, compared as text; never without a record."""
+    return F.coalesce(recorded >= report_day, F.lit(False))

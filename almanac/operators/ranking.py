@@ -138,3 +138,26 @@ def fingerprints(pages: DataFrame, rules: list[tuple[str, str, int, int]], n: in
     ok = F.filter(F.array(*scores), lambda x: (x["score"] >= x["least"]) & (x["score"] > 0))
     best = F.slice(F.array_sort(ok, lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).when(a["rule"] < b["rule"], -1).otherwise(1)), 1, n)
     return pages.select("page", F.explode(best).alias("b")).select("page", "b.rule", "b.score")
+
+
+def best_images(images: DataFrame, n: int = 30) -> DataFrame:
+    """Page-sized images of each page, an edition's words and the main part first. ``images``: ``page, idx, src, alt, width, height, in_main``."""
+    s = images.where(P.edition_image(F.col("src"), F.col("width"), F.col("height"))).withColumn("score", P.image_score(F.col("src"), F.col("alt"), F.col("in_main")))
+    return first_rows(s, ["page"], [F.desc("score"), F.col("idx")], n)
+
+
+def this_week(links: DataFrame, today: Column, days: int = 7) -> DataFrame:
+    """The first link dated within so many days of today, else the first if it has a full date."""
+    d = D.partial_date(F.concat_ws(" ", "href", "text"))
+    dated = links.withColumn("_d", d).withColumn("_day", D.valid_date(F.col("_d.year"), F.col("_d.month"), F.col("_d.day")))
+    near = F.coalesce(F.abs(F.datediff("_day", today)) <= days, F.lit(False))
+    g = dated.groupBy("page").agg(
+        F.min_by("idx", F.when(near, F.col("idx"))).alias("near"), F.min_by(F.struct("idx", "_day"), "idx").alias("first")
+    )
+    return g.select("page", F.coalesce("near", F.when(F.col("first._day").isNotNull(), F.col("first.idx"))).alias("idx")).where("idx IS NOT NULL")
+
+
+def first_after(rows: DataFrame, by: list[str], ts: str, moment: Column, seq: str, slack_s: int = 10) -> DataFrame:
+    """The first row created after a moment less some slack, else the first row."""
+    late = F.unix_seconds(F.col(ts)) >= F.unix_seconds(moment) - slack_s
+    return rows.groupBy(*by).agg(F.coalesce(F.min(F.when(late, F.col(seq))), F.min(seq)).alias(seq))

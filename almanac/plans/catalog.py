@@ -13,7 +13,7 @@ from almanac.functions import predicates as P
 from almanac.functions import pyudf as Y
 from almanac.functions import text as X
 from almanac.functions import urls as U
-from almanac.operators import lookups, order, ranking, reports, sections, state
+from almanac.operators import lookups, order, ranking, recipes, reports, sections, state
 from almanac.session import norm_key, table, utc_date
 from almanac.sinks import writers
 
@@ -696,3 +696,63 @@ def event_calendars(spark, sf):
 def rss_feeds(spark, sf):
     g = group_success_rate(spark, sf)
     return writers.rss(g.select(F.col("diocese").alias("name"), X.display_name(F.col("diocese")).alias("title"), F.concat(F.lit("https://feeds.example/"), "diocese", F.lit(".pdf")).alias("link"), target().alias("day"), F.format_string("%.1f%%", "rate").alias("rate")), as_of())
+
+
+def _recorded(spark, sf) -> DataFrame:
+    """A recipe per source: what its first results did, as steps."""
+    action = F.when(F.col("status") == "ok", "download").when(F.col("status") == "html_link", "html").when(F.col("status") == "skipped", "goto").otherwise("click")
+    r = results(spark, sf).where("key IS NOT NULL").withColumn("action", action)
+    first = order.first_rows(r, ["key"], [F.col("result_id")], 4)
+    step = F.struct("result_id", F.struct("action", "url", F.lit(None).cast("string").alias("selector"), F.col("display_name").alias("text")).alias("s"))
+    g = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("steps"), F.min_by("url", "result_id").alias("start_url"))
+    return g.withColumn("status", F.lit("active"))
+
+
+@query(f"""WITH f AS (SELECT key, result_id, CASE status WHEN 'ok' THEN 'download' WHEN 'html_link' THEN 'html' WHEN 'skipped' THEN 'goto' ELSE 'click' END AS a, row_number() OVER (PARTITION BY key ORDER BY result_id) AS rn FROM {FR} WHERE key IS NOT NULL)
+ SELECT key, CAST(count(*) AS INTEGER) AS n_steps, CAST(count(*) FILTER (a = 'click') AS INTEGER) AS clicks, bool_or(a = 'download') AS downloads, bool_or(a = 'html') AS captures, false AS cloud, string_agg(a, '>' ORDER BY result_id) AS flow FROM f WHERE rn <= 4 GROUP BY key""")
+def recipe_fingerprints(spark, sf):
+    return recipes.fingerprints(_recorded(spark, sf))
+
+
+@query()
+def recipe_standalone(spark, sf):
+    return recipes.redated(recipes.standalone(_recorded(spark, sf)), target())
+
+
+@query(f"""WITH h AS (SELECT key, max(nxdomain_strikes) AS strikes, arg_max(last_result, row_id) AS last_result FROM site_health GROUP BY 1), k AS (SELECT DISTINCT key FROM {FR} WHERE key IS NOT NULL)
+ SELECT key, 'dead_url' AS status, 'host unknown' AS reason FROM k WHERE key IN (SELECT key FROM h WHERE strikes >= 2 AND last_result = 'nxdomain')""")
+def dead_recipes(spark, sf):
+    h = table(spark, sf, "site_health").groupBy("key").agg(F.max("nxdomain_strikes").alias("strikes"), F.max_by("last_result", "row_id").alias("last_result"))
+    return recipes.dead_sources(_recorded(spark, sf), h)
+
+
+@query()
+def registry_keys(spark, sf):
+    reg = table(spark, sf, "contacts").where("website IS NOT NULL").select(norm_key("key").alias("key"), F.col("website").alias("url"))
+    return recipes.registry_keys(_urls(spark, sf), reg, ["social.example"])
+
+
+@query(f"""SELECT f.result_id, f.key, lower(f.display_name) AS sort_name FROM {FR} f WHERE status = 'ok' AND NOT coalesce(is_fallback, false) AND NOT coalesce(is_stale, false)
+ AND NOT EXISTS (SELECT 1 FROM {DEAD} x WHERE x.key = f.key)""")
+def stitch_plan(spark, sf):
+    dead = _recipes(spark, sf).where(P.inactive(F.col("skip"), F.col("status"))).select("key")
+    plan = recipes.stitch_plan(results(spark, sf).withColumn("n_pages", F.lit(1)), dead)
+    return plan.select("result_id", "key", "sort_name")
+
+
+@query("""SELECT source, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM
+ (SELECT source, CAST(collected_at AT TIME ZONE 'UTC' AS DATE) AS d, coalesce(n_chars, 0) AS n FROM documents) GROUP BY 1, 2, 3""")
+def files_by_month(spark, sf):
+    d = utc_date(F.col("collected_at"))
+    return table(spark, sf, "documents").groupBy("source", F.year(d).alias("year"), F.month(d).alias("month")).agg(F.count("*").alias("files"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
+
+
+@query()
+def this_week_link(spark, sf):
+    return ranking.this_week(_links(spark, sf), target())
+
+
+@query()
+def page_types(spark, sf):
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.groupBy(P.page_type(F.lit(""), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import predicates as P
-from almanac.operators import lookups, order, ranking, reports, sections, state
+from almanac.operators import lookups, order, ranking, recipes, reports, sections, state
 from almanac.operators.orphans import Edge, direct_orphans, orphan_cascade
 from almanac.operators.snapshots import change_counts, snapshot_changes
 from almanac.session import norm_key
@@ -228,3 +228,42 @@ def test_sections(spark):
 
 def test_keys(spark):
     assert spark.createDataFrame([(" A b ",)], "k string").select(norm_key("k")).first()[0] == "a b"
+
+
+def test_recipes(spark):
+    rows = [
+        ("a", "https://x/5th-april-2026", "active", [("click", "https://drive.google.com/drive/folders/1", None, "26.06.07.pdf"), ("download", "https://x/a", None, None), ("html", "https://x/b", None, None)]),
+        ("b", "https://y", " Inactive ", None), ("c", "https://z", None, [("goto", "https://z", None, None), ("", None, None, None)]),
+    ]
+    df = spark.createDataFrame(rows, f"key string, start_url string, status string, steps array<{recipes.STEP}>")
+    f = {r["key"]: r for r in recipes.fingerprints(df).collect()}
+    assert (f["a"]["flow"], f["a"]["clicks"], f["a"]["cloud"], f["b"]["n_steps"]) == ("click>download>html", 1, True, 0)
+    t = F.lit("2026-06-14").cast("date")
+    s = {r["key"]: r for r in recipes.redated(recipes.standalone(df), t).collect()}
+    assert [x["action"] for x in s["a"]["steps"]] == ["goto", "click", "html"] and s["a"]["steps"][1]["text"] == "26.06.14.pdf" and s["a"]["use_target_url"] and s["a"]["cloud_folder"]
+    assert [x["action"] for x in s["b"]["steps"]] == ["goto"] and [x["action"] for x in s["c"]["steps"]] == ["goto"]
+    health = spark.createDataFrame([("a", 2, "nxdomain"), ("b", 3, "nxdomain"), ("c", 2, "error")], "key string, strikes int, last_result string")
+    assert [r["key"] for r in recipes.dead_sources(df, health).collect()] == ["a"]
+    entries = spark.createDataFrame([("a", 1, "u1"), ("n", 3, "u3"), ("n", 2, "u2")], "key string, seq int, url string")
+    assert [tuple(r) for r in recipes.seeds(entries, df).collect()] == [("n", "u2")]
+    reg = spark.createDataFrame([("k1", "https://www.one.ie/"), ("k2", "https://shared.ie/a"), ("k3", "https://shared.ie/b/")], "key string, url string")
+    urls = spark.createDataFrame([("https://one.ie/news",), ("https://shared.ie/b",), ("https://other.ie",), (None,)], "url string")
+    assert {r["url"]: r["source"] for r in recipes.registry_keys(urls, reg, ["shared.ie"]).collect()} == {"https://one.ie/news": "k1", "https://shared.ie/b": "k3", "https://other.ie": "other", None: None}
+    over = df.withColumn("override_url", F.when(F.col("key") == "b", " https://o "))
+    assert [r[0] for r in over.orderBy("key").select(recipes.effective_start()).collect()] == ["https://x/b", "https://o", "https://z"]
+
+
+def test_edits_images_and_weeks(spark):
+    lines = sections.sectioned(sections.numbered_lines(spark.createDataFrame([("f", "# --- A ---\nhttps://old\nhttps://older\n# --- B ---\n# note")], "file string, value string")))
+    edits = spark.createDataFrame([("f", "A", "https://new"), ("f", "B", "https://b")], "file string, name string, url string")
+    assert [r["line"] for r in recipes.edited_sections(lines, edits).orderBy("pos").collect()] == ["# --- A ---", "https://new", "https://older", "# --- B ---", "https://b", "# note"]
+    img = spark.createDataFrame([("p", 0, "a.png", "", 900, 700, False), ("p", 1, "b.png", "newsletter", 900, 700, True), ("p", 2, "c.svg", "", 900, 700, True), ("p", 3, "d.png", "", 100, 900, True)], "page string, idx int, src string, alt string, width int, height int, in_main boolean")
+    assert [r["idx"] for r in ranking.best_images(img).orderBy(F.desc("score")).collect()] == [1, 0]
+    links = spark.createDataFrame([("p", 0, "x/2026-01-01", ""), ("p", 1, "x/2026-06-13", ""), ("q", 0, "x/2026-01-01", ""), ("r", 0, "x", "")], "page string, idx int, href string, text string")
+    assert {r["page"]: r["idx"] for r in ranking.this_week(links, F.lit("2026-06-14").cast("date")).collect()} == {"p": 1, "q": 0}
+    rows = spark.createDataFrame([("a", 1, "2026-01-01 00:00:00"), ("a", 2, "2026-01-02 00:00:00"), ("b", 3, "2025-01-01 00:00:00")], "k string, seq int, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    assert {r["k"]: r["seq"] for r in ranking.first_after(rows, ["k"], "ts", F.lit("2026-01-02 00:00:05").cast("timestamp"), "seq").collect()} == {"a": 2, "b": 3}
+    res = spark.createDataFrame([("a", "ok", None, None, "B", 2), ("b", "ok", True, None, "A", 1), ("c", "ok", None, None, "C", 9), ("d", "ok", None, None, "D", 1)], "key string, status string, is_fallback boolean, is_stale boolean, display_name string, n_pages int")
+    assert [r["key"] for r in recipes.stitch_plan(res, spark.createDataFrame([("d",)], "key string")).collect()] == ["a"]
+    kinds = spark.createDataFrame([("https://x/a.pdf?1", ""), ("", "<a href='n.pdf'>x</a>"), ("", "<div>" + "word " * 200), ("", None)], "u string, h string").select(P.page_type(F.col("u"), F.col("h"))).collect()
+    assert [r[0] for r in kinds] == ["direct_pdf", "pdf_links", "html", "unknown"]
