@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions import dates as D
 from almanac.functions import predicates as P
 from almanac.operators.order import latest
 
@@ -121,3 +122,23 @@ def retention_plan(files: DataFrame, as_of: Column, weeks: int = 8, months: int
     expired = (F.col("kind") == "archive") & (F.col("modified") < F.add_months(as_of, -months).cast("timestamp"))
     action = F.when(F.col("archive").isNotNull() & F.col("_have").isNotNull(), "delete").when(F.col("archive").isNotNull(), "zip").when(expired, "delete").otherwise("keep")
     return out.select("path", "bytes", "modified", "kind", action.alias("action"), "archive")
+
+
+def freshness_gate(results: DataFrame, target: Column, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results with stale ok ones turned into errors, and the rows to try again with the way to try.
+
+    ``entries``: ``key, pattern, content_type, bulletin_page``; at most one row per key counts. Results that are
+    stale already, aren't ok or have no address stay as they are.
+    """
+    known = entries if entries is not None else results.sparkSession.createDataFrame([], "key string, pattern string, content_type string, bulletin_page string")
+    e = known.dropDuplicates(["key"]).select(F.col("key").alias("_k"), F.col("pattern").alias("_p"), F.col("content_type").alias("_c"), F.col("bulletin_page").alias("_b"))
+    asked = (F.col("status") == "ok") & ~F.coalesce("is_stale", F.lit(False)) & (F.length("url") > 0)
+    j = results.join(e, results["key"] == e["_k"], "left").withColumn("_d", F.when(asked, D.bulletin_date(F.col("url")))).withColumn("_v", D.freshness(F.col("_d"), target))
+    stale = asked & (F.col("_v.status") == "stale")
+    how = P.retry_strategy(F.col("file_type"), F.col("_p"), F.length(F.trim("_b")) > 0, F.col("_c"))
+    said = F.concat(F.lit("Stale edition rejected (dated "), F.col("_d").cast("string"), F.lit(", "), F.col("_v.reason"), F.lit(")"))
+    marked = j.withColumn("_s", stale)
+    new = {"status": F.lit("error"), "error": said, "is_stale": F.lit(True), "stale_reason": F.col("_v.reason"), "retry_strategy": how}
+    out = marked.select(*[F.when(F.col("_s"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in results.columns])
+    retry = marked.where("_s").select("key", "display_name", "url", F.col("_d").alias("date"), F.col("_v.reason").alias("reason"), how.alias("strategy"), F.coalesce("_b", F.lit("")).alias("bulletin_page"))
+    return out, retry

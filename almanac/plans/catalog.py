@@ -13,7 +13,7 @@ from almanac.functions import predicates as P
 from almanac.functions import pyudf as Y
 from almanac.functions import text as X
 from almanac.functions import urls as U
-from almanac.operators import lookups, order, ranking, recipes, reports, sections, state
+from almanac.operators import calendar, lookups, order, ranking, recipes, reports, sections, state
 from almanac.session import norm_key, table, utc_date
 from almanac.sinks import writers
 
@@ -756,3 +756,17 @@ def this_week_link(spark, sf):
 def page_types(spark, sf):
     d = table(spark, sf, "documents").where("text IS NOT NULL")
     return d.groupBy(P.page_type(F.lit(""), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT result_id, status, is_stale, stale_reason FROM (SELECT result_id, CASE WHEN s THEN 'error' ELSE status END AS status, CASE WHEN s THEN true ELSE is_stale END AS is_stale,
+ CASE WHEN s THEN CASE WHEN d > DATE '{TARGET}' THEN 'date_ahead_of_target' ELSE 'date_behind_of_target' END ELSE stale_reason END AS stale_reason FROM
+ (SELECT *, coalesce(status = 'ok' AND NOT coalesce(is_stale, false) AND length(url) > 0 AND d IS NOT NULL AND NOT (d BETWEEN DATE '{TARGET}' - 6 AND DATE '{TARGET}') AND abs(d - DATE '{TARGET}') > 8, false) AS s
+ FROM (SELECT *, {BULLETIN_SQL} AS d FROM {FR})))""")
+def freshness_gate(spark, sf):
+    out, _ = reports.freshness_gate(results(spark, sf), target())
+    return out.select("result_id", "status", "is_stale", "stale_reason")
+
+
+@query()
+def named_sundays(spark, sf):
+    return calendar.named_sundays(table(spark, sf, "report_long").select(F.year("target_date").alias("year")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import predicates as P
-from almanac.operators import lookups, order, ranking, recipes, reports, sections, state
+from almanac.operators import calendar, lookups, order, ranking, recipes, reports, sections, state
 from almanac.operators.orphans import Edge, direct_orphans, orphan_cascade
 from almanac.operators.snapshots import change_counts, snapshot_changes
 from almanac.session import norm_key
@@ -267,3 +267,29 @@ def test_edits_images_and_weeks(spark):
     assert [r["key"] for r in recipes.stitch_plan(res, spark.createDataFrame([("d",)], "key string")).collect()] == ["a"]
     kinds = spark.createDataFrame([("https://x/a.pdf?1", ""), ("", "<a href='n.pdf'>x</a>"), ("", "<div>" + "word " * 200), ("", None)], "u string, h string").select(P.page_type(F.col("u"), F.col("h"))).collect()
     assert [r[0] for r in kinds] == ["direct_pdf", "pdf_links", "html", "unknown"]
+
+
+def test_named_sundays(spark):
+    rows = calendar.named_sundays(spark.createDataFrame([(2026,), (2025,), (2023,), (2026,), (None,)], "year int")).collect()
+    got = {str(r["day"]): r["name"] for r in rows}
+    assert len(got) == len(rows)
+    want = {
+        "2026-01-04": "Epiphany_of_the_Lord", "2026-01-11": "Baptism_of_the_Lord", "2026-01-18": "2nd_Sunday_in_Ordinary_Time", "2026-02-15": "Sixth_Sunday_in_Ordinary_Time", "2026-02-22": "1st_Sunday_of_Lent",
+        "2026-04-05": "Easter_Sunday_2026", "2026-05-24": "Pentecost_Sunday", "2026-06-14": "11th_Sunday_in_Ordinary_Time", "2026-11-01": "All_Saints_Day", "2026-11-15": "33rd_Sunday_in_Ordinary_Time",
+        "2026-11-22": "Our_Lord_Jesus_Christ_King_of_the_Universe", "2026-11-29": "1st_Sunday_of_Advent", "2026-12-25": "Christmas_Day", "2026-12-27": "The_Holy_Family", "2023-12-31": "The_Holy_Family", "2025-12-28": "The_Holy_Family",
+    }
+    assert {k: got.get(k) for k in want} == want
+    import datetime as dt
+
+    days = {dt.date(2026, 1, 4) + dt.timedelta(days=7 * i) for i in range(52)}
+    assert {str(d) for d in days} <= set(got)
+
+
+def test_freshness_gate(spark):
+    rows = [("a", "ok", None, "https://x/010126.pdf", "pdf"), ("b", "ok", None, "https://x/140626.pdf", "pdf"), ("c", "ok", None, "https://x/undated", "pdf"), ("d", "error", None, "https://x/010126.pdf", "pdf"), ("e", "ok", True, "https://x/010126.pdf", "pdf"), (None, "ok", None, None, None), ("f", "ok", None, "https://x/2026-08-01", "recipe")]
+    df = spark.createDataFrame(rows, "key string, status string, is_stale boolean, url string, file_type string").selectExpr("*", "key AS display_name", "string(null) AS error", "string(null) AS stale_reason", "string(null) AS retry_strategy")
+    entries = spark.createDataFrame([("a", "A", "pdf", "https://page")], "key string, pattern string, content_type string, bulletin_page string")
+    out, retry = reports.freshness_gate(df, F.lit("2026-06-14").cast("date"), entries)
+    assert out.columns == df.columns and out.count() == 7
+    assert {(r["key"], r["reason"], r["strategy"], r["bulletin_page"]) for r in retry.collect()} == {("a", "date_behind_of_target", "rescrape_bulletin_page", "https://page"), ("f", "date_ahead_of_target", "retrain_recipe", "")}
+    assert {r["key"] for r in out.where("status = 'error'").collect()} == {"a", "d", "f"}
