@@ -70,24 +70,30 @@ def name_links(lines: DataFrame, file: str = "file") -> DataFrame:
     return s.where(F.startswith(u, F.lit("http"))).groupBy(file, "section").agg(F.first("name").alias("name"), F.min_by(u, "pos").alias("url"))
 
 
-def split_by_markers(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``<id_col>, key, chunk``: a document cut at the lines that are a name and nothing else.
+def marker_spans(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``<id_col>, key, pos, length``: the lines of each key, from the first that is its name and nothing else to the next key's.
 
-    Each key's first such line counts; its chunk ends at the next key's. Lines meet names by an equi-join on
-    their normal form. ``names``: ``key, display_name``. Windows hold one document's markers.
+    Lines meet names by an equi-join on their normal form. ``names``: ``key, display_name``. Windows hold one
+    document's markers.
     """
     form = lambda c: X.squeezed(F.lower(c))
     n = F.col("display_name")
     short = F.trim(F.regexp_replace(n, r"\s*\(.*\)\s*", ""))
     plain = F.when(F.endswith(F.lower(n), F.lit(" parish")), F.left(n, F.length(n) - 7))
     wanted = names.select("key", F.explode(F.array_distinct(F.filter(F.array(form(n), form(plain), form(short)), lambda x: F.length(x) >= 3))).alias("_form")).distinct()
-    lines = docs.where(F.col(text).isNotNull()).select(id_col, F.posexplode(F.split(F.trim(text), "\n")).alias("pos", "line"))
-    marks = lines.withColumn("_form", form(F.col("line"))).join(wanted, "_form").groupBy(id_col, "key").agg(F.min("pos").alias("pos"))
+    whole = docs.where(F.col(text).isNotNull()).select(id_col, F.split(F.trim(text), "\n").alias("_l"))
+    lines = whole.select(id_col, F.size("_l").alias("_n"), F.posexplode("_l").alias("pos", "line"))
+    marks = lines.withColumn("_form", form(F.col("line"))).join(wanted, "_form").groupBy(id_col, "key").agg(F.min("pos").alias("pos"), F.first("_n").alias("_n"))
     w = Window.partitionBy(id_col).orderBy("pos", "key")
-    spans = marks.withColumn("_end", F.lead("pos").over(w))
+    return marks.select(id_col, "key", "pos", (F.coalesce(F.lead("pos").over(w), F.col("_n")) - F.col("pos")).alias("length"))
+
+
+def split_by_markers(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``<id_col>, key, chunk``: a document cut at the lines that are a name and nothing else."""
+    spans = marker_spans(docs, names, id_col, text)
     parts = spans.join(docs.select(id_col, F.split(F.trim(text), "\n").alias("_l")), id_col)
-    length = F.coalesce("_end", F.size("_l")) - F.col("pos")
-    return parts.select(id_col, "key", F.trim(F.array_join(F.slice("_l", F.col("pos") + 1, length), "\n"), F.lit(" \n\r\t")).alias("chunk"))
+    chunk = F.array_join(F.slice("_l", F.col("pos") + 1, F.col("length")), "\n")
+    return parts.select(id_col, "key", F.trim(chunk, F.lit(" \n\r\t")).alias("chunk"))
 
 
 def with_gotos(clicks: DataFrame, chain: str = "chain", seq: str = "seq") -> DataFrame:

@@ -431,12 +431,25 @@ def best_link_per_page(spark, sf):
     return ranking.best_listing_link(_links(spark, sf), target()).select("page", "idx", "href", "token", "in_week", "not_stale")
 
 
-@query()
+PAGE_TOKENS_SQL = f"[strftime({_T}, '%d%m%y'), strftime({_T}, '%d%m%Y'), strftime({_T}, '%Y-%m-%d'), strftime({_T}, '%Y%m%d'), strftime({_T}, '%-d-%-m-%y'), strftime({_T}, '%-d-%m-%y'), lower(strftime({_T}, '%-d-%B-%Y')), lower(strftime({_T}, '%-d%B%Y')), lower(strftime({_T}, '%-d%b%Y')), strftime({_T}, '%y.%m.%d.pdf'), strftime({_T}, '%y.%m.%d')]"
+SCORED = f"""(SELECT page, idx, href, CAST(len(list_filter({PAGE_TOKENS_SQL}, lambda t: contains(url, t))) > 0 AS INTEGER) AS token, CAST(coalesce(d BETWEEN {_T} - 6 AND {_T}, false) AS INTEGER) AS in_week,
+ CAST(d IS NULL OR d BETWEEN {_T} - 6 AND {_T} AS INTEGER) AS not_stale, d AS day FROM (SELECT page, idx, href, url, coalesce({DATE_SQL}, {SLUG_SQL}) AS d FROM (SELECT page, idx, href, lower(href || ' ' || text) AS url FROM {LINKS})))"""
+
+
+@query(f"""SELECT page, idx, token, in_week, not_stale, day FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY token DESC, in_week DESC, not_stale DESC, day DESC NULLS LAST, idx) AS rn FROM {SCORED}) WHERE rn = 1""")
 def best_candidate_per_page(spark, sf):
-    return ranking.best_candidate(_links(spark, sf), target())
+    return ranking.best_candidate(_links(spark, sf), target()).select("page", "idx", "token", "in_week", "not_stale", "day")
 
 
-@query()
+_DASHED = "(?:^|[^0-9])([0-9]{1,2}-[0-9]{1,2}-[0-9]{2})(?:[^0-9]|$)"
+OTHER_SQL = "regexp_matches(href, '(?i)dataentry|giftaid|standingorder|donation|prayer|safeguarding|privacy|gdpr|diocese|sitemap|application|registration|volunteer|finances|financial|parishdraw|mcn[ ]*media') AND NOT regexp_matches(href, '(?i)\\b(?:bulletin|newsletter)\\b')"
+
+
+@query(f"""WITH l AS (SELECT page, idx, href, lower(href) AS url FROM {LINKS} WHERE NOT ({OTHER_SQL})),
+ s AS (SELECT page, idx, href, CAST(greatest(coalesce(list_max(list_transform(regexp_extract_all(url, '{_DASHED}', 1), lambda x: (2000 + CAST(split_part(x, '-', 3) AS INTEGER)) * 10000 + CAST(split_part(x, '-', 2) AS INTEGER) * 100 + CAST(split_part(x, '-', 1) AS INTEGER))), 0),
+  coalesce((2000 + try_cast({_rx(_P['dmy6'], 3)} AS INTEGER)) * 10000 + try_cast({_rx(_P['dmy6'], 2)} AS INTEGER) * 100 + try_cast({_rx(_P['dmy6'], 1)} AS INTEGER), 0)) AS INTEGER) AS date_score,
+  CASE WHEN regexp_matches(url, '\\b(?:bulletin|newsletter)\\b') THEN 10 ELSE 0 END AS bonus FROM l)
+ SELECT page, idx, href, date_score, bonus FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY date_score DESC, bonus DESC, idx) AS rn FROM s) WHERE rn = 1""")
 def best_document_per_page(spark, sf):
     return ranking.best_document(_links(spark, sf))
 
@@ -451,7 +464,8 @@ def date_first_link(spark, sf):
     return ranking.date_first(_links(spark, sf))
 
 
-@query()
+@query(f"""SELECT s.page, max(s.day) AS newest FROM {SCORED} s JOIN (SELECT page, idx FROM (SELECT page, idx, lower(href) AS url FROM {LINKS}) WHERE coalesce({DATE_SQL}, {SLUG_SQL}) IS NOT NULL) d ON d.page = s.page AND d.idx = s.idx
+ GROUP BY s.page HAVING bool_and(day IS NOT NULL) AND NOT bool_or(in_week + token > 0)""")
 def stale_pages(spark, sf):
     return ranking.stale_pages(_links(spark, sf).where(D.candidate_date(F.lower("href")).isNotNull()), target())
 
@@ -531,6 +545,19 @@ def line_diff_exact(spark, sf):
     return _pairs(spark, sf).withColumn("d", Y.diff_lines("new", "old")).select("doc", "previous_doc", "d.*")
 
 
+@query("""WITH nm AS (SELECT DISTINCT key, unnest(list_filter([f, CASE WHEN lower(n) LIKE '% parish' THEN trim(regexp_replace(lower(left(n, length(n) - 7)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE '' END,
+  trim(regexp_replace(lower(trim(regexp_replace(n, '[ \\t\\n\\x0B\\f\\r]*\\(.*\\)[ \\t\\n\\x0B\\f\\r]*', '', 'g'))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))], lambda x: length(x) >= 3)) AS form
+  FROM (SELECT key, display_name AS n, trim(regexp_replace(lower(display_name), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS f FROM contacts WHERE key IS NOT NULL AND display_name IS NOT NULL)),
+ l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(trim(text), chr(10)) AS ls FROM documents WHERE source = 'merged_edition' AND text IS NOT NULL)),
+ m AS (SELECT doc_id, key, min(pos) AS pos FROM l JOIN nm ON nm.form = trim(regexp_replace(lower(line), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) GROUP BY 1, 2),
+ w AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, key) AS nxt FROM m)
+ SELECT doc_id, key, CAST(w.pos - 1 AS INTEGER) AS first_line, CAST(coalesce(nxt, n + 1) - w.pos AS INTEGER) AS n_lines FROM w JOIN (SELECT doc_id, max(pos) AS n FROM l GROUP BY 1) x USING (doc_id)""")
+def marker_spans(spark, sf):
+    docs = table(spark, sf, "documents").where("source = 'merged_edition'")
+    names = table(spark, sf, "contacts").where("key IS NOT NULL AND display_name IS NOT NULL").select("key", "display_name")
+    return sections.marker_spans(docs, names).select("doc_id", "key", F.col("pos").alias("first_line"), F.col("length").alias("n_lines"))
+
+
 @query()
 def split_by_marker(spark, sf):
     docs = table(spark, sf, "documents").where("source = 'merged_edition'")
@@ -726,7 +753,13 @@ def dead_recipes(spark, sf):
     return recipes.dead_sources(_recorded(spark, sf), h)
 
 
-@query()
+_NORMAL = "regexp_replace({h}, '^www\\d*\\.', '') || lower(regexp_replace(regexp_extract(replace(trim(url), ' ', '%20'), '^[^:]+://[^/?#]+([^?#]*)', 1), '/+$', ''))".format(h=HOST_SQL)
+_SITE = f"regexp_replace({HOST_SQL}, '^www\\d*\\.', '')"
+
+
+@query(f"""WITH r AS (SELECT lower(trim(key)) AS key, website AS url FROM contacts WHERE website IS NOT NULL), n AS (SELECT {_NORMAL} AS n, min(key) AS k FROM r GROUP BY 1),
+ s AS (SELECT {_SITE} AS s, min(key) AS k FROM r GROUP BY 1 HAVING count(DISTINCT key) = 1)
+ SELECT u.url, coalesce(n.k, s.k, split_part(u.s, '.', 1)) AS source FROM (SELECT url, {_NORMAL} AS n, {_SITE} AS s FROM {URLS}) u LEFT JOIN n ON n.n = u.n LEFT JOIN s ON s.s = u.s""")
 def registry_keys(spark, sf):
     reg = table(spark, sf, "contacts").where("website IS NOT NULL").select(norm_key("key").alias("key"), F.col("website").alias("url"))
     return recipes.registry_keys(_urls(spark, sf), reg, ["social.example"])
