@@ -204,10 +204,13 @@ def consistent_names(rows: DataFrame, table: dict[int, str], text: str = "displa
     Columns that already have these two names are replaced, all others stay; repeated rows each come out.
 
     The rows meet their forms by an equi-join on the text, whose hot values adaptive execution splits; the
-    side of the forms has one row per distinct text.
+    side of the forms has one row per distinct text. Rows without a text, which a join would send to one
+    task, pass it by.
     """
     own = [f"{text}_form", f"{text}_disguised"]
     forms = name_forms(rows, table, text).select(F.col(text).alias("__text"), F.col("form").alias(own[0]), F.col("disguised").alias(own[1]))
     rows = rows.drop(*own)
-    out = rows.join(forms, rows[text] == forms["__text"], "left").drop(forms["__text"])
-    return out.withColumn(own[1], F.coalesce(own[1], F.lit(False)))
+    said = rows.where(F.col(text).isNotNull())
+    met = said.join(forms, said[text] == forms["__text"]).drop(forms["__text"])
+    silent = rows.where(F.col(text).isNull()).withColumns({own[0]: F.lit(None).cast("string"), own[1]: F.lit(False)})
+    return met.unionByName(silent)
