@@ -12,12 +12,12 @@ from almanac.functions import urls as U
 STEP = "struct<action:string,url:string,selector:string,text:string>"
 
 
-def fingerprints(recipes: DataFrame) -> DataFrame:
-    """``key, n_steps, clicks, flow`` and flags; ``flow`` is the ordered list of actions."""
+def fingerprints(recipes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``key`` (or the columns ``by``), ``n_steps, clicks, flow`` and flags; ``flow`` is the ordered list of actions."""
     s = F.coalesce("steps", F.array().cast(f"array<{STEP}>"))
     has = lambda a: F.exists(s, lambda x: x["action"] == a)
     return recipes.select(
-        "key", F.size(s).alias("n_steps"), F.size(F.filter(s, lambda x: x["action"] == "click")).alias("clicks"), has("download").alias("downloads"),
+        *(by or ["key"]), F.size(s).alias("n_steps"), F.size(F.filter(s, lambda x: x["action"] == "click")).alias("clicks"), has("download").alias("downloads"),
         has("html").alias("captures"), F.exists(s, lambda x: F.coalesce(P.cloud_folder(x["url"]), F.lit(False))).alias("cloud"),
         F.array_join(F.transform(s, lambda x: x["action"]), ">").alias("flow"),
     )

@@ -725,20 +725,36 @@ def rss_feeds(spark, sf):
     return writers.rss(g.select(F.col("diocese").alias("name"), X.display_name(F.col("diocese")).alias("title"), F.concat(F.lit("https://feeds.example/"), "diocese", F.lit(".pdf")).alias("link"), target().alias("day"), F.format_string("%.1f%%", "rate").alias("rate")), as_of())
 
 
-def _recorded(spark, sf) -> DataFrame:
-    """A recipe per source: what its first results did, as steps."""
+def _key_results(spark, sf) -> DataFrame:
     action = F.when(F.col("status") == "ok", "download").when(F.col("status") == "html_link", "html").when(F.col("status") == "skipped", "goto").otherwise("click")
-    r = results(spark, sf).where("key IS NOT NULL").withColumn("action", action)
-    first = order.first_rows(r, ["key"], [F.col("result_id")], 4)
+    return results(spark, sf).where("key IS NOT NULL").withColumn("action", action)
+
+
+def _as_recipes(r: DataFrame, *by: str) -> DataFrame:
     step = F.struct("result_id", F.struct("action", "url", F.lit(None).cast("string").alias("selector"), F.col("display_name").alias("text")).alias("s"))
-    g = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("steps"), F.min_by("url", "result_id").alias("start_url"))
+    g = r.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("steps"), F.min_by("url", "result_id").alias("start_url"))
     return g.withColumn("status", F.lit("active"))
 
 
+def _recorded(spark, sf) -> DataFrame:
+    """A recipe per source and run: all that its results of that run did, as steps."""
+    return _as_recipes(_key_results(spark, sf), "key", "run_id")
+
+
+def _first_recorded(spark, sf) -> DataFrame:
+    """A recipe per source of its first four results only, as the SQL of ``recipe_fingerprints`` has it."""
+    return _as_recipes(order.first_rows(_key_results(spark, sf), ["key"], [F.col("result_id")], 4), "key")
+
+
 @query(f"""WITH f AS (SELECT key, result_id, CASE status WHEN 'ok' THEN 'download' WHEN 'html_link' THEN 'html' WHEN 'skipped' THEN 'goto' ELSE 'click' END AS a, row_number() OVER (PARTITION BY key ORDER BY result_id) AS rn FROM {FR} WHERE key IS NOT NULL)
  SELECT key, CAST(count(*) AS INTEGER) AS n_steps, CAST(count(*) FILTER (a = 'click') AS INTEGER) AS clicks, bool_or(a = 'download') AS downloads, bool_or(a = 'html') AS captures, false AS cloud, string_agg(a, '>' ORDER BY result_id) AS flow FROM f WHERE rn <= 4 GROUP BY key""")
 def recipe_fingerprints(spark, sf):
-    return recipes.fingerprints(_recorded(spark, sf))
+    return recipes.fingerprints(_first_recorded(spark, sf))
+
+
+@query()
+def recipe_run_fingerprints(spark, sf):
+    return recipes.fingerprints(_recorded(spark, sf), ["key", "run_id"])
 
 
 @query()
@@ -750,7 +766,7 @@ def recipe_standalone(spark, sf):
  SELECT key, 'dead_url' AS status, 'host unknown' AS reason FROM k WHERE key IN (SELECT key FROM h WHERE strikes >= 2 AND last_result = 'nxdomain')""")
 def dead_recipes(spark, sf):
     h = table(spark, sf, "site_health").groupBy("key").agg(F.max("nxdomain_strikes").alias("strikes"), F.max_by("last_result", "row_id").alias("last_result"))
-    return recipes.dead_sources(_recorded(spark, sf), h)
+    return recipes.dead_sources(_first_recorded(spark, sf), h)
 
 
 _NORMAL = "regexp_replace({h}, '^www\\d*\\.', '') || lower(regexp_replace(regexp_extract(replace(trim(url), ' ', '%20'), '^[^:]+://[^/?#]+([^?#]*)', 1), '/+$', ''))".format(h=HOST_SQL)
