@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.session import norm_key
+
 NUMBER = "0"
 ADDRESS = "addr"
 QUOTED = "quoted"
@@ -146,17 +148,16 @@ def templates(df: DataFrame, fields: list[str], source: str, recurring: int = 5,
     """Distinct templates: ``field, h, template, n_rows, n_sources, widely, verdict``.
 
     The values are grouped by the hash of their masked form, with partial aggregation before the shuffle; a
-    template that a third of all rows share is one row per task. ``widely`` marks those of at least
-    ``recurring`` sources (estimated with a sketch, so that a hot template needs no set of its sources).
+    template that a third of all rows share is one row per task and source. ``widely`` marks those of at least
+    ``recurring`` sources. They are counted exactly, keys trimmed and in lower case: first rows per template and
+    source, then sources per template, so that a hot template needs no set of its sources. Null is no source.
     A template is judged once, however many rows have it.
     """
     long = _long(df, id_col or df.columns[0], fields, source)
+    each = long.groupBy("field", F.xxhash64("field", "template").alias("h"), norm_key("_src").alias("_src")).agg(F.min("template").alias("template"), F.count("*").alias("n"))
     grouped = (
-        long.groupBy("field", F.xxhash64("field", "template").alias("h"))
-        .agg(
-            F.min("template").alias("template"), F.count("*").alias("n_rows"),
-            F.approx_count_distinct("_src", 0.1).alias("n_sources"),
-        )
+        each.groupBy("field", "h")
+        .agg(F.min("template").alias("template"), F.sum("n").alias("n_rows"), F.count("_src").alias("n_sources"))
         .withColumn("widely", F.col("n_sources") >= recurring)
     )
     return grouped.withColumn("verdict", verdict(F.col("template")))
@@ -174,7 +175,8 @@ def residue_values(df: DataFrame, id_col: str, fields: list[str], source: str) -
     Scale: only the few judged templates are joined back, by hash; adaptive execution broadcasts them if their
     measured size allows and otherwise shuffles both sides by hash, splitting hot ones.
     """
-    bad = templates(df, fields, source, id_col=id_col).where("verdict IS NOT NULL").select("h", "verdict")
+    distinct = _long(df, id_col, fields, source).groupBy("field", F.xxhash64("field", "template").alias("h")).agg(F.min("template").alias("template"))
+    bad = distinct.withColumn("verdict", verdict(F.col("template"))).where("verdict IS NOT NULL").select("h", "verdict")
     long = _long(df, id_col, fields, source).select("_id", "field", F.xxhash64("field", "template").alias("h"))
     hits = long.join(bad, "h")
     return hits.groupBy(F.col("_id").alias(id_col), "field").agg(F.min("verdict").alias("verdict"))

@@ -43,3 +43,12 @@ def test_templates_merge_numbers_addresses_and_keys(spark):
     rows = [(i, f"src{i:04d}", f"No DNS answer for host{i}.example after {i} s at src{i:04d}") for i in range(50)]
     t = templates(spark.createDataFrame(rows, "result_id long, key string, error string"), ["error"], "key", id_col="result_id").collect()
     assert len(t) == 1 and t[0]["n_rows"] == 50 and t[0]["widely"] and t[0]["verdict"] is None
+
+
+def test_sources_are_counted_exactly(spark):
+    words = lambda t: "".join(chr(97 + int(c)) for c in f"{t:04d}")
+    rows = [(t * 100 + i, k, f"notice {words(t)}") for t in range(400) for i, k in enumerate([f"s{t}-{j}" for j in range(5)] + [f" S{t}-0 ", None])]
+    rows += [(100_000 + i, f"p{i}", "seen by four") for i in range(4)] + [(100_010, "p0", "seen by four")]
+    got = templates(spark.createDataFrame(rows, "result_id long, key string, error string"), ["error"], "key", id_col="result_id").collect()
+    assert {(r["n_sources"], r["n_rows"], r["widely"]) for r in got if r["template"] != "seen by four"} == {(5, 7, True)} and len(got) == 401
+    assert [(r["n_sources"], r["n_rows"], r["widely"]) for r in got if r["template"] == "seen by four"] == [(4, 5, False)]
