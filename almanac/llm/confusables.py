@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -16,8 +17,6 @@ from almanac.session import ship, spread
 TYPOGRAPHIC = "’‘“”–—"
 #: Prototypes that differ from the public confusables data. The palochka is drawn as a bar.
 OVERRIDES = {0x4CF: "l", 0x4C0: "I"}
-#: Code points for which prototypes are taken: letters, marks, punctuation and symbols outside ASCII.
-RANGES = ((0x80, 0x3100), (0xA640, 0xAB70), (0xFB00, 0xFB50), (0xFE10, 0xFE70), (0xFF00, 0xFFF0), (0x10280, 0x10500), (0x1D400, 0x1D800))
 _IGNORABLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
 
 
@@ -34,7 +33,7 @@ def invisible(ch: str) -> bool:
 def lookalike_table(spark: SparkSession) -> dict[int, str]:
     """Prototype of every look-alike character, from the public confusables data in the ICU library that Spark ships.
 
-    Kept are prototypes of one or two ASCII characters. ASCII characters are their own prototypes, so
+    All assigned letters, numbers, punctuation and symbols outside ASCII are asked for. Kept are prototypes of one or two ASCII characters. ASCII characters are their own prototypes, so
     spelling with plainly typed characters (1 for l, 0 for O) stays apart; so do composed Latin letters.
     An upper-case letter drawn as a bar gets I, not l. The table has a few thousand entries.
     """
@@ -42,7 +41,7 @@ def lookalike_table(spark: SparkSession) -> dict[int, str]:
     if cached is not None:
         return cached
     points = [
-        cp for a, b in RANGES for cp in range(a, b)
+        cp for cp in range(0x80, sys.maxunicode + 1)
         if unicodedata.category(chr(cp))[0] in "LPSN" and not _plain_latin(chr(cp)) and chr(cp) not in TYPOGRAPHIC
     ]
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()

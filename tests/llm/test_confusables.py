@@ -63,3 +63,8 @@ def test_empty_table_and_long_text(spark):
     long = "Ａ" * 200_000
     row = consistent_names(spark.createDataFrame([(long,)], "display_name string"), t).first()
     assert row["display_name_form"] == "A" * 200_000 and row["display_name_disguised"]
+
+
+@pytest.mark.parametrize(("text", "form"), [("ꓐallymore", "Ballymore"), ("Ꮶnockꓰast", "KnockEast"), ("Kilꮃood", "Kilwood"), ("\U00010513orth", "North"), ("ꓡismore", "Lismore")])
+def test_look_alikes_of_all_alphabets(tf, text, form):
+    assert tf.form(text) == form and tf.disguised(text) and tf.skeleton(text) == tf.skeleton(form) and tf.fold_text(text) == form
