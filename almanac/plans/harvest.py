@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.operators.orphans import Edge, direct_orphans, orphan_cascade
+from almanac.operators.orphans import Edge, orphan_cascade
 from almanac.operators.snapshots import change_counts, snapshot_changes
 from almanac.session import norm_key, table, utc_date
 
@@ -69,15 +69,19 @@ WEEK_EDGES = [
 ]
 
 
+def _periods(nodes: dict[str, DataFrame], edges: list[Edge]) -> DataFrame:
+    """``table_name, row_id, period`` of the rows of all referring tables."""
+    days = None
+    for t in dict.fromkeys(e.child for e in edges):
+        part = nodes[t].select(F.lit(t).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.date_format("day", "yyyy-MM").alias("period"))
+        days = part if days is None else days.unionByName(part)
+    return days
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _nodes(spark, sf)
-    out = None
-    for e in REGISTRY_EDGES:
-        part = direct_orphans(nodes[e.child], nodes[e.parent], e).select(
-            F.lit(e.child).alias("table_name"), F.date_format("day", "yyyy-MM").alias("period"), "row_id"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = orphan_cascade(nodes, REGISTRY_EDGES).where("kind = 'direct'").select("table_name", "row_id")
+    return found.join(_periods(nodes, REGISTRY_EDGES), ["table_name", "row_id"]).select("table_name", "period", "row_id")
 
 
 def p5_orphan_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,10 +89,7 @@ def p5_orphan_report(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _nodes(spark, sf)
     edges = REGISTRY_EDGES + WEEK_EDGES
     found = orphan_cascade(nodes, edges)
-    days = None
-    for t in dict.fromkeys(e.child for e in edges):
-        part = nodes[t].select(F.lit(t).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.date_format("day", "yyyy-MM").alias("period"))
-        days = part if days is None else days.unionByName(part)
+    days = _periods(nodes, edges)
     return (
         found.join(days, ["table_name", "row_id"])
         .groupBy("table_name", "edge", "period")

@@ -42,3 +42,11 @@ def test_recipes_have_every_result(spark, con):
     ends = "('download', 'html', 'image')"
     want = f"""SELECT key, run_id, len(a) - greatest(len(list_filter(a, lambda x: x IN {ends})) - 1, 0) + CASE WHEN a[1] = 'goto' THEN 0 ELSE 1 END AS n FROM (SELECT key, run_id, string_split(flow, '>') AS a FROM ({steps}))"""
     assert compare(whole.selectExpr("key", "run_id", "size(steps) AS n"), con, want) == ""
+
+
+def test_p5_found_goes_through_the_cascade(spark, con, monkeypatch):
+    from almanac.plans import harvest
+
+    ran, cascade = [], harvest.orphan_cascade
+    monkeypatch.setattr(harvest, "orphan_cascade", lambda *a, **k: ran.append(1) or cascade(*a, **k))
+    assert compare(harvest.p5_found(spark, SF), con, SQL["p5_found"]) == "" and ran
