@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.session import written
 
+#: Rounds after which the finds of all rounds become one table, so that plans of deep graphs stay small.
+GATHER = 16
+
 
 @dataclass
 class Edge:
@@ -58,16 +62,17 @@ def direct_orphans(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame
     return child.join(p, on, "left_anti")
 
 
-def orphan_cascade(nodes: dict[str, DataFrame], edges: list[Edge], id_col: str = "row_id", max_rounds: int = 64) -> DataFrame:
+def orphan_cascade(nodes: dict[str, DataFrame], edges: list[Edge], id_col: str = "row_id", max_rounds: int | None = None) -> DataFrame:
     """Fixpoint over the foreign-key graph: ``table_name, <id_col>, edge, kind (direct | inherited), depth``.
 
     A row is a *direct* orphan (depth 0) by an edge whose reference nothing answers. It *inherits* when its
     reference is answered by orphaned rows only. Each round semi-joins the children of the newly orphaned
     rows; the loop ends when a round finds none (cycles end because a row is orphaned once). One row per
-    (table, id, edge); the smallest depth wins. ``id_col`` must be unique per table.
+    (table, id, edge); the smallest depth wins. ``id_col`` must be unique per table. With ``max_rounds``, rows that
+    are still found after so many rounds are an error.
 
-    Each round's finds are written to the shared folder, so lineage stays short and a lost executor costs
-    one round at most. Only row counts reach the driver.
+    Each round's finds are written to the shared folder, and every ``GATHER`` rounds all finds together, so lineage
+    stays short and a lost executor costs one round at most. Only row counts reach the driver.
     """
     schema_cols = ["table_name", id_col, "edge", "kind", "depth"]
 
@@ -81,7 +86,7 @@ def orphan_cascade(nodes: dict[str, DataFrame], edges: list[Edge], id_col: str =
         reduce(DataFrame.unionByName, [tag(direct_orphans(nodes[e.child], nodes[e.parent], e), e, "direct", 0) for e in edges]),
         "orphans",
     )
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         fresh = found.where(F.col("depth") == depth - 1).select("table_name", id_col).distinct()
         parts = []
         for e in edges:
@@ -103,5 +108,9 @@ def orphan_cascade(nodes: dict[str, DataFrame], edges: list[Edge], id_col: str =
         step = written(reduce(DataFrame.unionByName, parts), "orphans")
         if step.isEmpty():
             break
+        if max_rounds is not None and depth > max_rounds:
+            raise ValueError(f"orphans are still inherited after {max_rounds} rounds")
         found = found.unionByName(step)
+        if depth % GATHER == 0:
+            found = written(found, "orphans")
     return found.select(schema_cols)

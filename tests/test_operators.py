@@ -78,6 +78,15 @@ def test_cascade(spark):
     assert got == {("a", 2, "direct", 0), ("a", 4, "direct", 0), ("b", 12, "direct", 0), ("b", 11, "inherited", 1), ("c", 21, "inherited", 1), ("c", 20, "inherited", 2)}
 
 
+def test_deep_cascade(spark, monkeypatch):
+    monkeypatch.setattr("almanac.operators.orphans.GATHER", 2)
+    nodes = {"t": spark.createDataFrame([(i, f"k{i}", f"k{i - 1}") for i in range(1, 6)], "row_id long, k string, ref string").coalesce(1)}
+    edge = Edge("t", ["ref"], "t", ["k"])
+    assert {(r["row_id"], r["depth"]) for r in orphan_cascade(nodes, [edge]).collect()} == {(i, i - 1) for i in range(1, 6)}
+    with pytest.raises(ValueError):
+        orphan_cascade(nodes, [edge], max_rounds=2)
+
+
 def test_failures_strikes_and_confidence_against_folds(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("abc"), rng.choice(["ok", "error", "error", "html_link", "skipped", None])) for i in range(120)]
