@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from almanac.llm.mixing import MixParameters, mix, splitting_tree, water_fill
+from almanac.llm.mixing import MixParameters, mix, mix_quotas, mix_sizes, splitting_tree, water_fill
 from almanac.llm.tokens import ByteTokenizer, token_counts
 
 TARGETS = "mix_id int, source string, weight double, max_repeats int, total_fraction double"
@@ -15,14 +15,55 @@ def test_water_fill():
 
 
 def test_splitting_tree_keeps_quotas_and_mean():
-    rng = np.random.default_rng(1)
-    deals = np.array([splitting_tree([30, 10, 0, 3], 5, rng) for _ in range(300)])
+    deals = np.array([[units for _, _, units in splitting_tree([30, 10, 0, 3], 5, [1, i])] for i in range(300)])
     assert (deals.sum(1) == [30, 10, 0, 3]).all()
     sizes = deals.sum(2)
     assert sizes.max() - sizes.min() <= 1
     assert np.allclose(deals.mean(0)[:, 0], 30 * sizes.mean(0) / 43, atol=0.3)
 
 
+def test_parts_of_the_tree_are_the_tree():
+    whole = [(s, b.tolist(), u.tolist()) for s, b, u in splitting_tree([700, 0, 41, 5000], 100, [3])]
+    parts = [(s, b.tolist(), u.tolist()) for a in range(0, 100, 7) for s, b, u in splitting_tree([700, 0, 41, 5000], 100, [3], a, min(100, a + 7))]
+    assert parts == whole and [s for s, _, _ in whole] == list(range(100))
+    at = np.zeros(4, int)
+    for _, begins, units in whole:
+        assert (at == begins).all()
+        at += units
+    assert at.tolist() == [700, 0, 41, 5000]
+
+
+def test_shards_of_a_trillion_tokens():
+    p, tokens = MixParameters(), 10**12
+    shards = -(-tokens // p.shard_tokens)
+    counts = [tokens // 2 // p.block_tokens, tokens // 3 // p.block_tokens, tokens // 6 // p.block_tokens, 1]
+    for first in (0, shards // 2, shards - p.subtree):
+        deals = [int(u.sum()) for _, _, u in splitting_tree(counts, shards, [p.seed, 1], first, first + p.subtree)]
+        assert len(deals) == p.subtree
+        assert min(deals) * p.block_tokens > p.shard_tokens / 2 and max(deals) * p.block_tokens < p.shard_tokens * 2
+    with pytest.raises(ValueError):
+        next(splitting_tree([10**9], 2, [1]))
+
+
+def test_many_shards_of_known_sizes(spark):
+    sizes = spark.range(200_000).selectExpr("id AS _id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 1000 = 1 THEN 'tiny' ELSE concat('s', id % 7) END AS source", "200 + id % 101 AS tokens")
+    targets = spark.createDataFrame([(1, "hot", 2.0, 1, 0.4), (1, "tiny", 1.0, 500, 0.4), (1, "s1", 1.0, 2, 0.4)], TARGETS)
+    p = MixParameters(block_tokens=1000, shard_tokens=64_000, subtree=16)
+    selection, report = mix_sizes(sizes, targets, p)
+    of = {r["shard"]: r["n"] for r in selection.groupBy("shard").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "n").collect()}
+    assert sorted(of) == list(range(max(of) + 1)) and len(of) > 200
+    assert min(of.values()) > 32_000 and max(of.values()) < 128_000
+    rep = {r["source"]: r for r in report.collect()}
+    assert all(abs(r["tokens"] - r["quota"]) <= 300 for r in rep.values()) and rep["tiny"]["max_uses"] > 100
+    assert abs(rep["hot"]["actual_share"] - 0.5) < 0.001
+    assert selection.groupBy("doc_id", "copy").count().where("count > 1").count() == 0
+
+
+def test_a_million_repeats_stay_within_the_quota():
+    quotas = mix_quotas([{"mix_id": 1, "source": "a", "weight": 1.0, "max_repeats": 10**6, "total_fraction": 1.0}], {"a": 10}, 10**7)
+    assert quotas == [(1, "a", 1.0, 10**7)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, f"word {i} " * (1 + i % 7), "big") for i in range(600)] + [(1000 + i, "some small text here", "small") for i in range(20)]
