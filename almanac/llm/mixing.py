@@ -154,15 +154,14 @@ def mix_sizes(sizes: DataFrame, targets: DataFrame, p: MixParameters = MixParame
     for r in units.groupBy("mix_id", "source").agg(F.count("*").alias("n")).collect():
         counts.setdefault(r["mix_id"], {})[r["source"]] = r["n"]
     shards = {m: max(1, ceil(sum(q for x, _, _, q in quotas if x == m) / p.shard_tokens)) for m in counts}
-    taken = blocked.join(units.join(_dealt(spark, counts, shards, p), ["mix_id", "source", "place"]).drop("place"), ["source", "block"])
-
+    placed = units.join(_dealt(spark, counts, shards, p), ["mix_id", "source", "place"]).drop("place")
     salt = F.xxhash64(F.lit(p.seed + 1), "_id", "copy", "mix_id")
     run = Window.partitionBy("mix_id", "source", "copy", "block").orderBy(salt, "_id")
-    part = (
-        taken.where("keep IS NOT NULL").withColumn("_sum", F.sum("tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    part = (  # one unit per target at most
+        blocked.join(F.broadcast(placed.where("keep IS NOT NULL")), ["source", "block"]).withColumn("_sum", F.sum("tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("_sum") - F.col("tokens") / 2 <= F.col("keep")).drop("_sum")
     )
-    selection = taken.where("keep IS NULL").unionByName(part)
+    selection = blocked.join(placed.where("keep IS NULL"), ["source", "block"]).unionByName(part)
     place = F.row_number().over(Window.partitionBy("mix_id", "shard").orderBy(salt, "_id", "copy"))
     selection = selection.select("mix_id", "shard", place.alias("position"), F.col("_id").alias(id_col), "source", F.col("copy").cast("int").alias("copy"), "tokens")
 
