@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.confusables import TextForm
+from almanac.llm.confusables import LookAlikes, TextForm
 from almanac.session import ship, spread
 
 #: What people put round a name and means nothing by itself, between blanks or in brackets.
@@ -243,7 +243,7 @@ def bounded_entries(refs: DataFrame, id_col: str, name_col: str, limit: int = 20
     return sorted((r[0], r[1]) for r in rows)
 
 
-def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: dict[int, str]) -> DataFrame:
+def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes) -> DataFrame:
     """``rows`` whose text is neither null nor blank, with ``ref_id`` (0: no entry), ``distance`` and the number of ``nearest`` entries.
 
     Distinct texts are searched once each (partial aggregation collapses a text that a third of the rows share

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.confusables import TextForm
+from almanac.llm.confusables import LookAlikes, TextForm
 from almanac.session import ship
 
 WORD = re.compile(r"[^\W_]+")
@@ -163,7 +163,7 @@ def bounded_items(items: DataFrame, id_col: str, text_col: str, limit: int = 200
     return sorted((r[0], r[1]) for r in rows)
 
 
-def leaked(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, str]], table: dict[int, str], least: int = 12) -> DataFrame:
+def leaked(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, str]], table: LookAlikes, least: int = 12) -> DataFrame:
     """Documents with the items of which they contain ``least`` consecutive words or more.
 
     Returns ``<id_col>, item_id, longest, words, doc_share``: the longest match, the document's words in
@@ -197,7 +197,7 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, s
 
 
 def decontaminated(
-    docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, str]], table: dict[int, str], least: int = 12, most_share: float = 0.5
+    docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, str]], table: LookAlikes, least: int = 12, most_share: float = 0.5
 ) -> DataFrame:
     """``<id_col>, text, removed_words, dropped``: the texts without leaked spans.
 

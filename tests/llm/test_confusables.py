@@ -9,8 +9,13 @@ def tf(spark):
     return TextForm(lookalike_table(spark))
 
 
+def disguised(tf, text):
+    own = tf.form(text)
+    return not tf.plain(text) and tf.plain(own) and tf.skeleton(own) == tf.skeleton(text)
+
+
 @pytest.mark.parametrize(
-    ("text", "form", "disguised"),
+    ("text", "form", "hidden"),
     [
         ("Lisjartór (St Évrin)", "Lisjartór (St Évrin)", False),
         ("Aghnafeӏfin", "Aghnafelfin", True),
@@ -30,9 +35,9 @@ def tf(spark):
         ("♣", "♣", False),
     ],
 )
-def test_single_texts(tf, text, form, disguised):
+def test_single_texts(tf, text, form, hidden):
     assert tf.form(text) == form
-    assert tf.disguised(text) is disguised
+    assert disguised(tf, text) is hidden
     assert tf.fold_text(text) == form
 
 
@@ -67,4 +72,25 @@ def test_empty_table_and_long_text(spark):
 
 @pytest.mark.parametrize(("text", "form"), [("ꓐallymore", "Ballymore"), ("Ꮶnockꓰast", "KnockEast"), ("Kilꮃood", "Kilwood"), ("\U00010513orth", "North"), ("ꓡismore", "Lismore")])
 def test_look_alikes_of_all_alphabets(tf, text, form):
-    assert tf.form(text) == form and tf.disguised(text) and tf.skeleton(text) == tf.skeleton(form) and tf.fold_text(text) == form
+    assert tf.form(text) == form and disguised(tf, text) and tf.skeleton(text) == tf.skeleton(form) and tf.fold_text(text) == form
+
+
+@pytest.mark.parametrize("pair", ["ЗƷ", "πᴨ", "βß", "пᴨ", "кĸ", "τᴛ"])
+def test_prototypes_of_any_kind(tf, pair):
+    assert tf.skeleton(pair[0]) == tf.skeleton(pair[1]) and tf.skeleton("x" + pair[0]) == tf.skeleton("x" + pair[1])
+
+
+def test_neighbours_at_any_distance(tf):
+    for long in ("щ" * 46, "ща"):
+        assert tf.form(long + " сор") == long + " сор"
+        assert tf.form("сор " + long) == "сор " + long
+        assert tf.form(long + "1" * 60 + " сор") == long + "1" * 60 + " сор"
+    assert tf.form("cab сор") == "cab cop"
+
+
+def test_found_by_the_plain_member_of_the_group(spark):
+    # the rewritten text is not plainly typed itself, but a member of its group is
+    df = spark.createDataFrame([("Weiß",), ("Weiβ",), ("Weiβ♣",), ("Kilmоre",), ("Зіма",)], "display_name string")
+    got = {r["display_name"]: (r["disguised"], r["form"]) for r in name_forms(df, lookalike_table(spark)).collect()}
+    assert got["Weiß"] == (False, "Weiß") and got["Weiβ"] == (True, "Weiß") and got["Kilmоre"] == (True, "Kilmore")
+    assert not got["Weiβ♣"][0] and not got["Зіма"][0]
