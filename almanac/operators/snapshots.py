@@ -16,6 +16,20 @@ def _value_hash(cols: list[str]):
     return F.xxhash64(*parts)
 
 
+#: Snapshots up to which the numbering is broadcast (some 60 bytes each), rows from which a key of a group is hot, and the most such keys.
+BROADCAST_SNAPSHOTS = 200_000
+HOT_ROWS = 1_000_000
+MOST_HOT = 10_000
+
+
+def _measured(rows: DataFrame, numbers: DataFrame, hot_rows: int) -> tuple[int, list[tuple]]:
+    """Number of snapshots, and the (group, key) pairs with ``hot_rows`` rows or more, in one job of partial aggregations."""
+    hot = rows.groupBy("_g", "_k").agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(MOST_HOT)
+    count = numbers.agg(F.count("*").alias("_n")).select(F.lit(None).alias("_g"), F.lit(None).cast("string").alias("_k"), "_n")
+    got = hot.select("_g", "_k", "_n").unionByName(count).collect()
+    return next(r["_n"] for r in got if r["_g"] is None), [(r["_g"], r["_k"]) for r in got if r["_g"] is not None]
+
+
 def snapshot_changes(
     df: DataFrame,
     group: str,
@@ -23,6 +37,7 @@ def snapshot_changes(
     key: str,
     values: list[str],
     recency: list[str],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Added, removed and changed keys of every two consecutive snapshots of a group.
 
@@ -38,32 +53,37 @@ def snapshot_changes(
     null and nulls equal each other; a group's first snapshot gives no rows; an empty table gives
     an empty result; other columns are ignored.
 
-    Scale: the first step is a partially aggregated ``max_by``, so repeated rows of a hot key
-    collapse before the shuffle; a window holds one key's snapshots of one group. The numbering
-    runs over the distinct (group, snapshot) pairs only, and joins by whatever strategy their
-    measured size allows.
+    Scale: the rows are shuffled once, by (group, key), narrowed to hashes; the last row of each key and snapshot and
+    the window are found in that partitioning, in one sort order. Keys with ``hot_rows`` rows or more in
+    a group (counted first, with partial aggregation; the ``MOST_HOT`` greatest) are reduced to their last rows per snapshot before
+    it, also by partial aggregation. The numbering, a row per snapshot, is counted and broadcast up to
+    ``BROADCAST_SNAPSHOTS``, beyond that joined as the planner chooses.
     """
     rows = (
         df.select(
             F.col(group).alias("_g"),
-            F.col(snapshot).alias("_s"),
             norm_key(key).alias("_k"),
+            F.col(snapshot).alias("_s"),
             _value_hash(values).alias("_h"),
             F.struct(*[F.col(c) for c in recency]).alias("_r"),
         )
         .where("_g IS NOT NULL AND _s IS NOT NULL")
     )
-    numbers = (
-        df.select(F.col(group).alias("_g"), F.col(snapshot).alias("_s"))
-        .where("_g IS NOT NULL AND _s IS NOT NULL")
-        .distinct()
-    )
+    numbers = rows.select("_g", "_s").distinct()
+    rows = rows.where("_k IS NOT NULL")
+    n_snapshots, hot = _measured(rows, numbers, hot_rows)
     order = Window.partitionBy("_g").orderBy("_s")
     numbers = numbers.select(
         "_g", "_s", F.row_number().over(order).alias("_i"), F.lead("_s").over(order).alias("_next")
     )
-    last = rows.where("_k IS NOT NULL").groupBy("_g", "_k", "_s").agg(F.max_by("_h", "_r").alias("_h"))
-    w = Window.partitionBy("_g", "_k").orderBy("_i")
+    if n_snapshots <= BROADCAST_SNAPSHOTS:
+        numbers = F.broadcast(numbers)
+    if hot:
+        few = F.broadcast(df.sparkSession.createDataFrame(hot, rows.select("_g", "_k").schema))
+        reduced = rows.join(few, ["_g", "_k"], "left_semi").groupBy("_g", "_k", "_s").agg(F.max_by("_h", "_r").alias("_h"), F.max("_r").alias("_r"))
+        rows = rows.join(few, ["_g", "_k"], "left_anti").unionByName(reduced)
+    last = rows.repartition("_g", "_k").groupBy("_g", "_k", "_s").agg(F.max_by("_h", "_r").alias("_h"))
+    w = Window.partitionBy("_g", "_k").orderBy("_s")
     marked = last.join(numbers, ["_g", "_s"]).select(
         "_g", "_k", "_s", "_i", "_h", "_next",
         F.lag("_i").over(w).alias("_pi"), F.lag("_h").over(w).alias("_ph"), F.lead("_i").over(w).alias("_ni"),

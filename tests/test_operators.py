@@ -52,6 +52,8 @@ def test_snapshot_changes_against_brute_force(spark):
     assert len(found) == len(set(found)) and set(found) == brute_changes(rows)
     n = change_counts(got, "station", "day").agg(F.sum(F.col("added") + F.col("removed") + F.col("changed"))).first()[0]
     assert n == len(found)
+    hot = snapshot_changes(df, "station", "day", "parish", ["url", "file"], ["delivered", "row_id"], hot_rows=3)
+    assert sorted(map(tuple, hot.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
     assert snapshot_changes(df.limit(0), "station", "day", "parish", ["url"], ["row_id"]).count() == 0
 
 
