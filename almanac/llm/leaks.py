@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,20 +121,22 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class LeakFinder:
-    """Holds the items; the automaton is built once in each task."""
+    """Holds the items; their automaton is built once in each Python worker and shared by its tasks."""
+
+    _built: dict[str, SuffixAutomaton] = {}
 
     def __init__(self, items: list[tuple[int, str]], form: TextForm, least: int = 12):
         self.texts, self.tf, self.least = items, form, least
-        self._auto: SuffixAutomaton | None = None
-
-    def __getstate__(self):
-        return {"texts": self.texts, "tf": self.tf, "least": self.least, "_auto": None}
+        self.mark = hashlib.sha256(repr((least, items)).encode("utf-8", "replace")).hexdigest()
 
     @property
     def automaton(self) -> SuffixAutomaton:
-        if self._auto is None:
-            self._auto = SuffixAutomaton(((i, words_of(t, self.tf)) for i, t in self.texts), self.least)
-        return self._auto
+        got = self._built.get(self.mark)
+        if got is None:
+            got = SuffixAutomaton(((i, words_of(t, self.tf)) for i, t in self.texts), self.least)
+            self._built.clear()  # a worker holds one
+            self._built[self.mark] = got
+        return got
 
     def find(self, text: str) -> tuple[list[str], dict[int, list[tuple[int, int]]]]:
         words = words_of(text, self.tf)
@@ -155,16 +159,34 @@ class LeakFinder:
         return "".join([*out, text[last:]])
 
 
-def bounded_items(items: DataFrame, id_col: str, text_col: str, limit: int = 200_000) -> list[tuple[int, str]]:
-    """The held-out items on the driver; an error beyond ``limit``, since every task builds their automaton."""
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} items; split them and take the union of the results")
-    return sorted((r[0], r[1]) for r in rows)
-
+def bounded_items(items: DataFrame, id_col: str, text_col: str, group_words: int = 250_000, most_bytes: int = 1 << 28) -> list[list[tuple[int, str]]]:
+    """The held-out items on the driver, in groups of ``group_words`` words (a longer item is a group by itself); an error beyond ``most_bytes`` of text.
 
-def leaked(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, str]], table: LookAlikes, least: int = 12) -> DataFrame:
-    """Documents with the items of which they contain ``least`` consecutive words or more.
+    A worker holds the automaton of one group: some 0.9 kB a word, so about 220 MB. Each group costs a pass over the documents.
+    """
+    known = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
+    size = known.agg(F.sum(F.octet_length(text_col) + 32)).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the items have {size} bytes, more than {most_bytes}; split them and take the union of the results")
+    groups: list[list[tuple[int, str]]] = [[]]
+    room = group_words
+    for i, text in sorted((r[0], r[1]) for r in known.collect()):
+        n = len(WORD.findall(text))
+        if n > room and groups[-1]:
+            groups.append([])
+            room = group_words
+        groups[-1].append((i, text))
+        room -= n
+    return groups if groups[0] else []
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+
+def leaked(docs: DataFrame, id_col: str, text_col: str, groups: list[list[tuple[int, str]]], table: LookAlikes, least: int = 12) -> DataFrame:
+    """Documents with the items of which they contain ``least`` consecutive words or more. ``groups`` as ``bounded_items`` gives them.
 
     Returns ``<id_col>, item_id, longest, words, doc_share``: the longest match, the document's words in
     matches with the item and their share of the document.
@@ -173,60 +195,78 @@ def leaked(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, s
     several items share counts for each; repeated documents each come out; other columns are ignored; no
     items or no documents give an empty result.
 
-    Scale: one pass over the two columns without any shuffle; a task holds the automaton and one Arrow batch.
-    The time per word doesn't depend on the number of items.
+    Scale: one pass over the two columns for each group of items, without any shuffle; a worker holds one automaton and one Arrow batch.
+    The time per word doesn't depend on the number of items of a group.
     """
     ship(docs.sparkSession)
-    finder = LeakFinder(items, TextForm(table), least)
     schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("words", pa.int32()), ("doc_share", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, found = finder.find(text)
-                for item, spans in found.items():
-                    n = sum(b - a for a, b in merged(spans))
-                    rows.append((i, item, max(b - a for a, b in spans), n, n / len(words)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+    def found_by(finder: LeakFinder):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words, found = finder.find(text)
+                    for item, spans in found.items():
+                        n = sum(b - a for a, b in merged(spans))
+                        rows.append((i, item, max(b - a for a, b in spans), n, n / len(words)))
+                yield _batch(rows, schema)
+
+        return run
 
     texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(run, "id long, item_id long, longest int, words int, doc_share double")
-    return out.withColumnRenamed("id", id_col)
+    form = TextForm(table)
+    parts = [texts.mapInArrow(found_by(LeakFinder(g, form, least)), "id long, item_id long, longest int, words int, doc_share double") for g in groups or [[]]]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)
 
 
 def decontaminated(
-    docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, str]], table: LookAlikes, least: int = 12, most_share: float = 0.5
+    docs: DataFrame, id_col: str, text_col: str, groups: list[list[tuple[int, str]]], table: LookAlikes, least: int = 12, most_share: float = 0.5
 ) -> DataFrame:
     """``<id_col>, text, removed_words, dropped``: the texts without leaked spans.
 
     Of a document whose leaked words exceed ``most_share`` of its words nothing is kept (``dropped``, null
-    text). Null texts stay null and texts without leaks are unchanged.
+    text). Null texts stay null and texts without leaks are unchanged. One pass per group of items, without a shuffle; the spans
+    of all but the last are carried along with the text.
     """
     ship(docs.sparkSession)
-    finder = LeakFinder(items, TextForm(table), least)
+    form = TextForm(table)
+    spans_type = pa.list_(pa.list_(pa.int32()))
+    carried = pa.schema([("id", pa.int64()), ("text", pa.string()), ("spans", spans_type)])
     schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("removed_words", pa.int32()), ("dropped", pa.bool_())])
 
-    def clean(text: str | None) -> tuple[str | None, int, bool]:
+    def clean(finder: LeakFinder, text: str | None, earlier: list) -> tuple[str | None, int, bool]:
         if not text:
             return text, 0, False
         words, found = finder.find(text)
-        if not found:
+        spans = merged([*map(tuple, earlier), *(s for own in found.values() for s in own)])
+        if not spans:
             return text, 0, False
-        spans = merged(s for own in found.values() for s in own)
         n = sum(b - a for a, b in spans)
         if n > most_share * len(words):
             return None, n, True
         return finder.without(text, spans), n, False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, *clean(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def marking(finder: LeakFinder):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _batch([(i, t, [*e, *(s for own in (finder.find(t)[1] if t else {}).values() for s in own)]) for i, t, e in rows_of(batch)], carried)
+
+        return run
+
+    def cleaning(finder: LeakFinder):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _batch([(i, *clean(finder, t, e)) for i, t, e in rows_of(batch)], schema)
+
+        return run
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, text string, removed_words int, dropped boolean"
-    )
+    *first, last = [LeakFinder(g, form, least) for g in groups or [[]]]
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.array().cast("array<array<int>>").alias("spans"))
+    for finder in first:
+        df = df.mapInArrow(marking(finder), "id long, text string, spans array<array<int>>")
+    out = df.mapInArrow(cleaning(last), "id long, text string, removed_words int, dropped boolean")
     return out.withColumnsRenamed({"id": id_col, "text": text_col} if text_col != "text" else {"id": id_col})

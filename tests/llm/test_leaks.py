@@ -39,14 +39,14 @@ def test_documents(spark, table):
         (6, ITEM.replace("o", "о").replace("e", "e​"), ""), (7, "a " * 200_000 + ITEM, ""), (1, "x " + ITEM, "en"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id string").selectExpr("*", "'q' AS id", "1 AS longest")
-    got = sorted((r["doc_id"], r["item_id"], r["longest"]) for r in leaked(df, "doc_id", "text", items, table).collect())
+    got = sorted((r["doc_id"], r["item_id"], r["longest"]) for r in leaked(df, "doc_id", "text", [items], table).collect())
     assert got == [(1, 1, 12), (1, 1, 13), (1, 3, 12), (1, 3, 13), (5, 1, 13), (5, 3, 13), (6, 1, 13), (6, 3, 13), (7, 1, 13), (7, 3, 13)]
-    assert leaked(df, "doc_id", "text", [], table).count() == leaked(df.limit(0), "doc_id", "text", items, table).count() == 0
+    assert leaked(df, "doc_id", "text", [], table).count() == leaked(df.limit(0), "doc_id", "text", [items], table).count() == 0
 
 
 def test_removal(spark, table):
     df = spark.createDataFrame([(1, "keep this. " + ITEM + ". And very much more than that is said after it, so it stays."), (2, ITEM), (3, None), (4, "nothing")], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in decontaminated(df, "doc_id", "text", [(1, ITEM)], table).collect()}
+    out = {r["doc_id"]: r for r in decontaminated(df, "doc_id", "text", [[(1, ITEM)]], table).collect()}
     assert out[1]["text"].split() == "keep this. And very much more than that is said after it, so it stays.".split() and out[1]["removed_words"] == 13
     assert out[2]["dropped"] and out[2]["text"] is None
     assert out[3]["text"] is None and not out[3]["dropped"] and out[4]["text"] == "nothing"
@@ -56,5 +56,19 @@ def test_removal(spark, table):
 
 def test_words_and_bound(spark, table):
     assert words_of("Ｔｈｅ O’Tresk’s 9.00 a_b", TextForm(table)) == ["the", "o", "tresk", "s", "9", "00", "a", "b"]
+    some = spark.range(3).selectExpr("id", "'a b c' AS text")
     with pytest.raises(ValueError):
-        bounded_items(spark.range(3).selectExpr("id", "'a' AS text"), "id", "text", limit=2)
+        bounded_items(some, "id", "text", most_bytes=100)
+    assert bounded_items(some, "id", "text", group_words=6) == [[(0, "a b c"), (1, "a b c")], [(2, "a b c")]]
+    assert bounded_items(some, "id", "text", group_words=1) == [[(i, "a b c")] for i in range(3)]
+    assert bounded_items(some.limit(0), "id", "text") == []
+
+
+def test_groups_give_what_one_gives(spark, table):
+    other = "the quick brown fox jumps over the lazy dog and then it sleeps for hours"
+    items = [(1, ITEM), (2, other), (3, "zero " + ITEM)]
+    df = spark.createDataFrame([(1, f"a b c d e {ITEM} f g h {other} " + "i " * 60), (2, "x " * 40 + other), (3, None), (4, ITEM + " " + other)], "doc_id long, text string")
+    one, three = ([*map(tuple, f(df, "doc_id", "text", g, table).collect())] for f in (leaked,) for g in ([items], [[i] for i in items]))
+    assert sorted(one) == sorted(three) and len(one) == 7
+    one, three = ([*map(tuple, decontaminated(df, "doc_id", "text", g, table).collect())] for g in ([items], [[i] for i in items]))
+    assert sorted(one) == sorted(three) and [r[3] for r in sorted(one)] == [False, False, False, True]
