@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -16,34 +17,43 @@ from almanac.session import ship
 
 TOKEN, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 KINDS = ("token", "word", "clause", "sentence", "line", "paragraph")
-_BITS = 24
+_BITS = 32  # for a boundary's number, and as many for a size: texts have fewer bytes than 2^31
 _BLANK, _STOP, _COMMA, _CLOSE = 1, 2, 4, 8
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
 _CLASS[[ord(c) for c in ".!?"]] = _STOP
 _CLASS[[ord(c) for c in ",;:"]] = _COMMA
 _CLASS[[ord(c) for c in "\"')]"]] = _CLOSE
+#: Stops and commas of scripts that put no blank after them, with the closing marks that may follow, in UTF-8.
+_STANDING = re.compile(b"(?:%b)+(?:%b)*|((?:%b)+)" % tuple(b"|".join(c.encode() for c in marks) for marks in ("。．！？｡।॥።؟۔։", "」』）】〉》”’", "、，；：､،؛")))
+_LEADS = [0xD6, 0xD8, 0xDB, 0xE0, 0xE1, 0xE3, 0xEF]
+#: Words whose stop ends no sentence, besides single capitals; a parameter of ``Splitter``.
+ABBREVIATIONS = frozenset(b"st sts fr frs co rev revd msgr mr mrs ms dr sr br jr prof hon capt vs cf tel ext approx dept ave rd esp incl jan feb mar apr aug sept oct nov dec".split())
 
 
-def merge(sizes: list[int], strengths: list[int], limit: int) -> list[int]:
+def merge(sizes: list[int], strengths: list[int], limit: int, first: int | None = None) -> list[int]:
     """Indices of the boundaries that stay. Boundary i lies between segments i and i+1.
 
     Adjacent pairs are held in a heap; the weakest boundary goes first, among equals that with the least
-    combined size, then the first; a boundary goes if the combined size is within ``limit``. Sizes only
-    grow, so a boundary that can't go once stays.
+    combined size, then the first; a boundary goes if the combined size is within ``limit``, or within ``first`` (at least ``limit``) for the
+    segment at the beginning. Sizes only grow, so a boundary that can't go once stays, unless the segment before it becomes part of the
+    first: then it is tried again.
     """
+    first = limit if first is None else first
     n = len(sizes)
     size = sizes[:]
-    left = list(range(-1, n - 1))
-    gone = bytearray(n)
+    left, end = list(range(-1, n - 1)), list(range(n))
+    gone, waits = bytearray(n), bytearray(n)
     heap = []
     for i in range(n - 1):
         s = size[i] + size[i + 1]
-        if s <= limit:
-            heap.append((((strengths[i] << 40) | s) << _BITS) | i)
+        if s <= (limit if i else first):
+            heap.append((((strengths[i] << _BITS) | s) << _BITS) | i)
+        else:
+            waits[i] = 1
     heapify(heap)
     stay = bytearray(b"\1") * (n - 1)
-    mask, low = (1 << _BITS) - 1, (1 << 40) - 1
+    mask = (1 << _BITS) - 1
     while heap:
         e = heappop(heap)
         i = e & mask  # boundary i belongs to the segment that ends at it
@@ -54,28 +64,58 @@ def merge(sizes: list[int], strengths: list[int], limit: int) -> list[int]:
             left[i] = owner
         nxt = i + 1
         s = size[owner] + size[nxt]
-        if s != (e >> _BITS) & low:
-            if s <= limit:
-                heappush(heap, (((strengths[i] << 40) | s) << _BITS) | i)
+        if s != (e >> _BITS) & mask:
+            if s <= (limit if owner else first):
+                heappush(heap, (((strengths[i] << _BITS) | s) << _BITS) | i)
+            else:
+                waits[i] = 1
             continue
         stay[i] = 0
         gone[nxt] = 1
         left[nxt] = owner
         size[owner] = s
+        last = end[owner] = end[nxt]
+        if not owner and waits[last] and s + size[last + 1] <= first:
+            waits[last] = 0
+            heappush(heap, (((strengths[last] << _BITS) | (s + size[last + 1])) << _BITS) | last)
     return [i for i in range(n - 1) if stay[i]]
 
 
-def boundaries(raw: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int]]:
+def _line_ends(raw: np.ndarray) -> np.ndarray:
+    """Line feeds, form feeds, and carriage returns that no line feed follows."""
+    cr = np.flatnonzero(raw == 13)
+    if len(cr):
+        cr = cr[raw[np.minimum(cr + 1, len(raw) - 1)] != 10]
+    lf = np.flatnonzero((raw == 10) | (raw == 12))
+    return np.sort(np.concatenate([lf, cr])) if len(cr) else lf
+
+
+def _abbreviated(raw: np.ndarray, buffer: bytes, at: np.ndarray, words: frozenset[bytes]) -> np.ndarray:
+    """Of the places of full stops, those after an abbreviation or a single capital."""
+    letter = (raw >= 0x80) | ((raw | 32) - 97 < 26)
+    edge = np.maximum.accumulate(np.where(letter, -1, np.arange(len(raw))))
+    size = np.where(at > 0, at - 1 - edge[np.maximum(at - 1, 0)], 0)
+    out = np.zeros(len(at), bool)
+    short = np.flatnonzero((size > 0) & (size <= 6))
+    for k, e, n in zip(short.tolist(), at[short].tolist(), size[short].tolist(), strict=True):
+        w = buffer[e - n : e]
+        out[k] = w.lower() in words or (n == 1 and w.isupper())
+    return out
+
+
+def boundaries(raw: np.ndarray, starts: np.ndarray, abbreviations: frozenset[bytes] = ABBREVIATIONS) -> tuple[list[int], list[int]]:
     """Natural boundaries as token indices (ascending, inside the text) with their strengths.
 
     In the text's UTF-8: after the last of several line ends with only blanks between them (paragraph), after a
     line's end, after a stop and closing marks before a blank (sentence), after a comma, colon or semicolon
-    before a blank (clause). Where a boundary isn't a token's beginning the next one counts.
+    before a blank (clause); after the stops and commas of scripts without blanks wherever they stand. The stop of an abbreviation is none.
+    Where a boundary isn't a token's beginning, or the token begins inside a character, the next one counts.
     """
+    buffer = raw.tobytes()
     kind = _CLASS[raw]
     blank = kind == _BLANK
     solid = np.cumsum(~blank)
-    lines = np.flatnonzero(raw == 10)
+    lines = _line_ends(raw)
     level = np.full(len(lines), LINE)
     if len(lines) > 1:
         same = solid[lines[1:]] == solid[lines[:-1]]
@@ -93,7 +133,11 @@ def boundaries(raw: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int
         end = end - one - 3 * three
     dots = (raw[end] == 0xA6) & (end > 1)
     dots[dots] = (raw[end[dots] - 1] == 0x80) & (raw[end[dots] - 2] == 0xE2)
-    stop = (kind[end] == _STOP) | dots
+    stop = kind[end] == _STOP
+    full = np.flatnonzero(stop & (raw[end] == 46))
+    if len(full):
+        stop[full[_abbreviated(raw, buffer, end[full], abbreviations)]] = False
+    stop |= dots
     comma = kind[before] == _COMMA
     some = stop | comma
     at, strength = before[some] + 1, np.where(stop[some], SENTENCE, CLAUSE)
@@ -102,8 +146,15 @@ def boundaries(raw: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int
         own = (k == len(lines)) | (solid[lines[np.minimum(k, len(lines) - 1)]] > solid[at])
         at, strength = at[own], strength[own]
     at, strength = np.concatenate([at, lines_end + 1]), np.concatenate([strength, level])
+    if np.bincount(raw, minlength=256)[_LEADS].any():
+        standing = [(m.end(), CLAUSE if m[1] else SENTENCE) for m in _STANDING.finditer(buffer)]
+        if standing:
+            more = np.array(standing, np.int64)
+            at, strength = np.concatenate([at, more[:, 0]]), np.concatenate([strength, more[:, 1]])
     order = np.argsort(at, kind="stable")
     pos, strength = np.searchsorted(starts, at[order]), strength[order]
+    while len(pos) and (inner := (raw[starts[np.minimum(pos, len(starts) - 1)]] & 0xC0 == 0x80) & (pos < len(starts))).any():
+        pos = pos + inner
     inside = (pos < len(starts)) & (pos > 0)
     pos, strength = pos[inside], strength[inside]
     if len(pos) > 1 and (pos[1:] == pos[:-1]).any():
@@ -170,14 +221,14 @@ class _Cutter:
                 last = c
 
 
-COLUMNS = ("profile", "piece", "first_token", "end_token", "tokens", "overlap", "cut", "text")
+COLUMNS = ("profile", "piece", "first_token", "end_token", "tokens", "overlap", "first_char", "overlap_chars", "cut", "text")
 
 
 class Splitter:
     """Splits many texts at a time: what can be found for all their bytes or tokens at once is."""
 
-    def __init__(self, tokenizer: ByteTokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer: ByteTokenizer, abbreviations: frozenset[bytes] = ABBREVIATIONS):
+        self.tokenizer, self.abbreviations = tokenizer, abbreviations
 
     def split(self, texts: list[str], profiles: list[tuple[str, int, int]]) -> tuple[np.ndarray, list]:
         """Index of the text and the ``COLUMNS`` of each piece. The texts lie in one buffer, with a byte between them that is no token."""
@@ -189,7 +240,7 @@ class Splitter:
         size = np.concatenate(sizes)
         ends = np.cumsum(size) + np.repeat(np.arange(len(texts)), np.diff(first))
         starts = ends - size
-        cutter = _Cutter(raw, starts, *boundaries(raw, starts))
+        cutter = _Cutter(raw, starts, *boundaries(raw, starts, self.abbreviations))
         bounds = first.tolist()
         rows: list[list] = [[], [], [], [], [], [], []]
         text_of, profile_of, piece_of, own_of, end_of, begin_of, kind_of = rows
@@ -198,7 +249,7 @@ class Splitter:
                 if b - a <= most:
                     continue
                 edges, kinds = cutter.atoms(a, b, most - overlap)
-                kept = merge([y - x for x, y in zip(edges, edges[1:], strict=False)], kinds, most - overlap)
+                kept = merge([y - x for x, y in zip(edges, edges[1:], strict=False)], kinds, most - overlap, most)
                 n = len(kept) + 1
                 cuts = [edges[i + 1] for i in kept]
                 text_of += [d] * n
@@ -213,9 +264,11 @@ class Splitter:
         text, own, end, begin = (np.array(x, np.int64) for x in (text_of, own_of, end_of, begin_of))
         while (inner := (raw[starts[begin]] & 0xC0 == 0x80) & (begin < own)).any():
             begin += inner
+        chars = np.cumsum(raw & 0xC0 != 0x80)
         at = zip(starts[begin].tolist(), ends[end - 1].tolist(), strict=True)
         return text, [
-            profile_of, piece_of, begin - first[text], end - first[text], end - begin, own - begin, kind_of, [buffer[x:y] for x, y in at],
+            profile_of, piece_of, begin - first[text], end - first[text], end - begin, own - begin,
+            chars[starts[begin]] - chars[starts[first[text]]], chars[starts[own]] - chars[starts[begin]], kind_of, [buffer[x:y] for x, y in at],
         ]
 
     def pieces(self, text: str, profiles: list[tuple[str, int, int]]) -> list[tuple]:
@@ -235,10 +288,10 @@ def bounded_profiles(limits: DataFrame, limit: int = 1000) -> list[tuple[str, in
 def split_texts(docs: DataFrame, id_col: str, text_col: str, profiles: list[tuple[str, int, int]], tokenizer: ByteTokenizer) -> DataFrame:
     """Pieces of every text longer than a profile's ``max_tokens``.
 
-    Returns ``<id_col>, profile, piece, first_token, end_token, tokens, overlap, cut, text``. Pieces are ranges of the
-    text's own tokens: at most ``max_tokens``, each sharing exactly ``overlap_tokens`` with the one before
+    Returns ``<id_col>, profile, piece, first_token, end_token, tokens, overlap, first_char, overlap_chars, cut, text``. Pieces are ranges of the
+    text's own tokens: at most ``max_tokens``, the first too, each other sharing exactly ``overlap_tokens`` with the one before
     (fewer by up to three only where the shared part would begin inside a character, fewer too at a text's
-    beginning). Without the shared parts they add up to the text. ``cut`` says at which kind of boundary a piece ends.
+    beginning). Without the shared parts (the first ``overlap_chars`` characters) they add up to the text; ``first_char`` is a piece's place in it. ``cut`` says at which kind of boundary a piece ends.
 
     Defined cases: null and empty texts, and texts within the limit, give no rows; a text without any blank is
     cut between tokens that begin a character; a single character of more tokens than the limit stays whole;
@@ -248,7 +301,7 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, profiles: list[tupl
     """
     ship(docs.sparkSession)
     splitter = Splitter(tokenizer)
-    kinds = [pa.string(), *[pa.int32()] * 5, pa.string(), pa.string()]
+    kinds = [pa.string(), *[pa.int32()] * 7, pa.string(), pa.string()]
     schema = pa.schema([("id", pa.int64()), *zip(COLUMNS, kinds, strict=True)])
     least = min((m for _, m, _ in profiles), default=0)
 
@@ -278,5 +331,5 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, profiles: list[tupl
     if not profiles:
         texts = texts.limit(0)
         profiles = [("", 1, 0)]
-    out = texts.mapInArrow(run, "id long, profile string, piece int, first_token int, end_token int, tokens int, overlap int, cut string, text string")
+    out = texts.mapInArrow(run, "id long, profile string, piece int, first_token int, end_token int, tokens int, overlap int, first_char int, overlap_chars int, cut string, text string")
     return out.withColumnRenamed("id", id_col)

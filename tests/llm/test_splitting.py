@@ -9,10 +9,10 @@ from almanac.llm.tokens import ByteTokenizer
 PROFILES = [("a", 20, 4), ("b", 64, 0), ("c", 7, 6)]
 
 
-def brute(sizes, strengths, limit):
+def brute(sizes, strengths, limit, first):
     segs, b, ids = list(sizes), list(strengths), list(range(len(strengths)))
     while True:
-        best = min(((b[i], segs[i] + segs[i + 1], ids[i], i) for i in range(len(b)) if segs[i] + segs[i + 1] <= limit), default=None)
+        best = min(((b[i], segs[i] + segs[i + 1], ids[i], i) for i in range(len(b)) if segs[i] + segs[i + 1] <= (limit if i else first)), default=None)
         if best is None:
             return ids
         i = best[3]
@@ -22,10 +22,11 @@ def brute(sizes, strengths, limit):
 
 def test_merging_against_brute_force():
     rng = random.Random(4)
-    for _ in range(500):
+    for k in range(3000):
         n = rng.randint(1, 20)
         sizes, strengths = [rng.randint(1, 9) for _ in range(n)], [rng.randint(0, 3) for _ in range(n - 1)]
-        assert merge(sizes, strengths, 20) == brute(sizes, strengths, 20)
+        first = 20 + k % 3 * 6
+        assert merge(sizes, strengths, 20, first) == brute(sizes, strengths, 20, first)
 
 
 TEXTS = [
@@ -49,7 +50,9 @@ def test_limits_overlaps_and_round_trip(text):
         assert [r[1] for r in own] == list(range(len(own)))
         assert own[0][2] == 0 and own[-1][3] == len(sizes)
         back = b""
-        for k, (_, _, a, b, n, shared, _, piece) in enumerate(own):
+        for k, (_, _, a, b, n, shared, at, chars, _, piece) in enumerate(own):
+            assert text[at : at + len(piece)] == piece or "\ufffd" in piece
+            assert chars == len(data[starts[a] : starts[a + shared]].decode("utf-8", "ignore"))
             assert n == b - a
             assert n <= most or len(piece) == 1 or overlap >= most - 3
             if k:
@@ -63,7 +66,42 @@ def test_natural_boundaries_come_first():
     text = "First paragraph is here.\n\nSecond paragraph is here. It has two sentences.\n\nThird."
     n = len(ByteTokenizer().encode(text))
     rows = Splitter(ByteTokenizer()).pieces(text, [("p", n - 1, 0)])
-    assert [r[6] for r in rows] == ["paragraph", "end"]
+    assert [r[8] for r in rows] == ["paragraph", "end"]
+
+
+def cuts(text, most, overlap=0):
+    return [(r[8], r[9]) for r in Splitter(ByteTokenizer()).pieces(text, [("p", most, overlap)])]
+
+
+def test_first_piece_has_the_whole_limit():
+    text = " ".join(f"Sentence number {i} is here." for i in range(40))
+    own = [r for r in Splitter(ByteTokenizer()).pieces(text, [("p", 60, 20)])]
+    assert own[0][4] > 40 and max(r[4] for r in own) <= 60
+
+
+@pytest.mark.parametrize(
+    ("text", "end"),
+    [
+        ("我们今天在教堂里见面。请大家带上自己的书和午餐。" * 4, "。"), ("来てください！ありがとうございました？はい" * 6, "！？"), ("これは「本です。」と彼は言った" * 8, "」"),
+        ("a line without stops\ranother of the same kind\r" * 8, "\rd"), ("यह एक वाक्य है।यह दूसरा वाक्य है।" * 6, "।"),
+    ],
+)
+def test_boundaries_without_blanks(text, end):
+    got = cuts(text, 40)
+    assert len(got) > 1 and all(kind in ("sentence", "line") for kind, _ in got[:-1])
+    assert all(piece.rstrip("\r")[-1] in end for _, piece in got[:-1])
+
+
+def test_lone_returns_make_paragraphs():
+    assert cuts("One two three four.\r\rFive six seven eight nine ten.", 12)[0] == ("paragraph", "One two three four.\r\r")
+    assert cuts("One two three four.\r\nFive six seven eight nine ten.", 12)[0] == ("line", "One two three four.\r\n")
+
+
+def test_abbreviations_end_no_sentence():
+    text = "We met Fr. John at St. Mary by the Co. Down road with J. Smith and others there. Then we all went home again to eat."
+    got = cuts(text, 26)
+    assert got[0][1].endswith("there.") and got[0][0] == "sentence"
+    assert all(kind != "sentence" or piece.rstrip()[-5:] in ("here.", " eat.") for kind, piece in cuts(text, 9))
 
 
 def test_table(spark):
