@@ -24,9 +24,12 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
 _CLASS[[ord(c) for c in ".!?"]] = _STOP
 _CLASS[[ord(c) for c in ",;:"]] = _COMMA
 _CLASS[[ord(c) for c in "\"')]"]] = _CLOSE
-#: Stops and commas of scripts that put no blank after them, with the closing marks that may follow, in UTF-8.
-_STANDING = re.compile(b"(?:%b)+(?:%b)*|((?:%b)+)" % tuple(b"|".join(c.encode() for c in marks) for marks in ("。．！？｡।॥።؟۔։", "」』）】〉》”’", "、，；：､،؛")))
-_LEADS = [0xD6, 0xD8, 0xDB, 0xE0, 0xE1, 0xE3, 0xEF]
+#: Stops, closing marks and commas of scripts that put no blank after them.
+_STANDING = ("。．！？｡।॥።؟۔։", "」』）】〉》”’", "、，；：､،؛")
+_RUN = re.compile(b"(?:%b)+(?:%b)*|((?:%b)+)" % tuple(b"|".join(c.encode() for c in marks) for marks in _STANDING))
+_FIRST = np.zeros(256, bool)
+_FIRST[[c.encode()[0] for c in _STANDING[0] + _STANDING[2]]] = True
+_MARKS = [np.array(sorted(int.from_bytes(x) for c in _STANDING[0] + _STANDING[2] if len(x := c.encode()) == n)) for n in (2, 3)]
 #: Words whose stop ends no sentence, besides single capitals; a parameter of ``Splitter``.
 ABBREVIATIONS = frozenset(b"st sts fr frs co rev revd msgr mr mrs ms dr sr br jr prof hon capt vs cf tel ext approx dept ave rd esp incl jan feb mar apr aug sept oct nov dec".split())
 
@@ -103,6 +106,22 @@ def _abbreviated(raw: np.ndarray, buffer: bytes, at: np.ndarray, words: frozense
     return out
 
 
+def _standing(raw: np.ndarray, buffer: bytes) -> np.ndarray:
+    """Places after runs of stops or commas that need no blank, with their strengths."""
+    lead = np.flatnonzero(_FIRST[raw[:-1]])
+    if not len(lead):
+        return np.empty((0, 2), np.int64)
+    two = raw[lead].astype(np.int64) << 8 | raw[lead + 1]
+    three = two << 8 | raw[np.minimum(lead + 2, len(raw) - 1)]
+    out, done = [], 0
+    for e in lead[np.isin(two, _MARKS[0]) | np.isin(three, _MARKS[1])].tolist():
+        if e >= done:
+            m = _RUN.match(buffer, e)
+            done = m.end()
+            out.append((done, CLAUSE if m[1] else SENTENCE))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def boundaries(raw: np.ndarray, starts: np.ndarray, abbreviations: frozenset[bytes] = ABBREVIATIONS) -> tuple[list[int], list[int]]:
     """Natural boundaries as token indices (ascending, inside the text) with their strengths.
 
@@ -146,11 +165,9 @@ def boundaries(raw: np.ndarray, starts: np.ndarray, abbreviations: frozenset[byt
         own = (k == len(lines)) | (solid[lines[np.minimum(k, len(lines) - 1)]] > solid[at])
         at, strength = at[own], strength[own]
     at, strength = np.concatenate([at, lines_end + 1]), np.concatenate([strength, level])
-    if np.bincount(raw, minlength=256)[_LEADS].any():
-        standing = [(m.end(), CLAUSE if m[1] else SENTENCE) for m in _STANDING.finditer(buffer)]
-        if standing:
-            more = np.array(standing, np.int64)
-            at, strength = np.concatenate([at, more[:, 0]]), np.concatenate([strength, more[:, 1]])
+    standing = _standing(raw, buffer)
+    if len(standing):
+        at, strength = np.concatenate([at, standing[:, 0]]), np.concatenate([strength, standing[:, 1]])
     order = np.argsort(at, kind="stable")
     pos, strength = np.searchsorted(starts, at[order]), strength[order]
     while len(pos) and (inner := (raw[starts[np.minimum(pos, len(starts) - 1)]] & 0xC0 == 0x80) & (pos < len(starts))).any():
