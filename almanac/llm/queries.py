@@ -102,6 +102,30 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), ByteTokenizer())[1]
 
 
+def p7_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the selection, per mix and source: real documents of the source only, each at most so often, quotas met, places without gaps."""
+    docs = table(spark, sf, "documents")
+    targets = table(spark, sf, "mix_targets")
+    selection, report = mix(docs, targets, ByteTokenizer())
+    real = docs.where(F.length("text") > 0).select("doc_id", F.col("source").alias("own"))
+    chosen = selection.join(real, "doc_id", "left").withColumn("right", F.coalesce(F.col("own") == F.col("source"), F.lit(False)))
+    by_doc = chosen.groupBy("mix_id", "source", "doc_id").agg(
+        F.count("*").alias("uses"), F.count_distinct("copy").alias("copies"), F.bool_and("right").alias("right"), F.max("tokens").alias("largest")
+    )
+    held = by_doc.groupBy("mix_id", "source").agg(
+        F.bool_and("right").alias("right"), F.bool_and(F.col("uses") == F.col("copies")).alias("once"), F.max("uses").alias("uses"), F.max("largest").alias("largest"), F.count("*").alias("n")
+    )
+    places = selection.groupBy("mix_id", "shard").agg((F.max("position") == F.count("*")).alias("dense")).groupBy("mix_id").agg(F.bool_and("dense").alias("dense"))
+    caps = targets.groupBy("mix_id", "source").agg(F.min("max_repeats").alias("cap"))
+    has = docs.where(F.length("text") > 0).groupBy("source").agg(F.count("*").alias("n_docs"))
+    j = caps.join(report.select("mix_id", "source", "quota", "tokens"), ["mix_id", "source"]).join(held, ["mix_id", "source"], "left").join(places, "mix_id", "left").join(has, "source", "left")
+    return j.select(
+        "mix_id", "source", F.coalesce("right", F.lit(True)).alias("own_documents"), F.coalesce("once", F.lit(True)).alias("each_copy_once"), F.coalesce(F.col("uses") <= F.col("cap"), F.lit(True)).alias("within_repeats"),
+        (F.abs(F.col("tokens") - F.col("quota")) <= F.coalesce("largest", F.lit(0)) / 2 + 1).alias("quota_met"), F.coalesce("dense", F.lit(True)).alias("dense_places"),
+        (F.coalesce("n", F.lit(0)) > 0).alias("is_used"), (F.coalesce("n", F.lit(0)) <= F.coalesce("n_docs", F.lit(0))).alias("no_more_than_there_are"),
+    )
+
+
 def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"), "doc_id", "text", bounded_profiles(table(spark, sf, "split_limits")), ByteTokenizer())
 
@@ -113,6 +137,27 @@ def p8_cuts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p8_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the pieces, for every document and profile: without overlaps they add up to the text, and sizes, order and overlaps are as wanted."""
+    docs, limits = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "split_limits")
+    pieces = p8_pieces(spark, sf).join(F.broadcast(limits), "profile")
+    overlap, inner = F.col("overlap"), F.col("piece") > 0
+    sound = (F.col("tokens") <= F.col("max_tokens")) & F.when(inner, (overlap <= F.col("overlap_tokens")) & ((overlap > F.col("overlap_tokens") - 4) | (F.col("first_token") == 0))).otherwise(overlap == 0)
+    own = F.struct("piece", "first_token", "end_token", F.substring("text", F.col("overlap_chars") + 1, F.length("text")).alias("t"))
+    by_doc = pieces.groupBy("doc_id", "profile").agg(F.array_sort(F.collect_list(own)).alias("p"), F.bool_and(sound).alias("sound"))
+    order = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (F.get("p", i)["piece"] == i) & ((i == 0) | (F.get("p", i)["first_token"] <= F.get("p", i - 1)["end_token"])))
+    whole = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    by_doc = by_doc.select("doc_id", "profile", F.md5(whole).alias("whole"), (F.col("sound") & order).alias("sound"), F.size("p").alias("n"))
+    profiles = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(m).alias("max_tokens")) for p, m, _ in bounded_profiles(limits)])
+    j = docs.select("*", F.inline(profiles)).join(by_doc, ["doc_id", "profile"], "left")
+    split = F.col("n").isNotNull()
+    words = F.size(F.filter(F.split("text", r"[^a-zA-Z0-9]+"), lambda w: w != ""))
+    return j.select(
+        "doc_id", "profile", F.when(split, F.col("whole")).otherwise(F.md5("text")).alias("text_md5"), F.coalesce("sound", F.lit(True)).alias("sound"),
+        (~split | (F.col("n") > 1) & (F.octet_length("text") > F.col("max_tokens"))).alias("only_if_long"), F.coalesce(split | (words <= F.col("max_tokens")), F.lit(True)).alias("always_if_long"),
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -126,7 +171,14 @@ QUERIES = {
     "p6_cleaned": p6_cleaned,
     "p7_selection": p7_selection,
     "p7_shares": p7_shares,
+    "p7_audit": p7_audit,
     "p8_pieces": p8_pieces,
     "p8_cuts": p8_cuts,
+    "p8_audit": p8_audit,
+}
+#: Sizes depend on the tokenizer, so SQL states what must hold of every selection and of every set of pieces.
+ORACLE: dict[str, str] = {
+    "p7_audit": """SELECT mix_id, source, true AS own_documents, true AS each_copy_once, true AS within_repeats, true AS quota_met, true AS dense_places, coalesce(max(n) > 0, false) AS is_used, true AS no_more_than_there_are
+ FROM mix_targets LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE length(text) > 0 GROUP BY 1) USING (source) GROUP BY 1, 2""",
+    "p8_audit": """SELECT doc_id, profile, md5(text) AS text_md5, true AS sound, true AS only_if_long, true AS always_if_long FROM documents, split_limits""",
 }
-ORACLE: dict[str, str] = {}
