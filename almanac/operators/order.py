@@ -36,16 +36,35 @@ def priority_order(keys: DataFrame, failures: DataFrame, key: str = "key", seq:
     return with_global_prefix(j, order).withColumnRenamed("_f", "failures")
 
 
-def byte_budget(df: DataFrame, order: list[Column], size: str, cap: int) -> DataFrame:
-    """The longest prefix in ``order`` whose sizes add up to ``cap`` at most."""
-    return with_global_prefix(df, order, total_of=size).where(F.col("running") <= cap)
+def _beginning(df: DataFrame, coarse: str, descending: bool, size: str, limit: Column) -> DataFrame:
+    """The rows of those values of ``coarse``, in their order, before which the sizes add up to less than ``limit``.
+
+    Sizes are summed per value first, with partial aggregation; only the sums, a row per value (a day, say), are ordered.
+    """
+    sums = df.groupBy(coarse).agg(F.sum(size).alias("_s"))
+    first = F.desc_nulls_last(coarse) if descending else F.asc_nulls_first(coarse)
+    w = Window.orderBy(first)
+    before = F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sums.withColumn("_before", before).withColumn("_whole", F.sum("_s").over(Window.partitionBy())).where(F.col("_before") < limit).select(F.col(coarse).alias("_coarse"))
+    return df.join(kept, df[coarse].eqNullSafe(kept["_coarse"]), "left_semi")
+
+
+def byte_budget(df: DataFrame, order: list[Column], size: str, cap: int, coarse: str | None = None, descending: bool = True) -> DataFrame:
+    """The longest prefix in ``order`` whose sizes add up to ``cap`` at most.
+
+    With ``coarse``, the column that ``order`` begins with (such as the day, ``descending`` or not), only the rows of the values that the
+    cap reaches are sorted; the others are summed only.
+    """
+    some = _beginning(df, coarse, descending, size, F.lit(cap + 1)) if coarse else df
+    return with_global_prefix(some, order, total_of=size).where(F.col("running") <= cap)
 
 
-def prune_plan(df: DataFrame, order: list[Column], size: str, cap: int) -> DataFrame:
-    """The rows to delete, oldest first, until what is left fits ``cap``."""
-    whole = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_whole"))
-    out = with_global_prefix(df, order, total_of=size).crossJoin(F.broadcast(whole))
-    return out.where(F.col("_whole") - (F.col("running") - F.col(size)) > cap).drop("_whole", "rank", "running")
+def prune_plan(df: DataFrame, order: list[Column], size: str, cap: int, coarse: str | None = None) -> DataFrame:
+    """The rows to delete, oldest first, until what is left fits ``cap``. ``coarse`` as in ``byte_budget``, ascending."""
+    whole = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_all"))
+    some = _beginning(df, coarse, False, size, F.col("_whole") - cap) if coarse else df
+    out = with_global_prefix(some, order, total_of=size).crossJoin(F.broadcast(whole))
+    return out.where(F.col("_all") - (F.col("running") - F.col(size)) > cap).drop("_all", "rank", "running")
 
 
 def tail(df: DataFrame, seq: list[str], n: int) -> DataFrame:

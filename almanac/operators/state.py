@@ -1,24 +1,35 @@
-"""Keyed state, folded over a batch by aggregation: a key with a third of all rows is still partly summed before any shuffle.
+"""Keyed state, folded over a batch: a key with a third of all rows is spread over ranges of its sequence.
 
 Each function equals the row-by-row fold over the batch in the order of ``seq`` (unique per key), starting from the prior state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import predicates as P
 from almanac.operators.order import first_rows
 
+#: Width of the ranges of ``seq`` that are folded by themselves.
+SEGMENT = 1 << 16
 
-def _since(batch: DataFrame, key: str, seq: str, reset: Column, count: Column) -> DataFrame:
-    """Per key: whether a reset occurred and how often ``count`` holds after the last one."""
-    last = batch.groupBy(key).agg(F.max(F.when(reset, F.col(seq))).alias("_last"))
-    return (
-        batch.join(last, key).groupBy(key)
-        .agg(F.first("_last").alias("_last"), F.count_if(count & (F.col("_last").isNull() | (F.col(seq) > F.col("_last")))).alias("_n"))
+
+def _since(batch: DataFrame, key: str, seq: str, reset: Column, count: Column, segment: int = SEGMENT) -> DataFrame:
+    """Per key: the place of its last reset and how often ``count`` holds after it.
+
+    The rows are shuffled once, by key and range of ``seq``, as place and two flags: a range has at most ``segment`` rows of a key. Each range
+    gives one row, and a key's ranges are folded from the last backwards.
+    """
+    rows = batch.select(F.col(key).alias("_k"), F.col(seq).alias("_q"), F.coalesce(reset, F.lit(False)).alias("_r"), count.alias("_c")).withColumn("_seg", F.floor(F.col("_q") / segment))
+    later = Window.partitionBy("_k", "_seg").orderBy(F.desc("_q")).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.coalesce(F.sum(F.col("_r").cast("int")).over(later), F.lit(0)) == 0
+    segments = rows.withColumn("_open", open_).groupBy("_k", "_seg").agg(
+        F.max(F.when(F.col("_r"), F.col("_q"))).alias("_last"), F.count_if(F.col("_c") & ~F.col("_r") & F.col("_open")).alias("_n")
     )
+    after = Window.partitionBy("_k").orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = F.count("_last").over(after) == 0
+    return segments.withColumn("_counts", counts).groupBy(F.col("_k").alias(key)).agg(F.max("_last").alias("_last"), F.sum(F.when(F.col("_counts"), F.col("_n")).otherwise(0)).alias("_n"))
 
 
 def consecutive_failures(batch: DataFrame, prior: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
@@ -54,10 +65,19 @@ def strikes(probes: DataFrame, prior: DataFrame, key: str = "key", seq: str = "s
 
 def confidence(changes: DataFrame, key: str = "key", seq: str = "seq", value: str = "new_url") -> DataFrame:
     """``key, value, confidence``: how many of the latest changes in a row gave the same value."""
-    last = changes.groupBy(key).agg(F.max_by(value, seq).alias("_v"))
-    j = changes.join(last, key)
-    other = ~F.col(value).eqNullSafe(F.col("_v"))
-    return _since(j, key, seq, other, ~other).join(last, key).select(key, F.col("_v").alias(value), F.col("_n").alias("confidence"))
+    # A run of equal values is a row: the last run's length is the count
+    rows = changes.select(F.col(key).alias("_k"), F.col(seq).alias("_q"), F.col(value).alias("_x")).withColumn("_seg", F.floor(F.col("_q") / SEGMENT))
+    w = Window.partitionBy("_k", "_seg").orderBy(F.desc("_q"))
+    tail = F.first("_x").over(w)
+    same = F.coalesce(F.sum(F.when(F.col("_x").eqNullSafe(F.col("_tail")), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 0
+    segments = rows.withColumn("_tail", tail).withColumn("_same", same).groupBy("_k", "_seg").agg(
+        F.max_by("_x", "_q").alias("_tail"), F.count_if("_same").alias("_n"), F.bool_and("_same").alias("_whole")
+    )
+    back = Window.partitionBy("_k").orderBy(F.desc("_seg"))
+    ends = F.max(~(F.col("_whole") & F.col("_tail").eqNullSafe(F.col("_v")))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    last = segments.withColumn("_v", F.first("_tail").over(back)).withColumn("_ended", F.coalesce(ends, F.lit(False)))
+    counts = F.when(~F.col("_ended") & F.col("_tail").eqNullSafe(F.col("_v")), F.col("_n")).otherwise(0)
+    return last.groupBy(F.col("_k").alias(key)).agg(F.max_by("_v", "_seg").alias(value), F.sum(counts).alias("confidence"))
 
 
 def upserted_patterns(seen: DataFrame, by: list[str], example: str, seq: str, most: int = 12) -> DataFrame:

@@ -47,8 +47,11 @@ RESULT_COLUMNS = ["result_id", "run_id", "seq", "key", "display_name", "status",
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    """Fetch results without the rows that were loaded again, keys in comparable form."""
-    return table(spark, sf, "fetch_results").select(*RESULT_COLUMNS).distinct().withColumn("key", norm_key("key"))
+    """Fetch results without the rows that were loaded again, keys in comparable form.
+
+    Rows loaded again are unchanged, so one row per id is kept; of the other columns only those that a query needs are read and shuffled.
+    """
+    return table(spark, sf, "fetch_results").select(*RESULT_COLUMNS).dropDuplicates(["result_id"]).withColumn("key", norm_key("key"))
 
 
 FR = f"(SELECT DISTINCT {', '.join(c if c != 'key' else 'lower(trim(key)) AS key' for c in RESULT_COLUMNS)} FROM fetch_results)"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,7 +57,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """Folder for cut lineage: the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset in local mode (tests).
+
+    On a cluster a machine's own folder would lose what other executors write, so there an unset one is an error.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if configured:
@@ -64,19 +69,55 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="almanac-"))
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="almanac-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet under the shared folder and reads it back (columnar, prunable, survives lost executors)."""
+    """Cuts the lineage: writes ``df`` as Parquet under the shared folder and reads it back (columnar, prunable, survives lost executors).
+
+    The table stays until ``discard``, or until Python ends: results are evaluated later and read it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a table of our own in the shared folder; it is noted for ``discard``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_almanac_tables"):
+        sc._almanac_tables = []
+        atexit.register(_discard_quietly, spark)
+    sc._almanac_tables.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this session, once its results have been written; their number."""
+    sc = spark.sparkContext
+    paths, sc._almanac_tables = getattr(sc, "_almanac_tables", []), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+def _discard_quietly(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            discard(spark)
+    except Exception:  # noqa: BLE001 - the session is gone
+        pass
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partitioned for work that is dear per row: adaptive execution would gather few bytes in one task, however long they take."""
     spark = df.sparkSession

@@ -63,13 +63,27 @@ def vevents(events: DataFrame, stamp: Column, domain: str = "almanac") -> DataFr
 
 
 def calendars(events: DataFrame, stamp: Column, domain: str = "almanac") -> DataFrame:
-    """``group, ics``: a calendar per group and one of all, events by key and place."""
+    """``group, place, key, seq, text``: the parts of a calendar per group and of one of all, in the order of ``place, key, seq``: head, events, end.
+
+    No calendar is one row: those of a group may be any number. ``write_calendars`` writes them in order, in as many files as they need.
+    """
     v = vevents(events, stamp, domain)
     both = v.select("group", "key", "seq", "vevent").unionByName(v.select(F.lit("all").alias("group"), "key", "seq", "vevent"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "seq", "vevent"))), lambda x: x["vevent"]), "\r\n")
     head = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.concat(F.lit(f"PRODID:-//{domain}//"), F.col("group"), F.lit("//EN")),
                        F.concat(F.lit("X-WR-CALNAME:"), X.display_name(F.col("group")), F.lit(" Events")), F.lit("CALSCALE:GREGORIAN"), F.lit("METHOD:PUBLISH"))
-    return both.groupBy("group").agg(body.alias("_b")).select("group", F.concat(F.concat_ws("\r\n", head, F.col("_b"), F.lit("END:VCALENDAR")), F.lit("\r\n")).alias("ics"))
+    frame = F.inline(F.array(F.struct(F.lit(0).alias("place"), head.alias("text")), F.struct(F.lit(2).alias("place"), F.lit("END:VCALENDAR").alias("text"))))
+    ends = both.select("group").distinct().select("group", frame)
+    seq = F.lit(None).cast(events.schema["seq"].dataType)
+    return both.select("group", F.lit(1).alias("place"), "key", "seq", F.col("vevent").alias("text")).unionByName(
+        ends.select("group", "place", F.lit(None).cast("string").alias("key"), seq.alias("seq"), "text")
+    )
+
+
+def write_calendars(parts: DataFrame, path: str) -> None:
+    """A folder per group whose files, put together in the order of their names, are its calendar; sorted by range, so that no task has more than its part."""
+    order = ["group", "place", "key", "seq"]
+    rows = parts.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select("group", "text").write.mode("overwrite").partitionBy("group").option("lineSep", "\r\n").text(path)
 
 
 def search_documents(docs: DataFrame, text_chars: int = 4000) -> DataFrame:
@@ -80,9 +94,9 @@ def search_documents(docs: DataFrame, text_chars: int = 4000) -> DataFrame:
 
 
 def search_index(rows: DataFrame, cap: int = 5 * 1024 * 1024, envelope: int = 64) -> DataFrame:
-    """The newest rows whose JSON lines fit ``cap`` bytes."""
+    """The newest rows whose JSON lines fit ``cap`` bytes. Sizes are summed per date first; only the dates that the cap reaches are sorted."""
     size = F.octet_length(F.to_json(F.struct("id", "parish", "diocese", "date", "text"))) + 4
-    return byte_budget(rows.withColumn("bytes", size.cast("long")), [F.desc("date"), F.col("id")], "bytes", cap - envelope).drop("running")
+    return byte_budget(rows.withColumn("bytes", size.cast("long")), [F.desc("date"), F.col("id")], "bytes", cap - envelope, "date").drop("running")
 
 
 def write_per_group(df: DataFrame, path: str, group: str) -> None:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.functions import predicates as P
-from almanac.session import norm_key, shared_dir, table
+from almanac.session import new_folder, norm_key, table
 
 
 def run_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -34,17 +34,19 @@ STATE = T.StructType([T.StructField("failures", T.LongType()), T.StructField("la
 def fold_failures(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Counter of one key over a micro-batch in the order of ids; ids at or below the last seen are late copies and ignored.
 
-    The chunks of a batch are reduced one by one to what matters, so a hot key's rows are never all in memory as rows of text.
+    Each chunk of the batch is reduced to the ids of failures after the last result that is fine; only these, eight bytes each, are held.
     """
     failures, last = state.get if state.exists else (0, -1)
-    parts = [b[["result_id", "status"]] for b in batches]
-    rows = pd.concat(parts).drop_duplicates("result_id").sort_values("result_id")
-    rows = rows[rows["result_id"] > last]
-    if len(rows):
-        fine = rows["status"].isin(P.FINE).to_numpy()
-        after = len(rows) - 1 - fine.nonzero()[0][-1] if fine.any() else len(rows)
-        failures = int(after if fine.any() else failures + after)
-        last = int(rows["result_id"].iloc[-1])
+    seen, fine_at, failed = last, -1, np.empty(0, np.int64)
+    for b in batches:
+        ids, fine = b["result_id"].to_numpy(np.int64), b["status"].isin(P.FINE).to_numpy()
+        new = ids > last
+        seen = max(seen, int(ids[new].max(initial=-1)))
+        fine_at = max(fine_at, int(ids[new & fine].max(initial=-1)))
+        failed = np.unique(np.concatenate([failed[failed > fine_at], ids[new & ~fine & (ids > fine_at)]]))
+    if seen > last:
+        failures = len(failed) + (0 if fine_at >= 0 else failures)
+        last = seen
         state.update((failures, last))
     yield pd.DataFrame({"key": [key[0]], "failures": [failures], "last": [last]})
 
@@ -56,16 +58,22 @@ def failure_counters(stream: DataFrame) -> DataFrame:
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Runs all that is available and returns what was written, from the shared folder in append mode, else from memory."""
-    at = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", at + "-state")
+    """Runs all that is available and returns what was written to the shared folder: in complete mode what the last batch wrote, else what all did."""
+    at, state = new_folder(spark, label), new_folder(spark, label + "-state")
+    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state)
     if mode == "append":
-        q = w.format("parquet").start(at)
-        q.awaitTermination()
+        w.format("parquet").start(at).awaitTermination()
         return spark.read.schema(stream.schema).parquet(at)
-    name = f"{label}_{uuid.uuid4().hex}"
-    w.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    last = [-1]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch={number}")
+        last[0] = number
+
+    w.foreachBatch(keep).start().awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{at}/batch={last[0]}" if mode == "complete" else f"{at}/batch=*")
 
 
 def stream_weekly_counts(spark: SparkSession, sf: str) -> DataFrame:

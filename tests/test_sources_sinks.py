@@ -36,11 +36,12 @@ def test_report(spark):
     assert "downloaded             2" in writers.report_text(bucket_counts(rows, ["week"]), ["week"]).first()["text"]
 
 
-def test_calendar_and_feed(spark):
+def test_calendar_and_feed(spark, tmp_path):
     e = spark.createDataFrame([("g", "k", 2, "Tea, cake; fun", "2026-06-14", "9:5", "Hall", "", "social"), ("g", "k", 1, "All day", "2026-06-15", None, None, "x\ny", None), ("g", "k", 3, "Bad", "2026-02-31", None, None, None, None)],
                               '`group` string, key string, seq int, title string, date_iso string, time_24h_or_null string, location_or_null string, description string, category string')
     stamp = F.lit("2026-06-01 10:00:00+00:00").cast("timestamp")
-    got = {r["group"]: r["ics"] for r in writers.calendars(e, stamp).collect()}
+    writers.write_calendars(writers.calendars(e, stamp), str(tmp_path / "ics"))
+    got = {d.name.removeprefix("group="): b"".join(f.read_bytes() for f in sorted(d.glob("part-*"))).decode() for d in (tmp_path / "ics").glob("group=*")}
     assert set(got) == {"g", "all"} and got["g"].count("BEGIN:VEVENT") == 2
     body = got["g"]
     assert "DTSTART:20260614T090500" in body and "DTSTART;VALUE=DATE:20260615" in body and "SUMMARY:Tea\\, cake\\; fun" in body and "DESCRIPTION:x\\ny" in body and "CATEGORIES:SOCIAL" in body
