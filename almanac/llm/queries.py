@@ -9,7 +9,7 @@ from almanac.llm.canonical import bounded_entries, map_to_list
 from almanac.llm.confusables import consistent_names, lookalike_table, name_forms
 from almanac.llm.leaks import bounded_items, decontaminated, leaked
 from almanac.llm.mixing import mix
-from almanac.llm.residue import residue_values, templates, without_residue
+from almanac.llm.residue import ResidueRules, residue_values, templates, without_residue
 from almanac.llm.splitting import bounded_profiles, split_texts
 from almanac.llm.tokens import ByteTokenizer
 from almanac.session import table
@@ -36,23 +36,31 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RESIDUE_FIELDS = ["file_path", "error", "file_type"]
+#: What the harvester's own messages quote, once numbers and addresses are masked.
+HARVEST_RULES = ResidueRules(quoting=(
+    (r"^(selector ).+( matched nothing on addr)", "$1quoted$2"),
+    (r"^(unexpected response )\{.+\}", "$1quoted"),
+    (r"^(recipe for ).+( no longer fits the site; start the trainer with ).+", "$1quoted$2quoted"),
+    (r"^(recipe )(?:switched off)$", "$1off"),
+    (r"^(page not found)( while following step 0 of the recipe)", "missing$2"),
+))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "fetch_results").select("result_id", "key", *RESIDUE_FIELDS)
-    return residue_values(df, "result_id", RESIDUE_FIELDS, "key").select("result_id", "field")
+    return residue_values(df, "result_id", RESIDUE_FIELDS, "key", HARVEST_RULES).select("result_id", "field")
 
 
 def p2_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Recurring templates with their verdicts, rows and sources."""
     df = table(spark, sf, "fetch_results").select("result_id", "key", *RESIDUE_FIELDS)
-    return templates(df, RESIDUE_FIELDS, "key", id_col="result_id").where("widely").select("field", "template", "n_rows", "n_sources", "verdict")
+    return templates(df, RESIDUE_FIELDS, "key", HARVEST_RULES, id_col="result_id").where("widely").select("field", "template", "n_rows", "n_sources", "verdict")
 
 
 def p2_run_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Per run: results, and file paths, errors and file types that are real content."""
     df = table(spark, sf, "fetch_results").select("result_id", "run_id", "key", *RESIDUE_FIELDS).distinct()
-    clean = without_residue(df, "result_id", RESIDUE_FIELDS, "key")
+    clean = without_residue(df, "result_id", RESIDUE_FIELDS, "key", HARVEST_RULES)
     return clean.groupBy("run_id").agg(F.count("*").alias("results"), *[F.count(f).alias(f"with_{f}") for f in RESIDUE_FIELDS])
 
 

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.session import norm_key
+from almanac.session import norm_key, written
 
 NUMBER = "0"
 ADDRESS = "addr"
-QUOTED = "quoted"
-
-#: What a harvester's own messages look like once numbers and addresses are masked. The gaps
-#: quote a selector, a name or a server's reply and are not content of the message.
-OWN_MESSAGES = (
-    (r"^(selector ).+( matched nothing on addr)", "$1quoted$2"),
-    (r"^(unexpected response )\{.+\}", "$1quoted"),
-    (r"^(recipe for ).+( no longer fits the site; start the trainer with ).+", "$1quoted$2quoted"),
-    (r"^(recipe )(?:switched off)$", "$1off"),
-    (r"^(page not found)( while following step 0 of the recipe)", "missing$2"),
-)
 
 _NAME = r"[a-z][a-z_.]{0,40}"
 #: Unfilled placeholders, on masked lower-case text.
@@ -102,6 +93,23 @@ PAGES = (
 )
 
 
+@dataclass(frozen=True)
+class ResidueRules:
+    """Patterns over masked lower-case text, all parameters.
+
+    ``quoting`` says what a message quotes: pairs of a pattern and its replacement, for messages whose gaps hold a selector, a name or
+    a server's reply, which are not content of the message. ``recurring`` is the number of sources from which a template counts as widely recurring.
+    """
+
+    placeholders: tuple[str, ...] = PLACEHOLDERS
+    fillers: tuple[str, ...] = FILLERS
+    pages: tuple[str, ...] = PAGES
+    filler_words: tuple[str, ...] = tuple(FILLER_WORDS)
+    junk_words: tuple[str, ...] = JUNK_WORDS
+    quoting: tuple[tuple[str, str], ...] = ()
+    recurring: int = 5
+
+
 def masked(value: Column, source: Column | None = None) -> Column:
     """The value as a template: lower case, blanks collapsed, the source's own key, addresses, dates and numbers masked.
 
@@ -122,69 +130,76 @@ def _any(text: Column, rules: tuple[str, ...]) -> Column:
     return text.rlike("|".join(f"(?:{r})" for r in rules))
 
 
-def verdict(template: Column) -> Column:
+def verdict(template: Column, rules: ResidueRules = ResidueRules()) -> Column:
     """``placeholder``, ``filler``, ``page`` or null for a masked template."""
     t = template
-    for pattern, by in OWN_MESSAGES:
+    for pattern, by in rules.quoting:
         t = F.regexp_replace(t, pattern, by)
     words = F.filter(F.split(F.regexp_replace(t, r"[^a-z ]", ""), " "), lambda w: w != "")
-    known = F.size(F.filter(words, lambda w: w.isin(FILLER_WORDS)))
-    dead = (F.size(words) >= 2) & ((known * 5 >= F.size(words) * 3) | F.forall(words, lambda w: w.isin(*JUNK_WORDS)))
+    known = F.size(F.filter(words, lambda w: w.isin(*rules.filler_words)))
+    dead = (F.size(words) >= 2) & ((known * 5 >= F.size(words) * 3) | F.forall(words, lambda w: w.isin(*rules.junk_words)))
     return (
-        F.when(_any(t, PLACEHOLDERS), F.lit("placeholder"))
-        .when(_any(t, FILLERS) | dead, F.lit("filler"))
-        .when(_any(t, PAGES), F.lit("page"))
+        F.when(_any(t, rules.placeholders), F.lit("placeholder"))
+        .when(_any(t, rules.fillers) | dead, F.lit("filler"))
+        .when(_any(t, rules.pages), F.lit("page"))
     )
 
 
 def _long(df: DataFrame, id_col: str, fields: list[str], source: str) -> DataFrame:
-    """``id_col, field, source, template``: one row per non-null value."""
+    """``_id, _src, field, h, template``: one row per non-null value; the source as it is compared."""
     values = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])
     long = df.select(F.col(id_col).alias("_id"), F.col(source).alias("_src"), F.explode(F.filter(values, lambda x: x["v"].isNotNull())).alias("x"))
-    return long.select("_id", "_src", F.col("x.f").alias("field"), masked(F.col("x.v"), F.col("_src")).alias("template"))
+    long = long.select("_id", norm_key("_src").alias("_src"), F.col("x.f").alias("field"), masked(F.col("x.v"), F.col("_src")).alias("template"))
+    return long.select("_id", "_src", "field", F.xxhash64("field", "template").alias("h"), "template")
 
 
-def templates(df: DataFrame, fields: list[str], source: str, recurring: int = 5, id_col: str | None = None) -> DataFrame:
+def _judged(long: DataFrame, rules: ResidueRules) -> DataFrame:
+    each = long.groupBy("field", "h", "template", "_src").agg(F.count("*").alias("n"))
+    # the template comes out as an aggregate: a filter on its verdict, pushed below the grouping, would judge every row
+    grouped = (
+        each.groupBy("field", "h", F.col("template").alias("_t"))
+        .agg(F.min("template").alias("template"), F.sum("n").alias("n_rows"), F.count("_src").alias("n_sources"))
+        .select("field", "h", "template", "n_rows", "n_sources", (F.col("n_sources") >= rules.recurring).alias("widely"))
+    )
+    return grouped.withColumn("verdict", verdict(F.col("template"), rules))
+
+
+def templates(df: DataFrame, fields: list[str], source: str, rules: ResidueRules = ResidueRules(), id_col: str | None = None) -> DataFrame:
     """Distinct templates: ``field, h, template, n_rows, n_sources, widely, verdict``.
 
-    The values are grouped by the hash of their masked form, with partial aggregation before the shuffle; a
-    template that a third of all rows share is one row per task and source. ``widely`` marks those of at least
-    ``recurring`` sources. They are counted exactly, keys trimmed and in lower case: first rows per template and
+    The values are grouped by the hash of their masked form (and the form itself, so that no two share a hash), with partial aggregation
+    before the shuffle; a template that a third of all rows share is one row per task and source. ``widely`` marks those of at least
+    ``rules.recurring`` sources. They are counted exactly, keys trimmed and in lower case: first rows per template and
     source, then sources per template, so that a hot template needs no set of its sources. Null is no source.
     A template is judged once, however many rows have it.
     """
-    long = _long(df, id_col or df.columns[0], fields, source)
-    each = long.groupBy("field", F.xxhash64("field", "template").alias("h"), norm_key("_src").alias("_src")).agg(F.min("template").alias("template"), F.count("*").alias("n"))
-    grouped = (
-        each.groupBy("field", "h")
-        .agg(F.min("template").alias("template"), F.sum("n").alias("n_rows"), F.count("_src").alias("n_sources"))
-        .withColumn("widely", F.col("n_sources") >= recurring)
-    )
-    return grouped.withColumn("verdict", verdict(F.col("template")))
+    return _judged(_long(df, id_col or df.columns[0], fields, source), rules)
 
 
-def residue_values(df: DataFrame, id_col: str, fields: list[str], source: str) -> DataFrame:
-    """Values that are residue: ``<id_col>, field, verdict``, each (id, field) once.
+def residue_values(df: DataFrame, id_col: str, fields: list[str], source: str, rules: ResidueRules = ResidueRules()) -> DataFrame:
+    """Values that are residue: ``<id_col>, field, verdict, widely``, each (id, field) once.
 
-    A template judged residue condemns all its values, wherever they occur.
+    A template judged residue condemns all its values, wherever they occur; ``widely`` says whether it recurs widely. Rare templates
+    are judged by the same rules, since a leftover need not recur.
 
     Defined cases: null values are no residue; an empty or blank value is not either; of repeated ids one row
     per field comes out if any of their values is residue; several verdicts of one (id, field) give the smallest;
     a null source masks nothing; an empty table gives an empty result; other columns are ignored.
 
-    Scale: only the few judged templates are joined back, by hash; adaptive execution broadcasts them if their
-    measured size allows and otherwise shuffles both sides by hash, splitting hot ones.
+    Scale: values are masked once and written to the shared folder as (id, source, field, hash, template), whose columns repeat so much that they
+    take little room. The few judged templates are joined back by hash and verified by the template itself; adaptive execution broadcasts
+    them if their measured size allows and otherwise shuffles both sides by hash, splitting hot ones.
     """
-    distinct = _long(df, id_col, fields, source).groupBy("field", F.xxhash64("field", "template").alias("h")).agg(F.min("template").alias("template"))
-    bad = distinct.withColumn("verdict", verdict(F.col("template"))).where("verdict IS NOT NULL").select("h", "verdict")
-    long = _long(df, id_col, fields, source).select("_id", "field", F.xxhash64("field", "template").alias("h"))
-    hits = long.join(bad, "h")
-    return hits.groupBy(F.col("_id").alias(id_col), "field").agg(F.min("verdict").alias("verdict"))
+    long = written(_long(df, id_col, fields, source), "masked")
+    bad = _judged(long, rules).where("verdict IS NOT NULL").select("h", F.col("field").alias("_f"), F.col("template").alias("_t"), "verdict", "widely")
+    # null-safe equality: from a plain one the optimizer would conclude that all templates have a verdict, and judge every row
+    hits = long.join(bad, (long["h"] == bad["h"]) & F.col("field").eqNullSafe(F.col("_f")) & F.col("template").eqNullSafe(F.col("_t")))
+    return hits.groupBy(F.col("_id").alias(id_col), "field").agg(F.min("verdict").alias("verdict"), F.bool_or("widely").alias("widely"))
 
 
-def without_residue(df: DataFrame, id_col: str, fields: list[str], source: str) -> DataFrame:
+def without_residue(df: DataFrame, id_col: str, fields: list[str], source: str, rules: ResidueRules = ResidueRules()) -> DataFrame:
     """``df`` with residue values set to null, so that statistics do not count them. ``id_col`` must identify values."""
-    bad = residue_values(df, id_col, fields, source).groupBy(F.col(id_col).alias("__bad_id")).agg(F.collect_set("field").alias("__bad"))
+    bad = residue_values(df, id_col, fields, source, rules).groupBy(F.col(id_col).alias("__bad_id")).agg(F.collect_set("field").alias("__bad"))
     joined = df.join(bad, df[id_col] == bad["__bad_id"], "left")
     found = F.coalesce(bad["__bad"], F.array().cast("array<string>"))
     return joined.select(*[F.when(~F.array_contains(found, c), df[c]).alias(c) if c in fields else df[c] for c in df.columns])

@@ -1,6 +1,7 @@
 import pytest
 
-from almanac.llm.residue import residue_values, templates, without_residue
+from almanac.llm.queries import HARVEST_RULES
+from almanac.llm.residue import ResidueRules, residue_values, templates, without_residue
 
 BAD = {
     "placeholder": ["{{ key }}", "${parish}", "%(week)s", "<%= reason %>", "@@err@@", "Bulletins/raw/kilmore_[parish].pdf", "Bulletins/raw/__n__.pdf", "Bulletins/raw/kilmore___status__.pdf",
@@ -21,13 +22,13 @@ def frame(spark):
 
 
 def test_every_value_gets_its_verdict(frame):
-    got = {r["result_id"]: r["verdict"] for r in residue_values(frame, "result_id", ["error"], "key").collect()}
+    got = {r["result_id"]: r["verdict"] for r in residue_values(frame, "result_id", ["error"], "key", HARVEST_RULES).collect()}
     for r in frame.collect():
         assert got.get(r["result_id"]) == r["want"], r["error"]
 
 
 def test_repeated_ids_and_empty(spark, frame):
-    twice = residue_values(frame.unionByName(frame), "result_id", ["error"], "key")
+    twice = residue_values(frame.unionByName(frame), "result_id", ["error"], "key", HARVEST_RULES)
     assert twice.count() == twice.select("result_id", "field").distinct().count() == sum(map(len, BAD.values()))
     assert residue_values(frame.limit(0), "result_id", ["error"], "key").count() == 0
 
@@ -52,3 +53,12 @@ def test_sources_are_counted_exactly(spark):
     got = templates(spark.createDataFrame(rows, "result_id long, key string, error string"), ["error"], "key", id_col="result_id").collect()
     assert {(r["n_sources"], r["n_rows"], r["widely"]) for r in got if r["template"] != "seen by four"} == {(5, 7, True)} and len(got) == 401
     assert [(r["n_sources"], r["n_rows"], r["widely"]) for r in got if r["template"] == "seen by four"] == [(4, 5, False)]
+
+
+def test_rules_are_parameters_and_recurrence_is_reported(spark):
+    rows = [(i, f"k{i % 6}", "our own words about {{x}}") for i in range(12)] + [(50, "k1", "gone fishing")]
+    df = spark.createDataFrame(rows, "result_id long, key string, error string")
+    got = {(r["result_id"], r["verdict"], r["widely"]) for r in residue_values(df, "result_id", ["error"], "key").collect()}
+    assert got == {(i, "placeholder", True) for i in range(12)}
+    own = ResidueRules(quoting=((r"^(our own words about ).+", "$1quoted"),), pages=("^gone fishing$",), recurring=7)
+    assert {(r["result_id"], r["verdict"], r["widely"]) for r in residue_values(df, "result_id", ["error"], "key", own).collect()} == {(50, "page", False)}
