@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,25 +15,27 @@ from pyspark.sql import functions as F
 from almanac.llm.confusables import LookAlikes, TextForm
 from almanac.session import ship, spread
 
-#: What people put round a name and means nothing by itself, between blanks or in brackets.
-DECORATION = (
-    r"[\[(_ ,-]+(?:co|county)[. _-]+\w+[\])]*(?=$|[\s_-])",
-    r"[\[(_ -]+(?:new|old)[ _-](?:web)?site[\])]*",
-    r"^\s*(?:the[ _])?(?:parish(?:es)?|church)[ _]of[ _](?:the[ _])?",
-    r"[\s_–—-]+(?:rc[ _]church|catholic[ _]church|bulletin[ _]page|weekly[ _]bulletin|sunday[ _]bulletin|newsletter|parish(?:es)?)(?=[\s_]+[–—-][\s_])",
-)
-#: The same at the end, in letters only, whole or broken off after four letters.
-TAILS = ("newsletter", "weekly", "bulletinpage", "page", "newsite", "oldsite", "sunday", "rcchurch", "catholicchurch", "catholic", "church", "parish", "parishes", "website")
-#: Abbreviations of words in names.
-SHORT = {"nth": "north", "sth": "south", "lwr": "lower", "lr": "lower", "upr": "upper", "uppr": "upper", "saint": "st", "est": "east", "wst": "west", "agus": "and"}
-#: Digits typed for letters; a one stands for either of two, which thereby become one.
-LEET = str.maketrans("01i", "oll")
-#: Spellings of the same part of a name.
-SPELLINGS = (("lough", "loch"), ("clon", "cloon"), ("kil", "kill"))
 
+@dataclass(frozen=True)
+class NameRules:
+    """What is known of the names of a list, all parameters; the defaults know nothing.
 
-#: Texts of so many letters may be names broken off at the end of a field.
-BROKEN_OFF = 12
+    ``decoration``: patterns of what people put round a name and means nothing by itself; ``tails``: the same at the end, as run-together letters, whole
+    or broken off after four; ``heads``: at the beginning. ``short``: abbreviations of words. ``alike``: characters of which the second stands for the first
+    too. ``spellings``: of the same part of a name. ``prefixes``: first parts typed as one or two letters. ``turned``: last words that are also typed first,
+    or as one letter. ``titles``: a qualifier that begins with one is shortened in it only. ``weak``: greatest distance from a weak path, which says less of its entry than a whole name.
+    """
+
+    decoration: tuple[str, ...] = ()
+    heads: tuple[str, ...] = ()
+    tails: tuple[str, ...] = ()
+    short: tuple[tuple[str, str], ...] = ()
+    alike: tuple[str, str] = ("", "")
+    spellings: tuple[tuple[str, str], ...] = ()
+    prefixes: tuple[str, ...] = ()
+    turned: tuple[str, ...] = ()
+    titles: tuple[str, ...] = ()
+    weak: int = 2
 
 
 def allowed(length: int) -> int:
@@ -39,114 +43,132 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2 if length < 16 else 3
 
 
-def words_of(text: str) -> list[str]:
-    """Words without accents, apostrophes and case; ``&`` becomes ``and``."""
-    t = unicodedata.normalize("NFD", text.lower())
-    t = "".join(c for c in t if not unicodedata.combining(c) and c not in "'’‘`")
-    return [SHORT.get(w, w) for w in re.findall(r"[^\W_]+", t.replace("&", " and "))]
-
-
-def bare(text: str) -> str:
-    """The text without decoration in brackets or in front; a nought counts as the letter there."""
-    t = text.lower().replace("0", "o")
-    while True:
-        before = t
-        for pattern in DECORATION:
-            t = re.sub(pattern, "", t).strip()
-        if t == before:
-            return t
-
-
-def letters(words: Iterable[str]) -> str:
-    return "".join(words).translate(LEET)
-
-
-_TAIL = re.compile("(?:" + "|".join(sorted({letters([t])[:n] for t in TAILS for n in range(4, len(t) + 1)}, key=len, reverse=True)) + ")$")
-
-
-_HEAD = re.compile("^(?:" + letters(["the"]) + ")?(?:" + letters(["parishof"]) + ")(?:" + letters(["the"]) + ")?")
-
-
-def without_tail(compact: str) -> str:
-    """Letters without the decoration at their end, and the same run together in front."""
-    compact = _HEAD.sub("", compact)
-    while (m := _TAIL.search(compact)):
-        compact = compact[: m.start()]
-    return compact
-
-
-def alias_paths(name: str) -> Iterator[tuple[str, bool]]:
-    """What is typed for an entry: its words, a qualifier in front or doubled, its parts in turn; shortened words as weak paths."""
-    t = name.lower()
-    m = re.fullmatch(r"(.*?)\s*\(([^()]*)\)\s*", t)
-    if m:
-        base, q = words_of(m[1]), words_of(m[2])
-        short = [[q[0][0], *q[1:]], [*q[:-1], q[-1][0]], [w[0] for w in q], [w[:3] for w in q], [w[:4] for w in q]] if len(q) > 1 else []
-        if len(q) > 1:
-            short.append(["".join(re.sub("[aeiou]", "", w[1:]).join((w[0], ""))) if i == 0 else w[:3] for i, w in enumerate(q)])
-        if q[0] == "st":
-            short = [["s", *q[1:]]]
-        for x in [q, *short]:
-            yield letters(base + x), x is not q
-            yield letters(x + base), x is not q
-        yield letters(q + base + q), False
-        return
-    parts = [words_of(p) for p in re.split(r"\s[&–—-]\s|/", t)]
-    if len(parts) == 2:
-        a, b = parts
-        for x, y in ((a, b), (b, a)):
-            yield letters(x + y), False
-            yield letters([*x, "and", *y]), False
-            if m := INITIAL.match(letters(y)):
-                for n in (1, 2):
-                    rest = letters(y)[:n] + letters(y)[m.end() :]
+class Spelling:
+    """Texts as the letters that are compared, and what is typed for an entry, by the rules."""
+
+    def __init__(self, rules: NameRules = NameRules()):
+        self.rules, self.short, self.alike = rules, dict(rules.short), str.maketrans(*rules.alike)
+        tails = {self.letters([t])[:n] for t in rules.tails for n in range(4, len(t) + 1)}
+        self.tail = re.compile("(?:" + "|".join(sorted(tails, key=lambda t: (-len(t), t))) + ")$") if tails else None
+        self.head = re.compile("^(?:" + "|".join(self.letters([h]) for h in rules.heads) + ")") if rules.heads else None
+        self.initial = re.compile("^(?:" + "|".join(self.letters([p]) for p in rules.prefixes) + ")") if rules.prefixes else None
+
+    def words_of(self, text: str) -> list[str]:
+        """Words without accents, apostrophes and case; ``&`` becomes ``and``."""
+        t = unicodedata.normalize("NFD", text.lower())
+        t = "".join(c for c in t if not unicodedata.combining(c) and c not in "'’‘`")
+        return [self.short.get(w, w) for w in re.findall(r"[^\W_]+", t.replace("&", " and "))]
+
+    def bare(self, text: str) -> str:
+        """The text without decoration; a nought counts as the letter there."""
+        t = text.lower().replace("0", "o")
+        while True:
+            before = t
+            for pattern in self.rules.decoration:
+                t = re.sub(pattern, "", t).strip()
+            if t == before:
+                return t
+
+    def letters(self, words: Iterable[str]) -> str:
+        return "".join(words).translate(self.alike)
+
+    def without_tail(self, compact: str) -> str:
+        """Letters without the decoration at their end, and the same run together in front."""
+        if self.head:
+            compact = self.head.sub("", compact)
+        while self.tail and (m := self.tail.search(compact)):
+            compact = compact[: m.start()]
+        return compact
+
+    def _begun(self, name: str) -> Iterator[str]:
+        """The letters with their first part as one or two letters."""
+        if self.initial and (m := self.initial.match(name)):
+            yield from (name[:n] + name[m.end() :] for n in (1, 2))
+
+    def paths(self, name: str) -> Iterator[tuple[str, bool]]:
+        """What is typed for an entry: its words, a qualifier in front or doubled, its parts in turn; shortened words as weak paths."""
+        words_of, letters = self.words_of, self.letters
+        t = name.lower()
+        m = re.fullmatch(r"(.*?)\s*\(([^()]*)\)\s*", t)
+        if m and (q := words_of(m[2])):
+            base = words_of(m[1])
+            weak = []
+            if q[0] in self.rules.titles:
+                weak = [[q[0][0], *q[1:]]]
+            elif len(q) > 1:
+                weak = [[q[0][0], *q[1:]], [*q[:-1], q[-1][0]], [w[0] for w in q], [w[:3] for w in q], [w[:4] for w in q]]
+                weak.append([q[0][0] + re.sub("[aeiou]", "", q[0][1:]), *[w[:3] for w in q[1:]]])
+            for x in [q, *weak]:
+                yield letters(base + x), x is not q
+                yield letters(x + base), x is not q
+            yield letters(q + base + q), False
+            return
+        parts = [words_of(p) for p in re.split(r"\s[&–—-]\s|/", t)]
+        if len(parts) == 2:
+            a, b = parts
+            for x, y in ((a, b), (b, a)):
+                yield letters(x + y), False
+                yield letters([*x, "and", *y]), False
+                for rest in self._begun(letters(y)):
                     yield letters([*x, rest]), True
                     yield letters([*x, "and", rest]), True
-        return
-    w = words_of(t)
-    yield letters(w), False
-    if len(w) > 1 and w[-1] in ("north", "south", "east", "west", "upper", "lower", "urban", "rural"):
-        yield letters([w[-1], *w[:-1]]), False
-        yield letters([*w[:-1], w[-1][0]]), True
+            return
+        w = words_of(t)
+        yield letters(w), False
+        if len(w) > 1 and w[-1] in self.rules.turned:
+            yield letters([w[-1], *w[:-1]]), False
+            yield letters([*w[:-1], w[-1][0]]), True
 
+    def alias_paths(self, name: str) -> Iterator[tuple[str, bool]]:
+        """``paths`` in all spellings, with a weak path for a shortened first part."""
+        for p, weak in self.paths(name):
+            yield p, weak
+            for a, b in self.rules.spellings:
+                if self.letters([a]) in p:
+                    yield p.replace(self.letters([a]), self.letters([b])), weak
+            for x in self._begun(p):
+                yield x, True
 
-#: First parts of names that are typed as one or two letters.
-PREFIXES = "bally knock derry carrow castle temple tully inish aghna kil clon corr drum doon dun fenn glen lis mag rath ard".split()
-INITIAL = re.compile("^(?:" + "|".join(letters([p]) for p in PREFIXES) + ")")
 
-
-#: Greatest distance from a weak path: it says less of its entry than a whole name.
-WEAK = 2
+#: Marks a node below which the paths of several entries end.
+MANY = -1
 
 
 class Trie:
-    """Trie of alias paths; a node is ``[children, {id: weak}]``. Built once from a bounded reference list."""
+    """Trie of alias paths; a node is ``[children, {id: weak}, the one entry with whole names below or MANY]``. Built once from a bounded reference list."""
 
-    def __init__(self, entries: Iterable[tuple[int, str]]):
-        self.root: list = [{}, None]
+    def __init__(self, entries: Iterable[tuple[int, str]], spelling: Spelling | None = None):
+        self.spelling = spelling or Spelling()
+        self.weak = self.spelling.rules.weak
+        self.root: list = [{}, None, None]
         paths: dict[str, dict[int, bool]] = {}
         for ref, name in entries:
-            for p, weak in alias_paths(name):
-                spelt = [(p, weak), *((p.replace(letters([a]), letters([b])), weak) for a, b in SPELLINGS if letters([a]) in p)]
-                if m := INITIAL.match(p):
-                    spelt += [(p[:n] + p[m.end() :], True) for n in (1, 2)]
-                for x, w in spelt:
-                    own = paths.setdefault(x, {})
-                    own[ref] = w and own.get(ref, True)
+            for x, w in self.spelling.alias_paths(name):
+                own = paths.setdefault(x, {})
+                own[ref] = w and own.get(ref, True)
         self.longest = max(map(len, paths), default=0)
         for p, refs in paths.items():
+            whole = [r for r, weak in refs.items() if not weak]
+            only = None if not whole else whole[0] if len(whole) == 1 else MANY
             node = self.root
+            self._mark(node, only)
             for c in p:
-                node = node[0].setdefault(c, [{}, None])
+                node = node[0].setdefault(c, [{}, None, None])
+                self._mark(node, only)
             node[1] = refs
 
-    def search(self, text: str, most: int, missing: int = 0) -> dict[int, int]:
+    @staticmethod
+    def _mark(node: list, only: int | None) -> None:
+        if only is not None:
+            node[2] = only if node[2] in (None, only) else MANY
+
+    def search(self, text: str, most: int, beginning: bool = False) -> dict[int, int]:
         """All entries within ``most`` edits, with their distances.
 
         The automaton is run bit-parallel: bit i of state d says that the path so far equals the first i
         letters of ``text`` up to d edits. A branch is left as soon as no state is alive. Weak paths count up to
-        ``WEAK`` edits. With ``missing``, the
-        text may also break off up to so many letters before the end of a path.
+        ``weak`` edits. With ``beginning``, the entries of whose whole names the text is a beginning within ``most`` edits; ``MANY``
+        among them where a node belongs to several.
         """
         m = len(text)
         if m > self.longest + most:
@@ -158,81 +180,83 @@ class Trie:
         found: dict[int, int] = {}
         stack = [(self.root, tuple(((2 << d) - 1) & full for d in range(most + 1)))]
         while stack:
-            (children, refs), states = stack.pop()
-            if refs is not None and states[-1] & goal:
+            (children, refs, only), states = stack.pop()
+            if states[-1] & goal:
                 d = next(d for d, s in enumerate(states) if s & goal)
-                for r, weak in refs.items():
-                    if d < found.get(r, most + 1) and not (weak and d > WEAK):
-                        found[r] = d
-            if missing and states[-1] & goal:
-                d = next(d for d, s in enumerate(states) if s & goal)
-                for r in self._below([children, refs], missing):
-                    found[r] = min(d, found.get(r, d))
+                if beginning:
+                    if only is not None and d < found.get(only, most + 1):
+                        found[only] = d
+                elif refs is not None:
+                    for r, weak in refs.items():
+                        if d < found.get(r, most + 1) and not (weak and d > self.weak):
+                            found[r] = d
+            low = states[0]
             for c, child in children.items():
                 mask = masks.get(c, 0)
-                new = [(states[0] << 1) & mask]
-                for d in range(1, most + 1):
-                    low = states[d - 1]
-                    new.append(((((states[d] << 1) & mask) | low | (low << 1) | (new[d - 1] << 1)) & full))
-                if new[-1]:
+                last = (low << 1) & mask
+                new = [last]
+                below = low
+                for s in states[1:]:
+                    last = (((s << 1) & mask) | below | (below << 1) | (last << 1)) & full
+                    new.append(last)
+                    below = s
+                if last:
                     stack.append((child, tuple(new)))
         return found
 
 
-    def _below(self, node: list, depth: int) -> Iterator[int]:
-        stack = [(node, depth)]
-        while stack:
-            (children, refs), left = stack.pop()
-            yield from (r for r, weak in (refs or {}).items() if not weak)
-            if left:
-                stack += [(x, left - 1) for x in children.values()]
-
-
 class Matcher:
-    """Maps single texts; the form of equal-looking characters comes first."""
+    """Finds the entries of single texts; the form of equal-looking characters comes first. The trie is built once in each Python worker."""
+
+    _tries: dict[str, Trie] = {}
 
-    def __init__(self, entries: list[tuple[int, str]], form: TextForm):
-        self.entries, self.tf = entries, form
-        self._trie: Trie | None = None
+    def __init__(self, entries: list[tuple[int, str]], form: TextForm, rules: NameRules = NameRules()):
+        self.entries, self.tf, self.rules = entries, form, rules
+        self.mark = hashlib.sha256(repr((entries, rules)).encode("utf-8", "replace")).hexdigest()
 
-    def __getstate__(self):
-        return {"entries": self.entries, "tf": self.tf, "_trie": None}
+    @property
+    def trie(self) -> Trie:
+        got = self._tries.get(self.mark)
+        if got is None:
+            got = Trie(self.entries, Spelling(self.rules))
+            self._tries.clear()  # a worker holds one
+            self._tries[self.mark] = got
+        return got
 
     def variants(self, text: str) -> list[str]:
         """The letters of the text without and with its decoration; none if it is decoration only."""
-        if self._trie is None:
-            self._trie = Trie(self.entries)
+        sp = self.trie.spelling
         t = " ".join(self.tf.form(text).split())
-        core = without_tail(letters(words_of(bare(t))))
-        return [v for v in dict.fromkeys((core, letters(words_of(bare(t))), letters(words_of(t)))) if v] if core else []
+        undecorated = sp.letters(sp.words_of(sp.bare(t)))
+        core = sp.without_tail(undecorated)
+        return [v for v in dict.fromkeys((core, undecorated, sp.letters(sp.words_of(t)))) if v] if core else []
 
     def candidates(self, text: str) -> list[tuple[int, int]]:
         """``(distance, ref)`` of all entries within the distance for the text's length, nearest first."""
         seen: dict[int, int] = {}
         for v in self.variants(text):
-            for ref, d in self._trie.search(v, allowed(len(v))).items():
+            for ref, d in self.trie.search(v, allowed(len(v))).items():
                 seen[ref] = min(d, seen.get(ref, d))
         return sorted((d, r) for r, d in seen.items())
 
-    def best(self, text: str) -> tuple[int, int | None, int]:
-        """``ref`` (0: none, or not decided between equally near entries), the least distance, number of entries at it.
+    def begun(self, text: str) -> list[tuple[int, int]]:
+        """``(distance, ref)`` of the one entry of whose whole names the text is a beginning, to within one edit less than a whole text may have; else nothing."""
+        for v in self.variants(text):
+            near = self.trie.search(v, allowed(len(v)) - 1, True) if allowed(len(v)) else {}
+            least = [r for r, d in near.items() if d == min(near.values())]
+            if len(least) == 1 and least[0] != MANY:
+                return [(near[least[0]], least[0])]
+        return []
+
+    def found(self, text: str) -> tuple[list[tuple[int, int]], bool]:
+        """The candidates, or, where there are none, the entry of which the text is a beginning, and whether it is that."""
+        near = self.candidates(text)
+        return (near, False) if near else (self.begun(text), True)
 
-        The automaton is run for growing distances and stops at the first that reaches an entry. A text of
-        ``BROKEN_OFF`` letters or more that reaches none may be the beginning of a name half as long again, if it
-        begins no other.
-        """
-        vs = self.variants(text)
-        for most in range(max((allowed(len(v)) for v in vs), default=-1) + 1):
-            near = {r for v in vs if most <= allowed(len(v)) for r in self._trie.search(v, most)}
-            if near:
-                return (near.pop() if len(near) == 1 else 0), most, len(near)
-        for v in vs:
-            if len(v) >= BROKEN_OFF:
-                near = self._trie.search(v, allowed(len(v)) - 1, self._trie.longest)
-                least = [r for r, d in near.items() if d == min(near.values())]
-                if len(least) == 1 and least[0] in self._trie.search(v, allowed(len(v)) - 1, len(v) // 2):
-                    return least[0], near[least[0]], 1
-        return 0, None, 0
+    def best(self, text: str) -> int:
+        """The nearest entry; 0 if there is none, or several are equally near."""
+        near, _ = self.found(text)
+        return near[0][1] if near and (len(near) == 1 or near[1][0] > near[0][0]) else 0
 
 
 def bounded_entries(refs: DataFrame, id_col: str, name_col: str, limit: int = 200_000) -> list[tuple[int, str]]:
@@ -243,26 +267,44 @@ def bounded_entries(refs: DataFrame, id_col: str, name_col: str, limit: int = 20
     return sorted((r[0], r[1]) for r in rows)
 
 
-def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes) -> DataFrame:
+def _searched(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes, rules: NameRules) -> DataFrame:
+    """``__text, __c``: each distinct text that isn't blank with its candidates, nearest first."""
+    ship(rows.sparkSession)
+    m = Matcher(entries, TextForm(table), rules)
+
+    @F.pandas_udf("array<struct<distance:int,ref_id:long,beginning:boolean>>")
+    def search(s: pd.Series) -> pd.Series:
+        return pd.Series([[{"distance": d, "ref_id": r, "beginning": b} for d, r in near] for near, b in map(m.found, s)])
+
+    distinct = rows.select(F.col(text).alias("__text")).where(F.col("__text").rlike(r"(?U)[^\s]")).distinct()
+    search = search.asNondeterministic()  # else a filter on its result would run it twice
+    return spread(distinct, "__text").withColumn("__c", search("__text"))
+
+
+def candidates_in_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes, rules: NameRules = NameRules()) -> DataFrame:
+    """``text, ref_id, distance, beginning``: of each distinct text all entries within the distance for its length.
+
+    A text without any gets the one entry of which it is a beginning (``beginning``). Null and blank texts, and those without entries, come out nowhere.
+    """
+    return _searched(rows, text, entries, table, rules).select(F.col("__text").alias(text), F.inline("__c")).select(text, "ref_id", "distance", "beginning")
+
+
+def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes, rules: NameRules = NameRules()) -> DataFrame:
     """``rows`` whose text is neither null nor blank, with ``ref_id`` (0: no entry), ``distance`` and the number of ``nearest`` entries.
 
     Distinct texts are searched once each (partial aggregation collapses a text that a third of the rows share
-    before any Python runs), then joined back to their rows.
+    before any Python runs) for all entries within the distance; the nearest is taken, and joined back to the rows.
 
     Defined cases: null and blank texts (also of other blanks) come out nowhere; texts equally near to two
     entries, or near to none, get 0; an empty list gives 0 everywhere; texts longer
     than any path by more than the distance get 0 without a search; repeated rows each come out; columns that
     already have the names of the three are replaced, others stay.
     """
-    ship(rows.sparkSession)
-    m = Matcher(entries, TextForm(table))
-
-    @F.pandas_udf("ref_id long, distance int, nearest int")
-    def match(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([m.best(x) for x in s], columns=["ref_id", "distance", "nearest"]).astype({"distance": "Int32"})
-
-    distinct = rows.select(F.col(text).alias("__text")).where(F.col("__text").rlike(r"(?U)[^\s]")).distinct()
-    match = match.asNondeterministic()  # else a filter on its result would run it twice
-    mapped = spread(distinct, "__text").withColumn("__m", match("__text")).select("__text", "__m.*")
+    c = F.col("__c")
+    near = F.size(F.filter(c, lambda x: x["distance"] == F.get("__c", F.lit(0))["distance"]))
+    first = F.get(c, F.lit(0))
+    mapped = _searched(rows, text, entries, table, rules).select(
+        "__text", F.when(near == 1, first["ref_id"]).otherwise(F.lit(0)).alias("ref_id"), first["distance"].alias("distance"), near.alias("nearest")
+    )
     rows = rows.drop("ref_id", "distance", "nearest")
     return rows.join(mapped, rows[text] == mapped["__text"]).drop(mapped["__text"])

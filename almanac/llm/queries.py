@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm.canonical import bounded_entries, map_to_list
+from almanac.llm.canonical import NameRules, bounded_entries, candidates_in_list, map_to_list
 from almanac.llm.confusables import consistent_names, lookalike_table, name_forms
 from almanac.llm.leaks import bounded_items, decontaminated, leaked
 from almanac.llm.mixing import mix
@@ -64,14 +64,43 @@ def p2_run_stats(spark: SparkSession, sf: str) -> DataFrame:
     return clean.groupBy("run_id").agg(F.count("*").alias("results"), *[F.count(f).alias(f"with_{f}") for f in RESIDUE_FIELDS])
 
 
-def _mapped_names(spark: SparkSession, sf: str) -> DataFrame:
+#: What is known of parish names and of how people type them. A one stands for either of two letters, which thereby become one.
+PARISH_NAMES = NameRules(
+    decoration=(
+        r"[\[(_ ,-]+(?:co|county)[. _-]+\w+[\])]*(?=$|[\s_-])",
+        r"[\[(_ -]+(?:new|old)[ _-](?:web)?site[\])]*",
+        r"^\s*(?:the[ _])?(?:parish(?:es)?|church)[ _]of[ _](?:the[ _])?",
+        r"[\s_–—-]+(?:rc[ _]church|catholic[ _]church|bulletin[ _]page|weekly[ _]bulletin|sunday[ _]bulletin|newsletter|parish(?:es)?)(?=[\s_]+[–—-][\s_])",
+    ),
+    heads=("theparishofthe", "theparishof", "parishofthe", "parishof"),
+    tails=("newsletter", "weekly", "bulletinpage", "page", "newsite", "oldsite", "sunday", "rcchurch", "catholicchurch", "catholic", "church", "parish", "parishes", "website"),
+    short=(("nth", "north"), ("sth", "south"), ("lwr", "lower"), ("lr", "lower"), ("upr", "upper"), ("uppr", "upper"), ("saint", "st"), ("est", "east"), ("wst", "west"), ("agus", "and")),
+    alike=("01i", "oll"),
+    spellings=(("lough", "loch"), ("clon", "cloon"), ("kil", "kill")),
+    prefixes=tuple("bally knock derry carrow castle temple tully inish aghna kil clon corr drum doon dun fenn glen lis mag rath ard".split()),
+    turned=("north", "south", "east", "west", "upper", "lower", "urban", "rural"),
+    titles=("st",),
+)
+
+
+def _typed_names(spark: SparkSession, sf: str) -> tuple[DataFrame, list[tuple[int, str]]]:
     rows = [
         table(spark, sf, t).select(F.lit(t).alias("table_name"), "row_id", "display_name") for t in ("report_long", "contacts")
     ]
     refs = table(spark, sf, "parish_names")
     names = refs.select(F.col("canonical_name").alias("display_name"))
-    typed = rows[0].unionByName(rows[1]).join(names, "display_name", "left_anti")
-    return map_to_list(typed, "display_name", bounded_entries(refs, "ref_id", "canonical_name"), lookalike_table(spark))
+    return rows[0].unionByName(rows[1]).join(names, "display_name", "left_anti"), bounded_entries(refs, "ref_id", "canonical_name")
+
+
+def _mapped_names(spark: SparkSession, sf: str) -> DataFrame:
+    typed, entries = _typed_names(spark, sf)
+    return map_to_list(typed, "display_name", entries, lookalike_table(spark), PARISH_NAMES)
+
+
+def p3_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each typed text all entries within the distance for its length."""
+    typed, entries = _typed_names(spark, sf)
+    return candidates_in_list(typed, "display_name", entries, lookalike_table(spark), PARISH_NAMES)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,6 +203,7 @@ QUERIES = {
     "p2_run_stats": p2_run_stats,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p3_candidates": p3_candidates,
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p6_cleaned": p6_cleaned,

@@ -93,6 +93,10 @@ PAGES = (
 )
 
 
+#: Judged templates up to which they are broadcast (some 200 bytes each).
+BROADCAST_TEMPLATES = 100_000
+
+
 @dataclass(frozen=True)
 class ResidueRules:
     """Patterns over masked lower-case text, all parameters.
@@ -187,13 +191,14 @@ def residue_values(df: DataFrame, id_col: str, fields: list[str], source: str, r
     a null source masks nothing; an empty table gives an empty result; other columns are ignored.
 
     Scale: values are masked once and written to the shared folder as (id, source, field, hash, template), whose columns repeat so much that they
-    take little room. The few judged templates are joined back by hash and verified by the template itself; adaptive execution broadcasts
-    them if their measured size allows and otherwise shuffles both sides by hash, splitting hot ones.
+    take little room. The few judged templates are written too, joined back by hash and verified by the template itself: by broadcast
+    up to ``BROADCAST_TEMPLATES`` of them, beyond that both sides are shuffled by hash and adaptive execution splits hot ones.
     """
     long = written(_long(df, id_col, fields, source), "masked")
-    bad = _judged(long, rules).where("verdict IS NOT NULL").select("h", F.col("field").alias("_f"), F.col("template").alias("_t"), "verdict", "widely")
-    # null-safe equality: from a plain one the optimizer would conclude that all templates have a verdict, and judge every row
-    hits = long.join(bad, (long["h"] == bad["h"]) & F.col("field").eqNullSafe(F.col("_f")) & F.col("template").eqNullSafe(F.col("_t")))
+    bad = written(_judged(long, rules).where("verdict IS NOT NULL").select("h", F.col("field").alias("_f"), F.col("template").alias("_t"), "verdict", "widely"), "judged")
+    if bad.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        bad = F.broadcast(bad)
+    hits = long.join(bad, (long["h"] == bad["h"]) & (F.col("field") == F.col("_f")) & (F.col("template") == F.col("_t")))
     return hits.groupBy(F.col("_id").alias(id_col), "field").agg(F.min("verdict").alias("verdict"), F.bool_or("widely").alias("widely"))
 
 
