@@ -248,15 +248,23 @@ class Matcher:
                 return [(near[least[0]], least[0])]
         return []
 
-    def found(self, text: str) -> tuple[list[tuple[int, int]], bool]:
-        """The candidates, or, where there are none, the entry of which the text is a beginning, and whether it is that."""
-        near = self.candidates(text)
+    def nearest(self, text: str) -> list[tuple[int, int]]:
+        """The candidates at the least distance: the automaton is run for growing distances and stops at the first that reaches an entry."""
+        vs = self.variants(text)
+        for most in range(max((allowed(len(v)) for v in vs), default=-1) + 1):
+            if near := {r for v in vs if most <= allowed(len(v)) for r in self.trie.search(v, most)}:
+                return sorted((most, r) for r in near)
+        return []
+
+    def found(self, text: str, every: bool = True) -> tuple[list[tuple[int, int]], bool]:
+        """The candidates, or only the nearest; where there are none, the entry of which the text is a beginning, and whether it is that."""
+        near = self.candidates(text) if every else self.nearest(text)
         return (near, False) if near else (self.begun(text), True)
 
     def best(self, text: str) -> int:
         """The nearest entry; 0 if there is none, or several are equally near."""
-        near, _ = self.found(text)
-        return near[0][1] if near and (len(near) == 1 or near[1][0] > near[0][0]) else 0
+        near, _ = self.found(text, every=False)
+        return near[0][1] if len(near) == 1 else 0
 
 
 def bounded_entries(refs: DataFrame, id_col: str, name_col: str, limit: int = 200_000) -> list[tuple[int, str]]:
@@ -267,14 +275,14 @@ def bounded_entries(refs: DataFrame, id_col: str, name_col: str, limit: int = 20
     return sorted((r[0], r[1]) for r in rows)
 
 
-def _searched(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes, rules: NameRules) -> DataFrame:
-    """``__text, __c``: each distinct text that isn't blank with its candidates, nearest first."""
+def _searched(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes, rules: NameRules, every: bool) -> DataFrame:
+    """``__text, __c``: each distinct text that isn't blank with its candidates, nearest first, or with the nearest only."""
     ship(rows.sparkSession)
     m = Matcher(entries, TextForm(table), rules)
 
     @F.pandas_udf("array<struct<distance:int,ref_id:long,beginning:boolean>>")
     def search(s: pd.Series) -> pd.Series:
-        return pd.Series([[{"distance": d, "ref_id": r, "beginning": b} for d, r in near] for near, b in map(m.found, s)])
+        return pd.Series([[{"distance": d, "ref_id": r, "beginning": b} for d, r in near] for near, b in (m.found(x, every) for x in s)])
 
     distinct = rows.select(F.col(text).alias("__text")).where(F.col("__text").rlike(r"(?U)[^\s]")).distinct()
     search = search.asNondeterministic()  # else a filter on its result would run it twice
@@ -286,24 +294,22 @@ def candidates_in_list(rows: DataFrame, text: str, entries: list[tuple[int, str]
 
     A text without any gets the one entry of which it is a beginning (``beginning``). Null and blank texts, and those without entries, come out nowhere.
     """
-    return _searched(rows, text, entries, table, rules).select(F.col("__text").alias(text), F.inline("__c")).select(text, "ref_id", "distance", "beginning")
+    return _searched(rows, text, entries, table, rules, True).select(F.col("__text").alias(text), F.inline("__c")).select(text, "ref_id", "distance", "beginning")
 
 
 def map_to_list(rows: DataFrame, text: str, entries: list[tuple[int, str]], table: LookAlikes, rules: NameRules = NameRules()) -> DataFrame:
     """``rows`` whose text is neither null nor blank, with ``ref_id`` (0: no entry), ``distance`` and the number of ``nearest`` entries.
 
     Distinct texts are searched once each (partial aggregation collapses a text that a third of the rows share
-    before any Python runs) for all entries within the distance; the nearest is taken, and joined back to the rows.
+    before any Python runs) for the nearest of the entries within the distance for their length (``candidates_in_list`` gives all), and joined back to the rows.
 
     Defined cases: null and blank texts (also of other blanks) come out nowhere; texts equally near to two
     entries, or near to none, get 0; an empty list gives 0 everywhere; texts longer
     than any path by more than the distance get 0 without a search; repeated rows each come out; columns that
     already have the names of the three are replaced, others stay.
     """
-    c = F.col("__c")
-    near = F.size(F.filter(c, lambda x: x["distance"] == F.get("__c", F.lit(0))["distance"]))
-    first = F.get(c, F.lit(0))
-    mapped = _searched(rows, text, entries, table, rules).select(
+    near, first = F.size("__c"), F.get("__c", F.lit(0))
+    mapped = _searched(rows, text, entries, table, rules, False).select(
         "__text", F.when(near == 1, first["ref_id"]).otherwise(F.lit(0)).alias("ref_id"), first["distance"].alias("distance"), near.alias("nearest")
     )
     rows = rows.drop("ref_id", "distance", "nearest")

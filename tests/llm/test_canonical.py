@@ -66,6 +66,12 @@ def test_all_entries_within_the_distance(matcher):
     assert allowed(3) == 0 and allowed(20) == 3
 
 
+def test_nearest_are_the_first_candidates(matcher):
+    for t in ("Carrowzolane (St Evran)", "Derryfelish Est", "Derryfelish", "Kiltrastr", "Maglughloh", "?", "Drumfeligo", "Carrowzolane St"):
+        near = matcher.candidates(t)
+        assert matcher.nearest(t) == [x for x in near if x[0] == near[0][0]]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "Kiltrastor "), (2, None), (3, "  "), (4, ""), (5, "Kiltrastor "), (6, "no such"), (7, "　")], "row_id long, display_name string")
     df = df.selectExpr("*", "row_id AS ref_id", "'x' AS nearest", "'y' AS __m")
