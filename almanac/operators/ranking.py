@@ -74,7 +74,10 @@ def best_document(links: DataFrame) -> DataFrame:
 
 
 def ranked_links(links: DataFrame, pins: DataFrame | None = None, n: int = 4) -> DataFrame:
-    """The best link of each page and its alternatives: rejected ones last, then pinned, fully dated, dated, points. Adds ``rank``."""
+    """The best link of each page and its alternatives: pinned, fully dated, dated, each by date, undated ones by points; of equals the first on the page.
+
+    A rejected link can only be the best, where a page has no other. Adds ``rank``.
+    """
     d, p = F.col("_d"), F.col("_p")
     j = links.withColumn("_d", D.partial_date(F.concat_ws(" ", "href", "text"))).withColumn("_p", X.phrase_points(F.col("href"), F.col("text")))
     if pins is not None:
@@ -88,9 +91,10 @@ def ranked_links(links: DataFrame, pins: DataFrame | None = None, n: int = 4) ->
     }).drop("_pin", "_d", "_p")
     order = [
         F.col("rejected"), F.desc("pinned"), F.desc("full_date"), F.desc("dated"), F.desc(F.when(F.col("dated"), F.col("date_score"))),
-        F.desc("points"), F.col("idx"),
+        F.desc(F.when(~F.col("dated"), F.col("points"))), F.col("idx"),
     ]
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(*order))).where(F.col("rank") <= n)
+    ranked = j.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(*order))).where(F.col("rank") <= n)
+    return ranked.where((F.col("rank") == 1) | ~F.col("rejected"))
 
 
 def date_first(links: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import predicates as P
-from almanac.operators.order import latest
+from almanac.operators.order import latest, prune_plan
 
 WEEK_S = 7 * 86400
 
@@ -109,19 +109,30 @@ def problem_rows(rows: DataFrame, dead: DataFrame, failures: DataFrame, by: list
     return out.join(counters, out[key] == counters["_c"], "left").drop("_c").withColumn("failures", F.coalesce("failures", F.lit(0)))
 
 
-def retention_plan(files: DataFrame, as_of: Column, weeks: int = 8, months: int = 24, cap: int | None = None) -> DataFrame:
+def retention_plan(files: DataFrame, as_of: Column, weeks: int = 8, months: int = 24, cap: int | None = None, merged_weeks: int = 12) -> DataFrame:
     """What happens to each file: ``path, bytes, modified, kind, action, archive``.
 
-    ``kind`` is individual or archive. Individual files older than ``weeks`` go into their month's archive (or
-    are deleted where that archive exists); archives older than ``months`` are deleted.
+    ``kind`` is individual, merged or archive. Individual files older than ``weeks`` and merged ones older than ``merged_weeks`` go into their
+    month's archive (or are deleted where that archive exists); archives older than ``months`` are deleted. Where what then is left, zipped
+    files included, exceeds ``cap`` bytes, the oldest archives are pruned until it fits or none is left.
     """
-    old = F.col("modified") < as_of - F.expr(f"INTERVAL {weeks * 7} DAYS")
-    label = F.concat(F.date_format("modified", "yyyy-MM"), F.lit("-individual-pdfs.zip"))
+    old = F.when(F.col("kind") == "individual", F.col("modified") < as_of - F.expr(f"INTERVAL {weeks * 7} DAYS")).when(F.col("kind") == "merged", F.col("modified") < as_of - F.expr(f"INTERVAL {merged_weeks * 7} DAYS"))
+    label = F.concat(F.date_format("modified", "yyyy-MM"), F.when(F.col("kind") == "merged", "-mega-pdfs.zip").otherwise("-individual-pdfs.zip"))
     have = files.where("kind = 'archive'").select(F.regexp_extract("path", "[^/]+$", 0).alias("archive")).distinct().withColumn("_have", F.lit(True))
-    out = files.withColumn("archive", F.when((F.col("kind") == "individual") & old, label)).join(have, "archive", "left")
+    out = files.withColumn("archive", F.when(old, label)).join(have, "archive", "left")
     expired = (F.col("kind") == "archive") & (F.col("modified") < F.add_months(as_of, -months).cast("timestamp"))
     action = F.when(F.col("archive").isNotNull() & F.col("_have").isNotNull(), "delete").when(F.col("archive").isNotNull(), "zip").when(expired, "delete").otherwise("keep")
-    return out.select("path", "bytes", "modified", "kind", action.alias("action"), "archive")
+    plan = out.select("path", "bytes", "modified", "kind", action.alias("action"), "archive")
+    if cap is None:
+        return plan
+    left = plan.where("action <> 'delete'").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    if left <= cap:
+        return plan
+    archives = plan.where("kind = 'archive' AND action = 'keep'").withColumn("_day", F.to_date("modified"))
+    kept = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    pruned = prune_plan(archives, [F.col("modified"), F.col("path")], "bytes", kept - (left - cap), "_day").select("path", "modified").distinct().withColumn("_prune", F.lit(True))
+    marked = plan.join(pruned, ["path", "modified"], "left")
+    return marked.select("path", "bytes", "modified", "kind", F.when(F.col("_prune"), "prune").otherwise(F.col("action")).alias("action"), "archive")
 
 
 def freshness_gate(results: DataFrame, target: Column, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

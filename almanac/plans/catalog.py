@@ -151,11 +151,11 @@ def traffic_light(spark, sf):
     return g.select("source", "n", "pct", P.traffic_light(F.col("pct")).alias("light"), P.bar(F.col("pct")).alias("bar"))
 
 
-@query(f"""WITH k AS (SELECT key, min(result_id) AS seq FROM {FR} WHERE key IS NOT NULL GROUP BY 1), f AS (SELECT lower(trim(key)) AS key, max(failures) AS failures FROM consecutive_failures WHERE failures > 1 GROUP BY 1)
+@query(f"""WITH k AS (SELECT key, min(result_id) AS seq FROM {FR} WHERE key IS NOT NULL GROUP BY 1), f AS (SELECT lower(trim(key)) AS key, max(failures) AS failures FROM consecutive_failures WHERE failures IS NOT NULL GROUP BY 1)
  SELECT key, f.failures, CAST(row_number() OVER (ORDER BY f.failures IS NULL, f.failures DESC, CASE WHEN f.failures IS NOT NULL THEN key END, seq) AS BIGINT) AS rank FROM k LEFT JOIN f USING (key)""")
 def priority_order(spark, sf):
     keys = results(spark, sf).where("key IS NOT NULL").groupBy("key").agg(F.min("result_id").alias("seq"))
-    fails = table(spark, sf, "consecutive_failures").where("failures > 1").select(norm_key("key").alias("key"), "failures")
+    fails = table(spark, sf, "consecutive_failures").select(norm_key("key").alias("key"), "failures")
     return order.priority_order(keys, fails).select("key", "failures", F.col("rank").cast("long").alias("rank"))
 
 
@@ -211,13 +211,19 @@ def consecutive_failures(spark, sf):
     return state.consecutive_failures(results(spark, sf), prior, seq="result_id")
 
 
-@query("""WITH p AS (SELECT station || '/' || key AS key, row_id AS seq, last_result AS result FROM site_health),
- l AS (SELECT key, max(seq) FILTER (result = 'ok') AS last, arg_max(result, seq) AS last_result, arg_max(result, seq) FILTER (result IN ('ok', 'nxdomain')) AS told FROM p GROUP BY 1),
- n AS (SELECT p.key, count(*) FILTER (result = 'nxdomain' AND (last IS NULL OR seq > last)) AS n FROM p JOIN l USING (key) GROUP BY 1)
- SELECT key, n AS strikes, CASE WHEN told = 'ok' THEN 'ok' WHEN told IS NOT NULL AND n >= 2 THEN 'inactive_candidate' WHEN told IS NOT NULL THEN 'nxdomain_watch' ELSE 'unknown' END AS status, last_result FROM l JOIN n USING (key)""")
+@query(f"""WITH p AS (SELECT station || '/' || key AS key, row_id AS seq, last_result AS result, status, nxdomain_strikes AS s, last_checked >= TIMESTAMPTZ '{TARGET} 00:00:00+00:00' AS new FROM site_health),
+ o AS (SELECT key, CAST(arg_max(coalesce(s, 0), seq) AS BIGINT) AS s, arg_max(coalesce(status, 'unknown'), seq) AS st FROM p WHERE NOT new AND key IS NOT NULL GROUP BY 1),
+ l AS (SELECT key, max(seq) FILTER (result = 'ok') AS last, arg_max(result, seq) AS last_result, arg_max(result, seq) FILTER (result IN ('ok', 'nxdomain')) AS told FROM p WHERE new AND key IS NOT NULL GROUP BY 1),
+ n AS (SELECT p.key, count(*) FILTER (result = 'nxdomain' AND (last IS NULL OR seq > last)) AS n FROM p JOIN l USING (key) WHERE new GROUP BY 1),
+ t AS (SELECT l.key, told, last_result, st, n + CASE WHEN last IS NULL THEN coalesce(s, 0) ELSE 0 END AS strikes FROM l JOIN n USING (key) LEFT JOIN o USING (key))
+ SELECT key, CAST(strikes AS BIGINT) AS strikes, CASE WHEN told = 'ok' THEN 'ok' WHEN told IS NOT NULL AND strikes >= 2 THEN 'inactive_candidate' WHEN told IS NOT NULL THEN 'nxdomain_watch' ELSE coalesce(st, 'unknown') END AS status, last_result FROM t""")
 def strike_state(spark, sf):
-    probes = table(spark, sf, "site_health").select((F.concat("station", F.lit("/"), "key")).alias("key"), F.col("row_id").alias("seq"), F.col("last_result").alias("result")).where("key IS NOT NULL")
-    return state.strikes(probes, spark.createDataFrame([], "key string, strikes int, status string"))
+    rows = table(spark, sf, "site_health").withColumn("key", F.concat("station", F.lit("/"), "key")).where("key IS NOT NULL")
+    new = F.col("last_checked") >= F.lit(TARGET + " 00:00:00+00:00").cast("timestamp")
+    prior = rows.where(~new).groupBy("key").agg(
+        F.max_by(F.coalesce("nxdomain_strikes", F.lit(0)), "row_id").cast("long").alias("strikes"), F.max_by(F.coalesce("status", F.lit("unknown")), "row_id").alias("status")
+    )
+    return state.strikes(rows.where(new).select("key", F.col("row_id").alias("seq"), F.col("last_result").alias("result")), prior)
 
 
 @query(f"""WITH c AS (SELECT key, result_id, url FROM {FR} WHERE status = 'ok' AND key IS NOT NULL AND url IS NOT NULL), v AS (SELECT key, arg_max(url, result_id) AS new_url FROM c GROUP BY 1),
@@ -248,10 +254,10 @@ NK = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', '', 'g')"
 
 @query(f"""WITH a AS (SELECT unnest(list_distinct([{NK.format('key')}, {NK.format('display_name')}, CASE WHEN lower(display_name) LIKE '% parish' THEN {NK.format("left(display_name, length(display_name) - 7)")} ELSE '' END])) AS alias, key, row_id FROM contacts WHERE key IS NOT NULL),
  m AS (SELECT alias, arg_max(key, (row_id, key)) AS resolved FROM a WHERE length(alias) > 0 GROUP BY 1)
- SELECT coalesce(resolved, n) AS resolved, count(*) AS rows FROM (SELECT {NK.format('display_name')} AS n FROM report_long) r LEFT JOIN m ON m.alias = r.n GROUP BY 1""")
+ SELECT row_id, coalesce(resolved, n) AS resolved FROM (SELECT row_id, {NK.format('display_name')} AS n FROM report_long) r LEFT JOIN m ON m.alias = r.n""")
 def alias_lookup(spark, sf):
     aliases = lookups.alias_map(table(spark, sf, "contacts"), "key", "display_name", "row_id")
-    return lookups.resolved_names(table(spark, sf, "report_long").select("display_name"), aliases, "display_name").groupBy("resolved").agg(F.count("*").alias("rows"))
+    return lookups.resolved_names(table(spark, sf, "report_long").select("row_id", "display_name"), aliases, "display_name").select("row_id", "resolved")
 
 
 NT = f"trim(regexp_replace(regexp_replace(replace(translate(lower({{0}}), '{X.MARKED}', '{X.PLAIN}'), '&', ' and '), '[’''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
@@ -286,11 +292,11 @@ def section_score_match(spark, sf):
     return lookups.section_score_match(s, r)
 
 
-EDITIONS = "(SELECT lower(trim(parish)) AS parish, edition AS day, min(doc_id) AS doc FROM documents WHERE source = 'bulletin_ocr' AND parish IS NOT NULL AND edition IS NOT NULL GROUP BY 1, 2)"
+EDITIONS = "(SELECT lower(trim(parish)) AS parish, edition AS day, min(doc_id) AS doc FROM documents WHERE parish IS NOT NULL AND edition IS NOT NULL GROUP BY 1, 2)"
 
 
 def _editions(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").where("source = 'bulletin_ocr' AND parish IS NOT NULL AND edition IS NOT NULL")
+    d = table(spark, sf, "documents").where("parish IS NOT NULL AND edition IS NOT NULL")
     return d.groupBy(norm_key("parish").alias("parish"), F.col("edition").alias("day")).agg(F.min("doc_id").alias("doc"))
 
 
@@ -346,6 +352,22 @@ def date_extract(spark, sf):
     return _urls(spark, sf).select("url", D.date_in_text(u).alias("in_text"), D.date_in_slug(u).alias("in_slug"), D.bulletin_date(u).alias("bulletin"), D.candidate_date(u).alias("candidate"))
 
 
+def _partial_sql(t: str) -> str:
+    """Score of a partial date (year, month and day as one number) in lower-case text."""
+    month = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in D.MONTH_NUMBERS.items() if len(k) == 3) + " END"
+    g = lambda p, i: f"try_cast(regexp_extract({t}, '{p}', {i}) AS INTEGER)"
+    ymd = lambda p, y, m, d: f"{g(p, y)} * 10000 + {g(p, m)} * 100 + {g(p, d)}"
+    named = lambda p: f"{g(p, 3)} * 10000 + {month.format(f'left(regexp_extract({t}, {chr(39)}{p}{chr(39)}, 2), 3)')} * 100 + {g(p, 1)}"
+    six, folder, year = "(?:^|/)([0-9]{2})([0-9]{2})([0-9]{2})\\.pdf\\b", "/(20[0-9]{2})/(0[1-9]|1[0-2])/", "\\b(20[0-9]{2})\\b"
+    my = "\\b(" + "|".join([*D.MONTHS, *[m[:3] for m in D.MONTHS]]) + ")\\s+(20[0-9]{2})\\b"
+    lone = "(?:^|[^0-9])", "(?:[^0-9]|$)"
+    return f"""coalesce({ymd("\\b(20[0-9]{2})-(0[1-9]|1[0-2])-([0-2][0-9]|3[01])\\b", 1, 2, 3)}, {ymd("/(20[0-9]{2})/(0[1-9]|1[0-2])/([0-2][0-9]|3[01])/", 1, 2, 3)},
+ {named("\\b([0-9]{1,2})(?:st|nd|rd|th)?[-_]([a-z]{3,9})[-_](20[0-9]{2})\\b")}, {named("\\b([0-9]{1,2})(?:st|nd|rd|th)?\\s+([a-z]{3,9})\\s+(20[0-9]{2})\\b")},
+ CASE WHEN {g(six, 2)} BETWEEN 1 AND 12 AND {g(six, 1)} BETWEEN 1 AND 31 THEN (2000 + {g(six, 3)}) * 10000 + {g(six, 2)} * 100 + {g(six, 1)} END,
+ {ymd(lone[0] + "(20[0-9]{2})(0[1-9]|1[0-2])([0-2][0-9]|3[01])" + lone[1], 1, 2, 3)}, {ymd(lone[0] + "([0-2][0-9]|3[01])(0[1-9]|1[0-2])(20[2-3][0-9])" + lone[1], 3, 2, 1)},
+ {g(folder, 1)} * 10000 + {g(folder, 2)} * 100, {g(my, 2)} * 10000 + {month.format(f"left(regexp_extract({t}, '{my}', 1), 3)")} * 100, {g(year, 1)} * 10000)"""
+
+
 FRESH = f"(SELECT url, {BULLETIN_SQL} AS d, DATE '{TARGET}' AS t FROM {URLS})"
 
 
@@ -370,14 +392,27 @@ def stale_list(spark, sf):
     return rows.where("date IS NULL OR days_old > 8").withColumn("list_name", F.when(F.col("date").isNull(), "unknown_date").otherwise("stale"))
 
 
-@query(f"""SELECT s, count(*) AS n FROM (SELECT CASE WHEN contains(coalesce(file_type, ''), 'recipe') OR pattern IN ('learned', 'recipe') THEN 'retrain_recipe' WHEN page AND ct <> 'html_link' THEN 'rescrape_bulletin_page'
- WHEN pattern <> '' AND pattern NOT IN ('html_link', 'F') THEN 'try_date_patterns' ELSE 'manual_review' END AS s FROM
- (SELECT file_type, CASE WHEN result_id % 3 = 0 THEN 'A' WHEN result_id % 3 = 1 THEN 'html_link' ELSE '' END AS pattern, result_id % 5 = 0 AS page, CASE WHEN result_id % 2 = 0 THEN 'pdf' ELSE 'html_link' END AS ct FROM {FR})) GROUP BY 1""")
+ENTRIES_SQL = """(SELECT lower(trim(key)) AS key, CASE WHEN bool_or(facebook IS NOT NULL) THEN 'html_link' ELSE 'A' END AS pattern, CASE WHEN bool_or(facebook IS NOT NULL) THEN 'html_link' ELSE 'pdf' END AS content_type,
+ coalesce(min(website), '') AS bulletin_page FROM contacts WHERE key IS NOT NULL GROUP BY 1)"""
+
+
+def _entries(spark, sf) -> DataFrame:
+    """Entries as the contacts tell them: sources with a social page are links, the others files of a dated pattern."""
+    c = table(spark, sf, "contacts").where("key IS NOT NULL").groupBy(norm_key("key").alias("key")).agg(
+        F.bool_or(F.col("facebook").isNotNull()).alias("_link"), F.coalesce(F.min("website"), F.lit("")).alias("bulletin_page")
+    )
+    return c.select("key", F.when(F.col("_link"), "html_link").otherwise("A").alias("pattern"), F.when(F.col("_link"), "html_link").otherwise("pdf").alias("content_type"), "bulletin_page")
+
+
+STRATEGY_SQL = """CASE WHEN contains(coalesce(file_type, ''), 'recipe') OR pattern IN ('learned', 'recipe') THEN 'retrain_recipe' WHEN length(trim(coalesce(bulletin_page, ''))) > 0 AND coalesce(content_type, '') <> 'html_link' THEN 'rescrape_bulletin_page'
+ WHEN pattern <> '' AND pattern NOT IN ('html_link', 'F') THEN 'try_date_patterns' ELSE 'manual_review' END"""
+
+
+@query(f"SELECT result_id, f.key, {STRATEGY_SQL} AS strategy FROM {FR} f LEFT JOIN {ENTRIES_SQL} e ON e.key = f.key")
 def retry_strategy(spark, sf):
-    i = F.col("result_id")
-    pattern = F.when(i % 3 == 0, "A").when(i % 3 == 1, "html_link").otherwise("")
-    s = P.retry_strategy(F.col("file_type"), pattern, i % 5 == 0, F.when(i % 2 == 0, "pdf").otherwise("html_link"))
-    return results(spark, sf).groupBy(s.alias("s")).agg(F.count("*").alias("n"))
+    r = results(spark, sf).join(_entries(spark, sf), "key", "left")
+    s = P.retry_strategy(F.col("file_type"), F.col("pattern"), F.length(F.trim("bulletin_page")) > 0, F.col("content_type"))
+    return r.select("result_id", "key", s.alias("strategy"))
 
 
 @query("""WITH t AS (SELECT DISTINCT target_date AS t FROM report_long WHERE target_date IS NOT NULL)
@@ -445,7 +480,7 @@ def best_candidate_per_page(spark, sf):
 
 
 _DASHED = "(?:^|[^0-9])([0-9]{1,2}-[0-9]{1,2}-[0-9]{2})(?:[^0-9]|$)"
-OTHER_SQL = "regexp_matches(href, '(?i)dataentry|giftaid|standingorder|donation|prayer|safeguarding|privacy|gdpr|diocese|sitemap|application|registration|volunteer|finances|financial|parishdraw|mcn[ ]*media') AND NOT regexp_matches(href, '(?i)\\b(?:bulletin|newsletter)\\b')"
+OTHER_SQL = f"regexp_matches(href, '{P.OTHER_WORDS}') AND NOT regexp_matches(href, '{P.EDITION_WORDS}')"
 
 
 @query(f"""WITH l AS (SELECT page, idx, href, lower(href) AS url FROM {LINKS} WHERE NOT ({OTHER_SQL})),
@@ -457,12 +492,19 @@ def best_document_per_page(spark, sf):
     return ranking.best_document(_links(spark, sf))
 
 
-@query()
+DATED = f"(SELECT *, CASE WHEN score % 100 > 0 AND score // 100 % 100 > 0 THEN true ELSE false END AS full_date FROM (SELECT *, {_partial_sql('t')} AS score FROM (SELECT *, lower(href || ' ' || text) AS t, trim(href || ' ' || text) AS blob FROM {LINKS})))"
+
+
+@query(f"""WITH s AS (SELECT *, (CASE WHEN regexp_matches(blob, '{X.STRONG}') THEN 80 WHEN regexp_matches(blob, '{X.GOOD}') THEN 20 ELSE 0 END) + CASE WHEN regexp_matches(blob, '(?i)\\.pdf(?:\\?|$)') THEN 8 ELSE 0 END AS bonus,
+  CASE WHEN regexp_matches(blob, '{X.POOR}') THEN 120 ELSE 0 END AS penalty FROM {DATED}),
+ r AS (SELECT page, idx, href, text, penalty >= 120 AND bonus < 40 AS rejected, false AS pinned, full_date, score IS NOT NULL AS dated, coalesce(score, 0) AS date_score, CAST(coalesce(score, 0) AS BIGINT) * 100 + bonus - penalty + idx AS points FROM s)
+ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY rejected, full_date DESC, dated DESC, CASE WHEN dated THEN date_score END DESC NULLS LAST, CASE WHEN NOT dated THEN points END DESC NULLS LAST, idx) AS INTEGER) AS rank FROM r) WHERE rank <= 4 AND (rank = 1 OR NOT rejected)""")
 def link_phrase_rank(spark, sf):
     return ranking.ranked_links(_links(spark, sf))
 
 
-@query()
+@query(f"""SELECT page, idx, href, text, full_date, score IS NOT NULL AS dated, coalesce(score, 0) AS date_score FROM
+ (SELECT *, row_number() OVER (PARTITION BY page ORDER BY full_date DESC, score IS NOT NULL DESC, score DESC NULLS LAST, idx DESC) AS rn FROM {DATED}) WHERE rn = 1""")
 def date_first_link(spark, sf):
     return ranking.date_first(_links(spark, sf))
 
@@ -473,7 +515,11 @@ def stale_pages(spark, sf):
     return ranking.stale_pages(_links(spark, sf).where(D.candidate_date(F.lower("href")).isNotNull()), target())
 
 
-@query()
+@query(f"""WITH s AS (SELECT page, idx, href, text, coalesce(score, 0) AS date_score, {OTHER_SQL} AS other FROM {DATED}),
+ p AS (SELECT * FROM (SELECT *, bool_and(other) OVER (PARTITION BY page) AS only_other FROM s) WHERE NOT other OR only_other),
+ t AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY date_score DESC, idx) AS rn FROM p),
+ u AS (SELECT page FROM t WHERE rn <= 3 GROUP BY page HAVING count(*) > 1 AND (max(date_score) FILTER (rn = 1) = 0 OR max(date_score) FILTER (rn = 1) = max(date_score) FILTER (rn = 2)))
+ SELECT page, idx, href, text, date_score, other FROM t WHERE rn <= 3 AND page IN (SELECT page FROM u)""")
 def ambiguous_pages(spark, sf):
     return ranking.ambiguous_pages(_links(spark, sf))
 
@@ -489,12 +535,13 @@ def html_fingerprint(spark, sf):
     return ranking.fingerprints(pages, RULES)
 
 
-@query(f"""SELECT kind, blocked, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(e, '(?i)getaddrinfo|Name or service not known|ENOTFOUND|Could not resolve host') THEN 'dns' WHEN regexp_matches(e, '(?i)SSL|certificate') THEN 'ssl' WHEN regexp_matches(e, '(?i)timeout') THEN 'timeout'
- WHEN regexp_matches(e, '(?i)Recipe download step did not find|Recipe finished without downloading') THEN 'recipe_drift' WHEN regexp_matches(e, '(?i)no PDF|html_link') THEN 'no_pdf' ELSE 'other' END AS kind, regexp_matches(lower(e), '{P.BLOCK_WORDS}') AS blocked
- FROM (SELECT coalesce(error, '') AS e FROM {FR} WHERE {FAILED})) GROUP BY 1, 2""")
+KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(e, '{p}') THEN '{k}'" for k, p in P.ERROR_KINDS) + " ELSE 'other' END"
+
+
+@query(f"""SELECT result_id, {KIND_SQL} AS kind, regexp_matches(lower(e), '{P.BLOCK_WORDS}') AS blocked FROM (SELECT result_id, coalesce(error, '') AS e FROM {FR} WHERE {FAILED})""")
 def error_category(spark, sf):
     e = results(spark, sf).where(P.log_status(F.col("status")) == "failed").where("status IS NOT NULL")
-    return e.groupBy(P.error_kind(F.col("error")).alias("kind"), P.bot_block(F.col("error")).alias("blocked")).agg(F.count("*").alias("n"))
+    return e.select("result_id", P.error_kind(F.col("error")).alias("kind"), P.bot_block(F.col("error")).alias("blocked"))
 
 
 @query("""SELECT event_type, count(*) AS n, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY 1""")
@@ -548,32 +595,37 @@ def line_diff_exact(spark, sf):
     return _pairs(spark, sf).withColumn("d", Y.diff_lines("new", "old")).select("doc", "previous_doc", "d.*")
 
 
-@query("""WITH nm AS (SELECT DISTINCT key, unnest(list_filter([f, CASE WHEN lower(n) LIKE '% parish' THEN trim(regexp_replace(lower(left(n, length(n) - 7)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE '' END,
+MARKERS = """WITH nm AS (SELECT DISTINCT key, unnest(list_filter([f, CASE WHEN lower(n) LIKE '% parish' THEN trim(regexp_replace(lower(left(n, length(n) - 7)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE '' END,
   trim(regexp_replace(lower(trim(regexp_replace(n, '[ \\t\\n\\x0B\\f\\r]*\\(.*\\)[ \\t\\n\\x0B\\f\\r]*', '', 'g'))), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))], lambda x: length(x) >= 3)) AS form
   FROM (SELECT key, display_name AS n, trim(regexp_replace(lower(display_name), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS f FROM contacts WHERE key IS NOT NULL AND display_name IS NOT NULL)),
- l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(trim(text), chr(10)) AS ls FROM documents WHERE source = 'merged_edition' AND text IS NOT NULL)),
+ l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(trim(text), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
  m AS (SELECT doc_id, key, min(pos) AS pos FROM l JOIN nm ON nm.form = trim(regexp_replace(lower(line), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) GROUP BY 1, 2),
- w AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, key) AS nxt FROM m)
+ w AS (SELECT *, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, key) AS nxt FROM m)"""
+
+
+@query(MARKERS + """
  SELECT doc_id, key, CAST(w.pos - 1 AS INTEGER) AS first_line, CAST(coalesce(nxt, n + 1) - w.pos AS INTEGER) AS n_lines FROM w JOIN (SELECT doc_id, max(pos) AS n FROM l GROUP BY 1) x USING (doc_id)""")
 def marker_spans(spark, sf):
-    docs = table(spark, sf, "documents").where("source = 'merged_edition'")
+    docs = table(spark, sf, "documents")
     names = table(spark, sf, "contacts").where("key IS NOT NULL AND display_name IS NOT NULL").select("key", "display_name")
     return sections.marker_spans(docs, names).select("doc_id", "key", F.col("pos").alias("first_line"), F.col("length").alias("n_lines"))
 
 
-@query()
+@query(MARKERS + """
+ SELECT doc_id, key, trim(array_to_string(list_slice(ls, w.pos, coalesce(nxt, len(ls) + 1) - 1), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS chunk
+ FROM w JOIN (SELECT doc_id, string_split(trim(text), chr(10)) AS ls FROM documents WHERE text IS NOT NULL) d USING (doc_id)""")
 def split_by_marker(spark, sf):
-    docs = table(spark, sf, "documents").where("source = 'merged_edition'")
+    docs = table(spark, sf, "documents")
     names = table(spark, sf, "contacts").where("key IS NOT NULL AND display_name IS NOT NULL").select("key", "display_name")
     return sections.split_by_markers(docs, names)
 
 
 @query(f"""WITH c AS (SELECT run_id AS chain, seq, url, lag(url) OVER (PARTITION BY run_id ORDER BY seq, result_id) AS p, row_number() OVER (PARTITION BY run_id ORDER BY seq, result_id) AS n FROM {FR}),
  s AS (SELECT chain, n, url, unnest(CASE WHEN url IS NOT NULL AND url IS DISTINCT FROM p THEN ['goto', 'click'] ELSE ['click'] END) AS action FROM c)
- SELECT chain, action, count(*) AS n FROM s GROUP BY 1, 2""")
+ SELECT chain, CAST(row_number() OVER (PARTITION BY chain ORDER BY n, action = 'click') AS INTEGER) AS step, action, url FROM s""")
 def goto_insertion(spark, sf):
     r = results(spark, sf).select(F.col("run_id").alias("chain"), "url", F.row_number().over(Window.partitionBy("run_id").orderBy("seq", "result_id")).alias("seq"))
-    return sections.with_gotos(r).groupBy("chain", "action").agg(F.count("*").alias("n"))
+    return sections.with_gotos(r)
 
 
 @query("""SELECT doc_id, substr(text, greatest(1, p - 75), p + 6 + 75 - greatest(1, p - 75)) AS snippet FROM (SELECT doc_id, text, instr(lower(text), 'parish') AS p FROM documents WHERE contains(lower(text), 'parish'))""")
@@ -597,10 +649,10 @@ def text_density(spark, sf):
 PHONE_SQL = "(?:\\+353|0)[ \\t\\n\\r-]?[0-9]{1,3}[ \\t\\n\\r-]?[0-9]{3}[ \\t\\n\\r-]?[0-9]{3,4}"
 
 
-@query(f"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '{X.MAIL}'))) AS INTEGER) AS mails, CAST(len(list_distinct(regexp_extract_all(text, '{PHONE_SQL}'))) AS INTEGER) AS phones FROM documents WHERE text IS NOT NULL""")
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{X.MAIL}'))), '|') AS mails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{PHONE_SQL}'))), '|') AS phones FROM documents WHERE text IS NOT NULL""")
 def contacts_extract(spark, sf):
     d = table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.size(X.mails(F.col("text"))).alias("mails"), F.size(X.phones(F.col("text"))).alias("phones"))
+    return d.select("doc_id", F.array_join(F.array_sort(X.mails(F.col("text"))), "|").alias("mails"), F.array_join(F.array_sort(X.phones(F.col("text"))), "|").alias("phones"))
 
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(regexp_replace(text, '[^a-zA-Z]+', '', 'g')) < 30")
@@ -609,23 +661,27 @@ def blank_filter(spark, sf):
 
 
 def _files(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").select(
-        F.concat(F.lit("store/"), F.when(F.col("o_orderstatus") == "P", F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-individual-pdfs.zip"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".pdf")))).alias("path"),
-        F.floor("o_totalprice").alias("bytes"), F.col("o_orderdate").cast("timestamp").alias("modified"), F.when(F.col("o_orderstatus") == "P", "archive").otherwise("individual").alias("kind"), "o_orderkey",
-    )
+    name = F.when(F.col("o_orderstatus") == "P", F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-individual-pdfs.zip"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".pdf")))
+    kind = F.when(F.col("o_orderstatus") == "P", "archive").when(F.col("o_orderstatus") == "O", "merged").otherwise("individual")
+    return table(spark, sf, "orders").select(F.concat(F.lit("store/"), name).alias("path"), F.floor("o_totalprice").alias("bytes"), F.col("o_orderdate").cast("timestamp").alias("modified"), kind.alias("kind"), "o_orderkey")
 
 
 FILES = """(SELECT 'store/' || CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%Y-%m') || '-individual-pdfs.zip' ELSE o_orderkey || '.pdf' END AS path, CAST(floor(o_totalprice) AS BIGINT) AS bytes,
- o_orderdate AS modified, CASE WHEN o_orderstatus = 'P' THEN 'archive' ELSE 'individual' END AS kind, o_orderkey FROM orders)"""
+ o_orderdate AS modified, CASE o_orderstatus WHEN 'P' THEN 'archive' WHEN 'O' THEN 'merged' ELSE 'individual' END AS kind, o_orderkey FROM orders)"""
+#: Bytes that all files may have together after the plan's other steps.
+FILES_CAP = 400_000_000
 
 
 @query(f"""WITH f AS (SELECT * FROM {FILES}), h AS (SELECT DISTINCT regexp_extract(path, '[^/]+$') AS archive FROM f WHERE kind = 'archive'),
- g AS (SELECT f.*, CASE WHEN kind = 'individual' AND modified < TIMESTAMP '2001-06-01' - INTERVAL 56 DAY THEN strftime(modified, '%Y-%m') || '-individual-pdfs.zip' END AS a FROM f)
- SELECT kind, CASE WHEN a IS NOT NULL AND h.archive IS NOT NULL THEN 'delete' WHEN a IS NOT NULL THEN 'zip' WHEN kind = 'archive' AND modified < TIMESTAMP '1999-06-01' THEN 'delete' ELSE 'keep' END AS action, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes
- FROM g LEFT JOIN h ON h.archive = g.a GROUP BY 1, 2""")
+ g AS (SELECT f.*, CASE WHEN (kind = 'individual' AND modified < TIMESTAMP '2001-06-01' - INTERVAL 56 DAY) OR (kind = 'merged' AND modified < TIMESTAMP '2001-06-01' - INTERVAL 84 DAY)
+  THEN strftime(modified, '%Y-%m') || CASE kind WHEN 'merged' THEN '-mega-pdfs.zip' ELSE '-individual-pdfs.zip' END END AS a FROM f),
+ p AS (SELECT path, bytes, modified, kind, a AS archive, CASE WHEN a IS NOT NULL AND h.archive IS NOT NULL THEN 'delete' WHEN a IS NOT NULL THEN 'zip' WHEN kind = 'archive' AND modified < TIMESTAMP '1999-06-01' THEN 'delete' ELSE 'keep' END AS action FROM g LEFT JOIN h ON h.archive = g.a),
+ w AS (SELECT coalesce(sum(bytes), 0) AS whole FROM p WHERE action <> 'delete'),
+ z AS (SELECT path, modified, sum(bytes) OVER (ORDER BY modified, path ROWS UNBOUNDED PRECEDING) - bytes AS before FROM p WHERE kind = 'archive' AND action = 'keep')
+ SELECT path, bytes, modified, kind, CASE WHEN kind = 'archive' AND action = 'keep' AND (path, modified) IN (SELECT (path, modified) FROM z, w WHERE whole - before > {FILES_CAP}) THEN 'prune' ELSE action END AS action, archive FROM p""")
 def retention_plan(spark, sf):
-    plan = reports.retention_plan(_files(spark, sf), F.lit("2001-06-01 00:00:00").cast("timestamp"))
-    return plan.groupBy("kind", "action").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    files = _files(spark, sf)
+    return reports.retention_plan(files, F.lit("2001-06-01 00:00:00").cast("timestamp"), cap=FILES_CAP).withColumn("modified", F.col("modified").cast("timestamp_ntz"))
 
 
 @query(f"""SELECT o_orderkey, bytes FROM (SELECT o_orderkey, bytes, sum(bytes) OVER () AS whole, sum(bytes) OVER (ORDER BY modified, o_orderkey ROWS UNBOUNDED PRECEDING) AS run FROM {FILES} WHERE kind = 'archive') WHERE whole - (run - bytes) > whole / 2""")
@@ -696,7 +752,7 @@ def url_variants(spark, sf):
     return _urls(spark, sf).select("url", Y.rewrite_date_url("url", target()).alias("moved"), Y.url_variants("url", target()).alias("variants"))
 
 
-@query(f"""SELECT url, regexp_matches(url, '(?i)dataentry|giftaid|standingorder|donation|prayer|safeguarding|privacy|gdpr|diocese|sitemap|application|registration|volunteer|finances|financial|parishdraw|mcn[ ]*media') AND NOT regexp_matches(url, '(?i)\\b(?:bulletin|newsletter)\\b') AS other,
+@query(f"""SELECT url, regexp_matches(url, '{P.OTHER_WORDS}') AND NOT regexp_matches(url, '{P.EDITION_WORDS}') AS other,
  regexp_matches(lower(trim(url)), '\\.(?:pdf|docx)$') OR regexp_matches(lower(url), '^[^?#]*\\.(?:pdf|docx)(?:[?#]|$)') AS document, regexp_matches(lower(url), 'drive\\.google\\.com.*/folders/|1drv\\.ms') AS folder FROM {URLS}""")
 def url_classes(spark, sf):
     u = F.col("url")
@@ -708,12 +764,25 @@ def junk_keys(spark, sf):
     return results(spark, sf).where("key IS NOT NULL").groupBy("key", P.junk_key(F.col("key")).alias("junk")).agg(F.count("*").alias("n"))
 
 
-@query()
+_JSON_FIELDS = ("parish", "display_name", "url", "file", "file_type", "error", "reason", "retry_strategy")
+_JSON_ROW = "'{' || concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || CAST(to_json({c}) AS VARCHAR) END" for c in _JSON_FIELDS) + ") || '}'"
+
+
+@query(f"""SELECT station, target_date, '{{"summary":{{' || {" || ',' || ".join(f"'{chr(34)}{b}{chr(34)}:' || count(*) FILTER (bucket = '{b}')" for b in P.BUCKETS)} || '}}' ||
+ {" || ".join(f"',{chr(34)}{b}{chr(34)}:[' || coalesce(string_agg({_JSON_ROW}, ',' ORDER BY row_id) FILTER (bucket = '{b}'), '') || ']'" for b in P.BUCKETS)} || '}}' AS json FROM {RL} GROUP BY 1, 2""")
 def report_json(spark, sf):
     return writers.report_json(report(spark, sf), ["station", "target_date"])
 
 
-@query()
+_EVENT = """'BEGIN:VEVENT' || n || 'UID:' || key || '-' || d || '-mass-' || row_id || '@almanac' || n || 'DTSTAMP:20260201T000000Z' || n || 'DTSTART:' || strftime(edition, '%Y%m%d') || 'T093000' || n || 'SUMMARY:Mass\\, ' || row_id || n || 'CATEGORIES:MASS' || n || 'END:VEVENT'"""
+_TITLE = "array_to_string(list_transform(string_split(replace(g, '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+
+
+@query(f"""WITH e AS (SELECT station, lower(trim(key)) AS key, row_id, edition, strftime(edition, '%Y-%m-%d') AS d, chr(13) || chr(10) AS n FROM bulletin_index WHERE edition IS NOT NULL),
+ b AS (SELECT station AS g, key, row_id, {_EVENT} AS text FROM e UNION ALL SELECT 'all', key, row_id, {_EVENT} FROM e), g AS (SELECT DISTINCT g FROM b)
+ SELECT g AS "group", 1 AS place, key, row_id AS seq, text FROM b
+ UNION ALL SELECT g, 0, NULL, NULL, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//almanac//' || g || '//EN', 'X-WR-CALNAME:' || {_TITLE} || ' Events', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH'], chr(13) || chr(10)) FROM g
+ UNION ALL SELECT g, 2, NULL, NULL, 'END:VCALENDAR' FROM g""")
 def event_calendars(spark, sf):
     e = table(spark, sf, "bulletin_index").where("edition IS NOT NULL").select(
         F.col("station").alias("group"), norm_key("key").alias("key"), F.col("row_id").alias("seq"), F.format_string("Mass, %d", "row_id").alias("title"), F.col("edition").cast("string").alias("date_iso"),
@@ -722,7 +791,10 @@ def event_calendars(spark, sf):
     return writers.calendars(e, as_of())
 
 
-@query()
+@query(f"""WITH g AS (SELECT diocese, count(*) FILTER (bucket = 'downloaded') AS d, count(*) FILTER (bucket = 'failed') AS f FROM {RL} r JOIN {CONTACTS_SQL} c USING (parish) GROUP BY diocese),
+ t AS (SELECT diocese AS name, {_TITLE} AS title, 'https://feeds.example/' || diocese || '.pdf' AS link, printf('%.1f%%', CASE WHEN d + f > 0 THEN d / (d + f) * 100 ELSE 0.0 END) AS rate, 'Sun, 01 Feb 2026 00:00:00 +0000' AS stamp FROM (SELECT *, diocese AS g FROM g))
+ SELECT name, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<rss version="2.0"><channel><title>' || title || ' Bulletins</title><link>' || link || '</link><description>Latest bulletin feed for ' || title || '</description><lastBuildDate>' || stamp
+ || '</lastBuildDate><item><title>' || title || ' bulletin for {TARGET}</title><link>' || link || '</link><guid>' || link || '#{TARGET}</guid><pubDate>' || stamp || '</pubDate><description>Latest edition (' || rate || ' success rate)</description></item></channel></rss>' AS xml FROM t""")
 def rss_feeds(spark, sf):
     g = group_success_rate(spark, sf)
     return writers.rss(g.select(F.col("diocese").alias("name"), X.display_name(F.col("diocese")).alias("title"), F.concat(F.lit("https://feeds.example/"), "diocese", F.lit(".pdf")).alias("link"), target().alias("day"), F.format_string("%.1f%%", "rate").alias("rate")), as_of())
@@ -744,19 +816,13 @@ def _recorded(spark, sf) -> DataFrame:
     return _as_recipes(_key_results(spark, sf), "key", "run_id")
 
 
-def _first_recorded(spark, sf) -> DataFrame:
-    """A recipe per source of its first four results only, as the SQL of ``recipe_fingerprints`` has it."""
-    return _as_recipes(order.first_rows(_key_results(spark, sf), ["key"], [F.col("result_id")], 4), "key")
+STEPS = f"""(SELECT key, run_id, result_id, url, display_name, CASE status WHEN 'ok' THEN 'download' WHEN 'html_link' THEN 'html' WHEN 'skipped' THEN 'goto' ELSE 'click' END AS a FROM {FR} WHERE key IS NOT NULL)"""
+CLOUD_SQL = "coalesce(bool_or(regexp_matches(lower(url), 'drive\\.google\\.com.*/folders/|1drv\\.ms')), false)"
 
 
-@query(f"""WITH f AS (SELECT key, result_id, CASE status WHEN 'ok' THEN 'download' WHEN 'html_link' THEN 'html' WHEN 'skipped' THEN 'goto' ELSE 'click' END AS a, row_number() OVER (PARTITION BY key ORDER BY result_id) AS rn FROM {FR} WHERE key IS NOT NULL)
- SELECT key, CAST(count(*) AS INTEGER) AS n_steps, CAST(count(*) FILTER (a = 'click') AS INTEGER) AS clicks, bool_or(a = 'download') AS downloads, bool_or(a = 'html') AS captures, false AS cloud, string_agg(a, '>' ORDER BY result_id) AS flow FROM f WHERE rn <= 4 GROUP BY key""")
+@query(f"""SELECT key, run_id, CAST(count(*) AS INTEGER) AS n_steps, CAST(count(*) FILTER (a = 'click') AS INTEGER) AS clicks, bool_or(a = 'download') AS downloads, bool_or(a = 'html') AS captures, {CLOUD_SQL} AS cloud,
+ string_agg(a, '>' ORDER BY result_id) AS flow FROM {STEPS} GROUP BY key, run_id""")
 def recipe_fingerprints(spark, sf):
-    return recipes.fingerprints(_first_recorded(spark, sf))
-
-
-@query()
-def recipe_run_fingerprints(spark, sf):
     return recipes.fingerprints(_recorded(spark, sf), ["key", "run_id"])
 
 
@@ -769,7 +835,7 @@ def recipe_standalone(spark, sf):
  SELECT key, 'dead_url' AS status, 'host unknown' AS reason FROM k WHERE key IN (SELECT key FROM h WHERE strikes >= 2 AND last_result = 'nxdomain')""")
 def dead_recipes(spark, sf):
     h = table(spark, sf, "site_health").groupBy("key").agg(F.max("nxdomain_strikes").alias("strikes"), F.max_by("last_result", "row_id").alias("last_result"))
-    return recipes.dead_sources(_first_recorded(spark, sf), h)
+    return recipes.dead_sources(_recorded(spark, sf).dropDuplicates(["key"]), h)
 
 
 _NORMAL = "regexp_replace({h}, '^www\\d*\\.', '') || lower(regexp_replace(regexp_extract(replace(trim(url), ' ', '%20'), '^[^:]+://[^/?#]+([^?#]*)', 1), '/+$', ''))".format(h=HOST_SQL)
@@ -784,12 +850,14 @@ def registry_keys(spark, sf):
     return recipes.registry_keys(_urls(spark, sf), reg, ["social.example"])
 
 
-@query(f"""SELECT f.result_id, f.key, lower(f.display_name) AS sort_name FROM {FR} f WHERE status = 'ok' AND NOT coalesce(is_fallback, false) AND NOT coalesce(is_stale, false)
+@query(f"""WITH g AS (SELECT lower(trim(parish)) AS key, CAST(ceil(max(n_chars) / 3000.0) AS INTEGER) AS n_pages FROM documents WHERE parish IS NOT NULL GROUP BY 1)
+ SELECT f.result_id, f.key, lower(f.display_name) AS sort_name, n_pages FROM {FR} f LEFT JOIN g ON g.key = f.key WHERE status = 'ok' AND NOT coalesce(is_fallback, false) AND NOT coalesce(is_stale, false) AND coalesce(n_pages, 1) <= 4
  AND NOT EXISTS (SELECT 1 FROM {DEAD} x WHERE x.key = f.key)""")
 def stitch_plan(spark, sf):
     dead = _recipes(spark, sf).where(P.inactive(F.col("skip"), F.col("status"))).select("key")
-    plan = recipes.stitch_plan(results(spark, sf).withColumn("n_pages", F.lit(1)), dead)
-    return plan.select("result_id", "key", "sort_name")
+    pages = table(spark, sf, "documents").where("parish IS NOT NULL").groupBy(norm_key("parish").alias("key")).agg(F.ceil(F.max("n_chars") / 3000).cast("int").alias("n_pages"))
+    plan = recipes.stitch_plan(results(spark, sf).join(pages, "key", "left"), dead)
+    return plan.select("result_id", "key", "sort_name", "n_pages")
 
 
 @query("""SELECT source, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM
@@ -799,15 +867,24 @@ def files_by_month(spark, sf):
     return table(spark, sf, "documents").groupBy("source", F.year(d).alias("year"), F.month(d).alias("month")).agg(F.count("*").alias("files"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
 
 
-@query()
+@query(f"""WITH d AS (SELECT page, idx, CASE WHEN full_date THEN try_strptime(CAST(score AS VARCHAR), '%Y%m%d')::DATE END AS day FROM {DATED}),
+ g AS (SELECT page, min(idx) FILTER (abs(day - {_T}) <= 7) AS near, min(idx) AS first, arg_min(day IS NOT NULL, idx) AS dated FROM d GROUP BY 1)
+ SELECT page, coalesce(near, CASE WHEN dated THEN first END) AS idx FROM g WHERE coalesce(near, CASE WHEN dated THEN first END) IS NOT NULL""")
 def this_week_link(spark, sf):
     return ranking.this_week(_links(spark, sf), target())
 
 
-@query()
-def page_types(spark, sf):
-    d = table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.groupBy(P.page_type(F.lit(""), F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+PAGE_URLS = f"(SELECT key, arg_max(url, result_id) AS url FROM {FR} WHERE url IS NOT NULL AND key IS NOT NULL GROUP BY 1)"
+
+
+def _pages(spark, sf) -> DataFrame:
+    """Documents as pages, at the address of their source's last result."""
+    urls = results(spark, sf).where("url IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.max_by("url", "result_id").alias("url"))
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), F.col("text").alias("html"), norm_key("parish").alias("key"))
+    return d.join(urls, "key", "left").select("page", "url", "html")
+
+
+PAGES = f"(SELECT doc_id AS page, u.url, text AS html FROM documents d LEFT JOIN {PAGE_URLS} u ON u.key = lower(trim(d.parish)) WHERE text IS NOT NULL)"
 
 
 @query(f"""SELECT result_id, status, is_stale, stale_reason FROM (SELECT result_id, CASE WHEN s THEN 'error' ELSE status END AS status, CASE WHEN s THEN true ELSE is_stale END AS is_stale,
@@ -815,10 +892,35 @@ def page_types(spark, sf):
  (SELECT *, coalesce(status = 'ok' AND NOT coalesce(is_stale, false) AND length(url) > 0 AND d IS NOT NULL AND NOT (d BETWEEN DATE '{TARGET}' - 6 AND DATE '{TARGET}') AND abs(d - DATE '{TARGET}') > 8, false) AS s
  FROM (SELECT *, {BULLETIN_SQL} AS d FROM {FR})))""")
 def freshness_gate(spark, sf):
-    out, _ = reports.freshness_gate(results(spark, sf), target())
+    out, _ = reports.freshness_gate(results(spark, sf), target(), _entries(spark, sf))
     return out.select("result_id", "status", "is_stale", "stale_reason")
 
 
-@query()
+@query(f"""SELECT f.key, display_name, url, d AS "date", CASE WHEN d > {_T} THEN 'date_ahead_of_target' ELSE 'date_behind_of_target' END AS reason, {STRATEGY_SQL} AS strategy, coalesce(bulletin_page, '') AS bulletin_page
+ FROM (SELECT *, {BULLETIN_SQL} AS d FROM {FR}) f LEFT JOIN {ENTRIES_SQL} e ON e.key = f.key WHERE status = 'ok' AND NOT coalesce(is_stale, false) AND length(url) > 0 AND NOT (d BETWEEN {_T} - 6 AND {_T}) AND abs(d - {_T}) > 8""")
+def freshness_retries(spark, sf):
+    return reports.freshness_gate(results(spark, sf), target(), _entries(spark, sf))[1]
+
+
+def _sundays_sql() -> str:
+    row = lambda day, name, rank: f"SELECT y, {day} AS day, {name} AS name, {rank} AS r FROM y"
+    parts = [row("epiphany", "'Epiphany_of_the_Lord'", 1), row("epiphany + 7", "'Baptism_of_the_Lord'", 2)]
+    parts += [row(f"easter + ({o})", f"'{n}'", 4) for o, n in calendar.FROM_EASTER] + [row("easter", "'Easter_Sunday_' || y", 4)]
+    parts += [row(f"advent + ({o})", f"'{n}'", 6) for o, n in calendar.FROM_ADVENT]
+    parts += [row("CASE WHEN extract(dow FROM make_date(y, 11, 1)) = 0 THEN make_date(y, 11, 1) END", "'All_Saints_Day'", 5), row("make_date(y, 12, 25)", "'Christmas_Day'", 7)]
+    parts.append(row("CASE WHEN year(family) = y THEN family ELSE make_date(y, 12, 30) END", "'The_Holy_Family'", 8))
+    end = "CASE WHEN w % 100 BETWEEN 11 AND 13 THEN 'th' WHEN w % 10 = 1 THEN 'st' WHEN w % 10 = 2 THEN 'nd' WHEN w % 10 = 3 THEN 'rd' ELSE 'th' END"
+    name = f"CASE WHEN w = 6 THEN '{calendar.SIXTH}' ELSE w || {end} || '{calendar.ORDINARY}' END"
+    parts.append(f"SELECT y, day, {name}, 3 FROM (SELECT y, epiphany + 14 + 7 * CAST(i AS INTEGER) AS day, i + 2 AS w, easter - 42 AS stop FROM y, range(20) r(i)) WHERE day < stop")
+    parts.append(f"SELECT y, day, {name}, 0 FROM (SELECT y, easter + 70 + 7 * CAST(i AS INTEGER) AS day, advent - 7 AS stop, {calendar.LAST_WEEK + 1} - CAST(ceil((advent - 7 - (easter + 70)) / 7.0) AS INTEGER) + i AS w FROM y, range(40) r(i)) WHERE day < stop")
+    sunday = lambda m, d: f"CAST(make_date(y, {m}, {d}) + CAST((7 - extract(dow FROM make_date(y, {m}, {d}))) % 7 AS INTEGER) AS DATE)"
+    return f"""WITH y0 AS (SELECT DISTINCT CAST(year(target_date) AS BIGINT) AS y FROM report_long WHERE target_date IS NOT NULL), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y0),
+ h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), k AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS k FROM h),
+ n AS (SELECT *, h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114 AS n FROM k),
+ y AS (SELECT CAST(y AS INTEGER) AS y, make_date(y, n // 31, n % 31 + 1) AS easter, {sunday(1, 2)} AS epiphany, {sunday(11, 27)} AS advent, {sunday(12, 26)} AS family FROM n),
+ e AS ({' UNION ALL '.join(parts)}) SELECT y AS year, CAST(day AS DATE) AS day, arg_max(name, r) AS name FROM e WHERE day IS NOT NULL GROUP BY 1, 2"""
+
+
+@query(_sundays_sql())
 def named_sundays(spark, sf):
     return calendar.named_sundays(table(spark, sf, "report_long").select(F.year("target_date").alias("year")))
