@@ -22,6 +22,18 @@ LOOSE_YMD = r"(?<!\d)(20\d{2})[-_/](0?[1-9]|1[0-2])[-_/](0?[1-9]|[12]\d|3[01])(?
 LOOSE_DMY = r"(?<!\d)(0?[1-9]|[12]\d|3[01])[-_/](0?[1-9]|1[0-2])[-_/]((?:19|20)\d{2})(?!\d)"
 CENTURY_DMY8 = r"(?<!\d)(\d{2})(\d{2})((?:19|20)\d{2})(?!\d)"
 
+#: The shapes of dates that may be said in part, in the order in which they are tried.
+PART_ISO = r"\b(20\d{2})-(0[1-9]|1[0-2])-([0-2]\d|3[01])\b"
+PART_FOLDERS = r"/(20\d{2})/(0[1-9]|1[0-2])/([0-2]\d|3[01])/"
+PART_SLUG = r"\b(\d{1,2})(?:st|nd|rd|th)?[-_]([a-z]{3,9})[-_](20\d{2})\b"
+PART_WORDS = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]{3,9})\s+(20\d{2})\b"
+PART_SIX = r"(?:^|/)(\d{2})(\d{2})(\d{2})\.pdf\b"
+PART_YMD8 = r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])([0-2]\d|3[01])(?!\d)"
+PART_DMY8 = r"(?<!\d)([0-2]\d|3[01])(0[1-9]|1[0-2])(20[2-3]\d)(?!\d)"
+PART_FOLDER = r"/(20\d{2})/(0[1-9]|1[0-2])/"
+PART_MONTH = r"\b(" + "|".join([*MONTHS, *[m[:3] for m in MONTHS]]) + r")\s+(20\d{2})\b"
+PART_YEAR = r"\b(20\d{2})\b"
+
 #: Fixed value: days for which a date still counts as fresh.
 GRACE_DAYS = 8
 
@@ -99,7 +111,14 @@ def candidate_date(text: Column) -> Column:
 
 
 def partial_date(text: Column) -> Column:
-    """``struct<year, month, day>`` with 0 for what isn't said; null without a year."""
+    """``struct<year, month, day>`` with 0 for what isn't said; null without a year.
+
+    The shapes are tried inside a lambda: as plain expressions their generated code would be too large to compile together with others.
+    """
+    return F.get(F.transform(F.array(text), _partial), F.lit(0))
+
+
+def _partial(text: Column) -> Column:
     t = F.lower(F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text))
     word = F.create_map(*[F.lit(x) for m, i in MONTH_NUMBERS.items() if len(m) == 3 for x in (m, i)])
 
@@ -116,19 +135,13 @@ def partial_date(text: Column) -> Column:
         m = F.try_element_at(word, F.left(F.regexp_extract(t, p, 2), F.lit(3)))
         return ymd(num(p, 3), m, num(p, 1), t.rlike(p) & m.isNotNull())
 
-    six = r"(?:^|/)(\d{2})(\d{2})(\d{2})\.pdf\b"
-    month_year = r"\b(" + "|".join([*MONTHS, *[m[:3] for m in MONTHS]]) + r")\s+(20\d{2})\b"
     return F.coalesce(
-        numeric(r"\b(20\d{2})-(0[1-9]|1[0-2])-([0-2]\d|3[01])\b", 1, 2, 3),
-        numeric(r"/(20\d{2})/(0[1-9]|1[0-2])/([0-2]\d|3[01])/", 1, 2, 3),
-        named(r"\b(\d{1,2})(?:st|nd|rd|th)?[-_]([a-z]{3,9})[-_](20\d{2})\b"),
-        named(r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([a-z]{3,9})\s+(20\d{2})\b"),
-        ymd(num(six, 3) + 2000, num(six, 2), num(six, 1), t.rlike(six) & num(six, 2).between(1, 12) & num(six, 1).between(1, 31)),
-        numeric(r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])([0-2]\d|3[01])(?!\d)", 1, 2, 3),
-        numeric(r"(?<!\d)([0-2]\d|3[01])(0[1-9]|1[0-2])(20[2-3]\d)(?!\d)", 3, 2, 1),
-        ymd(num(r"/(20\d{2})/(0[1-9]|1[0-2])/", 1), num(r"/(20\d{2})/(0[1-9]|1[0-2])/", 2), F.lit(0), t.rlike(r"/(20\d{2})/(0[1-9]|1[0-2])/")),
-        ymd(num(month_year, 2), F.try_element_at(word, F.left(F.regexp_extract(t, month_year, 1), F.lit(3))), F.lit(0), t.rlike(month_year)),
-        ymd(num(r"\b(20\d{2})\b", 1), F.lit(0), F.lit(0), t.rlike(r"\b(20\d{2})\b")),
+        numeric(PART_ISO, 1, 2, 3), numeric(PART_FOLDERS, 1, 2, 3), named(PART_SLUG), named(PART_WORDS),
+        ymd(num(PART_SIX, 3) + 2000, num(PART_SIX, 2), num(PART_SIX, 1), t.rlike(PART_SIX) & num(PART_SIX, 2).between(1, 12) & num(PART_SIX, 1).between(1, 31)),
+        numeric(PART_YMD8, 1, 2, 3), numeric(PART_DMY8, 3, 2, 1),
+        ymd(num(PART_FOLDER, 1), num(PART_FOLDER, 2), F.lit(0), t.rlike(PART_FOLDER)),
+        ymd(num(PART_MONTH, 2), F.try_element_at(word, F.left(F.regexp_extract(t, PART_MONTH, 1), F.lit(3))), F.lit(0), t.rlike(PART_MONTH)),
+        ymd(num(PART_YEAR, 1), F.lit(0), F.lit(0), t.rlike(PART_YEAR)),
     )
 
 

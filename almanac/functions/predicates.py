@@ -62,12 +62,17 @@ def other_document(url: Column) -> Column:
 
 
 def document_link(url: Column) -> Column:
-    u = F.lower(U.direct_download(url))
+    """Ends like a document or leads to a shared one. The address that is downloaded in the end is worked out once, in a lambda."""
     path = F.lower(F.coalesce(U.part(url, "PATH"), F.lit("")))
-    hit = F.endswith(path, F.lit(".pdf")) | F.endswith(path, F.lit(".docx")) | F.endswith(u, F.lit(".pdf")) | F.endswith(u, F.lit(".docx"))
-    for m in CLOUD_DOCUMENTS:
-        hit = hit | u.contains(m)
-    return hit
+
+    def leads(u: Column) -> Column:
+        hit = F.endswith(u, F.lit(".pdf")) | F.endswith(u, F.lit(".docx"))
+        for m in CLOUD_DOCUMENTS:
+            hit = hit | u.contains(m)
+        return hit
+
+    target = F.transform(F.array(url), lambda x: F.lower(U.direct_download(x)))
+    return F.endswith(path, F.lit(".pdf")) | F.endswith(path, F.lit(".docx")) | F.exists(target, leads)
 
 
 def cloud_folder(url: Column) -> Column:
@@ -158,18 +163,6 @@ def status_dot(disabled: Column, override: Column, recipe: Column) -> Column:
     )
 
 
-def page_type(url: Column, html: Column) -> Column:
-    """Kind of page by the first sign that fits, from its address and source text."""
-    h, u = F.coalesce(html, F.lit("")), F.lower(F.coalesce(url, F.lit("")))
-    pdf_links = F.regexp_count(h, F.lit(r"(?i)<a[^>]+href=[\"'][^\"']+\.(?:pdf|docx)"))
-    text = F.length(F.regexp_replace(h, r"(?s)<[^>]+>|\s+", ""))
-    return (
-        F.when(u.rlike(r"\.pdf(?:[?#]|$)"), "direct_pdf").when(cloud_folder(url), "cloud_folder").when(h.rlike("(?i)pdfemb-viewer"), "pdfemb")
-        .when(h.rlike(r"(?i)<iframe[^>]+src=[\"'][^\"']*(?:\.pdf|viewer)"), "iframe").when(h.rlike("(?i)<embed|<object[^>]+data="), "embed")
-        .when(pdf_links >= 8, "weekly_list").when(pdf_links >= 1, "pdf_links").when(h.rlike("(?i)<img[^>]+(?:bulletin|newsletter)"), "image").when(text >= 400, "html").otherwise("unknown")
-    )
-
-
 def edition_image(src: Column, width: Column, height: Column) -> Column:
     """Images large enough to be a page."""
     s = F.lower(F.coalesce(src, F.lit("")))

@@ -9,13 +9,15 @@ import unicodedata
 from collections.abc import Callable
 from datetime import date, timedelta
 from html.parser import HTMLParser
-from urllib.parse import unquote, urljoin, urlparse
+from urllib.parse import quote, unquote, urljoin, urlparse
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.functions.dates import MONTH_NUMBERS, MONTHS
+from almanac.functions.urls import next_newsletter
 
 _SPACE = re.compile(r"\s+")
 
@@ -214,3 +216,34 @@ def rewrite_date_url(url: pd.Series, target: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def url_variants(url: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([other_spellings(u, t) for u, t in zip(url, target, strict=True)], dtype=object)
+
+
+_DOCX_STEM = re.compile(r"(?i)/onewebmedia/newsletter\s+\d{1,2}-\d{1,2}-\d{2}")
+#: How the file's name may end.
+DOCX_ENDS = (".docx", " .docx", " -.docx")
+
+
+def docx_spellings(url: str | None, target: date | None) -> list[str]:
+    """The url moved to the target, then its file's name with every ending, each once."""
+    if not url or target is None:
+        return []
+    moved = moved_url(url, target)
+    parts = urlparse(moved)
+    stem = _DOCX_STEM.search(unquote(parts.path))
+    if stem:
+        more = [parts._replace(path=quote(stem.group() + end)).geturl() for end in DOCX_ENDS]
+    elif moved.lower().endswith(".docx"):
+        more = [moved[: -len(DOCX_ENDS[0])] + end for end in DOCX_ENDS[1:]]
+    else:
+        more = []
+    return list(dict.fromkeys([moved.strip(), *more]))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def docx_variants(url: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([docx_spellings(u, t) for u, t in zip(url, target, strict=True)], dtype=object)
+
+
+def calculated_url(pattern: Column, url: Column, target: Column) -> Column:
+    """This week's address of an entry by its pattern: links and static files stay, numbered ones count on, all others are moved to the target's date."""
+    return F.when(pattern.isin("html_link", "F"), url).when(pattern == "H", F.coalesce(next_newsletter(url, target), url)).otherwise(rewrite_date_url(url, target))

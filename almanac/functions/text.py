@@ -101,6 +101,60 @@ def phones(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)))
 
 
+def linkified(c: Column) -> Column:
+    """Text as HTML with its mail addresses, web addresses and phone numbers as links.
+
+    Trailing punctuation and an unbalanced closing bracket are no part of an address. Phone numbers get the country's prefix; what is
+    inside a link already is left alone.
+    """
+    out = F.replace(xml_escape(c), F.lit("'"), F.lit("&#x27;"))
+    out = F.regexp_replace(out, r"\b" + MAIL + r"\b", '<a href="mailto:$0">$0</a>')
+    rest = r"(?:\([^\s<>\"()]*\)|[^\s<>\"()])*(?<![.,;:!?])(?![^<]*</a>)"
+    out = F.regexp_replace(out, r"(?i)(?<!@)\bhttps?://" + rest, '<a href="$0">$0</a>')
+    out = F.regexp_replace(out, r"(?i)(?<![@/\w.])www\." + rest, '<a href="https://$0">$0</a>')
+    outside = r"(?!\w)(?![^<]*</a>)"
+    out = F.regexp_replace(out, r"(?<!\w)0(74|87)[\s-]*(\d{3})[\s-]*(\d{4})" + outside, '<a href="tel:+353$1$2$3">$0</a>')
+    out = F.regexp_replace(out, r"(?<!\w)0(28)[\s-]*(\d{3})[\s-]*(\d{4,5})" + outside, '<a href="tel:+353$1$2$3">$0</a>')
+    return F.regexp_replace(out, r"(?<!\w)\+353[\s-]*(\d{2})[\s-]*(\d{3})[\s-]*(\d{4})" + outside, '<a href="tel:+353$1$2$3">$0</a>')
+
+
+def _inline(c: Column) -> Column:
+    """A line as HTML: links, then strong and emphasised words."""
+    out = linkified(c)
+    for pattern, tag in ((r"\*\*(.+?)\*\*", "strong"), (r"__(.+?)__", "strong"), (r"(?<![*\w])\*([^*\n]+)\*(?![*\w])", "em")):
+        out = F.regexp_replace(out, pattern, f"<{tag}>$1</{tag}>")
+    return out
+
+
+def rendered(c: Column) -> Column:
+    """Lightly marked-up text as HTML: rules, headings to the fourth level, paragraphs, and runs of table rows as one table."""
+
+    def one(line: Column) -> Column:
+        t, kind = F.trim(line), line_kind(line)
+        marks = F.length(F.regexp_extract(t, "^(#{1,6})", 1))
+        level = F.concat(F.lit("h"), F.least(marks, F.lit(4)).cast("string"))
+        cells = F.transform(F.split(F.substring(t, F.lit(2), F.length(t) - 2), r"\|"), lambda x: F.concat(F.lit("<td>"), _inline(F.trim(x)), F.lit("</td>")))
+        return (
+            F.when(kind == "table", F.concat(F.lit("<tr>"), F.array_join(cells, ""), F.lit("</tr>"))).when(kind == "rule", "<hr>")
+            .when(kind == "heading", F.concat(F.lit("<"), level, F.lit(">"), _inline(F.trim(F.regexp_replace(t, "^#{1,6}", ""))), F.lit("</"), level, F.lit(">")))
+            .otherwise(F.concat(F.lit("<p>"), _inline(t), F.lit("</p>")))
+        )
+
+    html = F.array_join(F.transform(F.filter(lines(c), lambda x: F.trim(x) != ""), one), "\n")
+    return F.regexp_replace(F.regexp_replace(html, r"(?<=</tr>)\n(?=<tr>)", ""), r"<tr>.*</tr>", "<table>$0</table>")
+
+
+def page_slug(c: Column) -> Column:
+    """Slug of any length."""
+    return slug(c, 1 << 30)
+
+
+def plain_slug(c: Column, default: str) -> Column:
+    """Slug of unfolded letters: what isn't a plain letter or digit separates; ``default`` where nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(s == "", F.lit(default)).otherwise(s)
+
+
 def line_kind(line: Column) -> Column:
     """Kind of a line of lightly marked-up text."""
     return (

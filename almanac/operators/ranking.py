@@ -9,6 +9,7 @@ from almanac.functions import dates as D
 from almanac.functions import predicates as P
 from almanac.functions import text as X
 from almanac.functions import urls as U
+from almanac.functions.pages import RULE_SETS, RuleSet, rule_scores
 from almanac.operators.order import first_rows
 
 
@@ -127,21 +128,19 @@ def ambiguous_pages(links: DataFrame, n: int = 3) -> DataFrame:
     return first_rows(top.join(unclear.select("page"), "page", "left_semi"), ["page"], [F.desc("date_score"), F.col("idx")], n)
 
 
-def fingerprints(pages: DataFrame, rules: list[tuple[str, str, int, int]], n: int = 6) -> DataFrame:
-    """``page, rule, score``: weights of the matched patterns added up per rule set, those of its least score or more, best six.
+def fingerprints(pages: DataFrame, rule_sets: tuple[RuleSet, ...] = RULE_SETS, n: int = 6) -> DataFrame:
+    """``page, rule, kind, score``: the best rule sets that hold for a page. ``pages``: ``page, html``; each is scanned once per mark, without a join."""
+    return pages.select("page", F.inline(F.slice(rule_scores(F.coalesce("html", F.lit("")), rule_sets), 1, n)))
 
-    ``rules``: ``(rule, pattern, weight, least)``, fixed and few; each page is scanned once per pattern, without a join.
-    """
-    sets: dict[str, tuple[list[tuple[str, int]], int]] = {}
-    for rule, pattern, weight, least in rules:
-        sets.setdefault(rule, ([], least))[0].append((pattern, weight or 10))
-    scores = [
-        F.struct(F.lit(r).alias("rule"), sum((F.when(F.col("html").rlike(p), w).otherwise(0) for p, w in ps), F.lit(0)).alias("score"), F.lit(least).alias("least"))
-        for r, (ps, least) in sets.items()
-    ]
-    ok = F.filter(F.array(*scores), lambda x: (x["score"] >= x["least"]) & (x["score"] > 0))
-    best = F.slice(F.array_sort(ok, lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).when(a["rule"] < b["rule"], -1).otherwise(1)), 1, n)
-    return pages.select("page", F.explode(best).alias("b")).select("page", "b.rule", "b.score")
+
+def best_weekly(links: DataFrame) -> DataFrame:
+    """The best weekly edition of each page, among links that look like one: full dates newest first, partial dates, then the later place; download buttons (``is_download``) have 25 places more."""
+    d = F.col("_d")
+    full = F.coalesce((d["month"] > 0) & (d["day"] > 0), F.lit(False))
+    weekly = F.lower("href").rlike(r"weekly-bulletins|/newsletters/|/files/\d+/[^/?#]*sunday") | P.document_link(F.col("href"))
+    fit = links.where(F.coalesce(weekly, F.lit(False)) & ~P.other_document(F.col("href"))).withColumn("_d", D.partial_date(F.concat_ws(" ", "href", "text")))
+    scored = fit.withColumns({"full_date": full, "dated": d.isNotNull(), "date_score": D.date_score(d), "points": F.col("idx") + F.when(F.col("is_download"), 25).otherwise(0)}).drop("_d")
+    return first_rows(scored, ["page"], [F.desc("full_date"), F.desc("dated"), F.desc("date_score"), F.desc("points"), F.desc("idx")])
 
 
 def best_images(images: DataFrame, n: int = 30) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
 from almanac.functions import predicates as P
+from almanac.functions import text as X
 from almanac.functions import urls as U
 
 STEP = "struct<action:string,url:string,selector:string,text:string>"
@@ -93,3 +94,85 @@ def stitch_plan(results: DataFrame, excluded: DataFrame, pages: str = "n_pages",
     """What goes into a merged edition and in which order: ok results of this week's files, by name; no fallback, stale, excluded or overlong ones."""
     fine = (F.col("status") == "ok") & ~F.coalesce("is_fallback", F.lit(False)) & ~F.coalesce("is_stale", F.lit(False)) & (F.coalesce(pages, F.lit(1)) <= most_pages)
     return results.where(fine).join(excluded.select("key").distinct(), "key", "left_anti").withColumn("sort_name", F.lower("display_name"))
+
+
+def cloud_selectors(target: Column) -> Column:
+    """Selectors of a dated row of a shared folder, the exact ones first (fixed forms)."""
+    bare = D.dotted(target)
+    pdf = F.concat(bare, F.lit(".pdf"))
+    has = lambda head, t: F.concat(F.lit(f'{head}:has-text("'), t, F.lit('")'))
+    return F.array(has('[role="row"]', pdf), has('[role="gridcell"]', pdf), has('[role="row"]', bare), has("", pdf), has("", bare))
+
+
+def cloud_steps(recipes: DataFrame, target: Column) -> DataFrame:
+    """Click steps on a dated row of a shared folder moved to the target's: text, selector, and fallbacks before those there are.
+
+    A step has ``action, url, selector, text, fallback_selectors`` and may have others.
+    """
+    bare = D.dotted(target)
+
+    def step(x: Column) -> Column:
+        dated = (x["action"] == "click") & F.concat_ws(" ", x["text"], x["selector"], x["url"]).rlike(D.DOTTED)
+        own = F.filter(F.transform(F.coalesce(x["fallback_selectors"], F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
+        moved = x.withField("text", F.concat(bare, F.lit(".pdf"))).withField("selector", F.concat(F.lit(':has-text("'), bare, F.lit('")'))).withField(
+            "fallback_selectors", F.array_union(cloud_selectors(target), own)
+        )
+        return F.when(dated, moved).otherwise(x)
+
+    return recipes.withColumn("steps", F.transform("steps", step))
+
+
+def click_steps(clicks: DataFrame) -> DataFrame:
+    """Recorded clicks as steps: ``selector`` and ``fallback_selectors`` that stay right when dates change.
+
+    ``clicks``: ``tag, role, text, href, css_path``. The first of the word that stays, the link's kind and the path; clicks without any of them give no step.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    text, href, path = blank("text"), blank("href"), blank("css_path")
+    word = X.undated_word(text)
+    quoted = F.concat(F.lit(":has-text('"), X.selector_escape(word), F.lit("')"))
+    pdf, docx = F.lit("a[href$='.pdf']"), F.lit("a[href$='.docx']")
+    selector = (
+        F.when((F.lower(blank("tag")) == "a") & (word != ""), F.concat(F.lit("a"), quoted)).when(word != "", quoted)
+        .when(href != "", F.when(F.lower(href).contains(".pdf"), pdf).otherwise(docx)).otherwise(path)
+    )
+    more = F.array(
+        F.when((blank("role") != "") & (word != ""), F.concat(F.lit("role="), F.lower("role"), F.lit('[name="'), word, F.lit('"]'))),
+        F.when(F.endswith(F.lower(href), F.lit(".docx")), docx).otherwise(pdf), F.lit("a[href*='.pdf']"), F.nullif(path, F.lit("")),
+    )
+    steps = clicks.where((word != "") | (href != "") | (path != "")).withColumn("selector", selector)
+    return steps.withColumn("action", F.lit("click")).withColumn("fallback_selectors", F.array_distinct(F.filter(more, lambda x: x.isNotNull() & (x != F.col("selector")))))
+
+
+def enriched(recipes: DataFrame, notes: DataFrame) -> DataFrame:
+    """Recipes with what is known of their ``page_type``: ``playbook, site_type, auto_direct, operator_notes``; steps to a page go where they are said to be needless and a download is recorded.
+
+    ``notes``: one row per ``page_type`` with these columns and ``skip_goto``. Recipes of other types stay as they are.
+    """
+    j = recipes.join(notes, "page_type", "left")
+    loads = F.exists("steps", lambda x: F.lower(x["action"]) == "download")
+    steps = F.when(F.coalesce("skip_goto", F.lit(False)) & loads, F.filter("steps", lambda x: F.lower(x["action"]) != "goto")).otherwise(F.col("steps"))
+    return j.withColumn("steps", steps).drop("skip_goto")
+
+
+def regrouped(rows: DataFrame, moves: DataFrame, key: str = "key", group: str = "group") -> DataFrame:
+    """Sources moved to other groups: ``moves`` says which; the last by ``seq`` counts."""
+    last = moves.groupBy(F.col(key).alias("_k")).agg(F.max_by(group, "seq").alias("_g"))
+    j = rows.join(last, rows[key] == last["_k"], "left")
+    return j.withColumn(group, F.coalesce("_g", F.col(group))).drop("_k", "_g")
+
+
+def laid_out(path: Column, folder: str = "unknown") -> Column:
+    """Where a recipe file belongs: flat files go into a folder, those that begin with an underscore and those in folders stay."""
+    flat = path.rlike(r"^[^/_][^/]*\.json$")
+    return F.when(flat, F.concat(F.lit(folder + "/"), path)).otherwise(path)
+
+
+def hint(page_type: Column, labels: dict[str, str], tip: Column, names: Column, predicted: Column, most: int = 4) -> Column:
+    """What to tell a trainer of a page: what it looks like, the first of a learned tip and the names of similar sources, and this week's address."""
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    similar = F.when(F.size(names) > 0, F.concat(F.lit("Similar sources already solved: "), F.array_join(F.slice(names, 1, most), ", ")))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("This looks like: "), F.coalesce(F.try_element_at(known, page_type), F.lit(labels.get("unknown", "unknown")))),
+        F.coalesce(F.concat(F.lit("Learned tip: "), F.nullif(F.trim(tip), F.lit(""))), similar), F.concat(F.lit("This week's address may be: "), F.nullif(F.trim(predicted), F.lit(""))),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import dates as D
@@ -153,3 +153,20 @@ def freshness_gate(results: DataFrame, target: Column, entries: DataFrame | None
     out = marked.select(*[F.when(F.col("_s"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in results.columns])
     retry = marked.where("_s").select("key", "display_name", "url", F.col("_d").alias("date"), F.col("_v.reason").alias("reason"), how.alias("strategy"), F.coalesce("_b", F.lit("")).alias("bulletin_page"))
     return out, retry
+
+
+def first_failures(rows: DataFrame, by: list[str], seq: str, n: int = 5) -> DataFrame:
+    """The first n failed rows of each report in their order, with ``place``."""
+    w = Window.partitionBy(*by).orderBy(seq)
+    return rows.where("bucket = 'failed'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def problem_counts(keys: DataFrame, failures: DataFrame, stale: DataFrame, by: list[str], least: int = 2) -> DataFrame:
+    """Per group: sources, broken ones (``least`` failures in a row or more), stale ones and those of unknown date.
+
+    ``keys``: ``by, key``; ``failures``: ``key, failures``; ``stale``: ``key, list_name``.
+    """
+    broken = failures.groupBy("key").agg((F.max("failures") >= least).alias("_b"))
+    old = stale.groupBy("key").agg(F.bool_or(F.col("list_name") == "stale").alias("_s"), F.bool_or(F.col("list_name") == "unknown_date").alias("_u"))
+    j = keys.select(*by, "key").distinct().join(broken, "key", "left").join(old, "key", "left")
+    return j.groupBy(*by).agg(F.count("*").alias("sources"), F.count_if("_b").alias("broken"), F.count_if("_s").alias("stale"), F.count_if("_u").alias("unknown_date"))

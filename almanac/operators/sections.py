@@ -70,6 +70,42 @@ def name_links(lines: DataFrame, file: str = "file") -> DataFrame:
     return s.where(F.startswith(u, F.lit("http"))).groupBy(file, "section").agg(F.first("name").alias("name"), F.min_by(u, "pos").alias("url"))
 
 
+def declared_sections(lines: DataFrame, file: str = "file") -> DataFrame:
+    """All named sections, those without addresses too: ``file, section, name, key, page_url, urls, disabled``; the last page and key comment win.
+
+    A section's key is what it declares, else that of its first address or page, else empty.
+    """
+    s = sectioned(lines, file=file).where("section > 0")
+    line, ll = F.col("line"), F.lower("line")
+    said = F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
+    last = lambda sign: F.max_by(F.when(ll.rlike(sign), said), F.when(ll.rlike(sign), F.col("pos")))
+    entry = ~F.col("is_header") & ~F.startswith(line, F.lit("#")) & (line != "")
+    urls = F.transform(F.array_sort(F.collect_list(F.when(entry, F.struct("pos", "line")))), lambda x: x["line"])
+    g = s.groupBy(file, "section").agg(
+        F.first("name").alias("name"), last(r"^#\s*key:").alias("_key"), last(r"^#\s*page:").alias("page_url"), urls.alias("urls"), F.bool_or(ll.rlike(r"^#\s*disabled")).alias("disabled")
+    )
+    first = F.coalesce(F.get("urls", F.lit(0)), F.col("page_url"))
+    key = F.coalesce(F.nullif(F.col("_key"), F.lit("")), F.when(first.isNotNull(), U.url_key(first, F.col("name"))), F.lit(""))
+    return g.select(file, "section", "name", key.alias("key"), "page_url", "urls", "disabled")
+
+
+def disabled_sections(lines: DataFrame, names: DataFrame, mark: str = "# DISABLED", file: str = "file") -> DataFrame:
+    """Sectioned lines with a mark after the headers of the named sections, unless it stands there already. ``names``: ``file, name``."""
+    wanted = names.select(file, F.lower("name").alias("_n")).distinct()
+    heads = lines.where("is_header").join(wanted, (lines[file] == wanted[file]) & (F.lower(lines["name"]) == F.col("_n")), "left_semi")
+    marked = lines.where(F.col("line").contains("DISABLED")).select(file, F.col("pos").alias("_at")).distinct()
+    new = heads.join(marked, (heads[file] == marked[file]) & (F.col("pos") + 1 == F.col("_at")), "left_anti")
+    cols = [file, "section", "name", "is_header", "line"]
+    more = new.withColumn("line", F.lit(mark)).withColumn("is_header", F.lit(False))
+    return lines.select(*cols, F.col("pos").cast("double").alias("pos")).unionByName(more.select(*cols, (F.col("pos") + 0.5).alias("pos")))
+
+
+def section_block(lines: DataFrame, file: str = "file") -> DataFrame:
+    """``file, section, name, block``: each named section as text, header included, blank lines at its end left out."""
+    g = lines.where("section > 0").groupBy(file, "section").agg(F.first("name").alias("name"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
+    return g.select(file, "section", "name", F.rtrim(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit(" \n")).alias("block"))
+
+
 def marker_spans(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``<id_col>, key, pos, length``: the lines of each key, from the first that is its name and nothing else to the next key's.
 

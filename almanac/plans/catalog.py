@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import arrays as A
 from almanac.functions import dates as D
+from almanac.functions import pages as G_
 from almanac.functions import predicates as P
 from almanac.functions import pyudf as Y
 from almanac.functions import text as X
@@ -524,15 +525,72 @@ def ambiguous_pages(spark, sf):
     return ranking.ambiguous_pages(_links(spark, sf))
 
 
-RULES = [("newsletter", "(?i)newsletter|bulletin", 20, 20), ("newsletter", "(?i)mass", 10, 20), ("report", "(?i)^harvest report", 30, 30), ("mail", "(?i)recipe", 0, 10), ("mail", "(?i)timeout|error", 15, 10)]
+def _link_pages(spark, sf) -> DataFrame:
+    """A week's report of a station as a page of links, written out as HTML."""
+    link = F.concat(F.lit('<a href="'), F.col("href"), F.lit('">'), F.col("text"), F.lit("</a>"))
+    g = _links(spark, sf).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", link.alias("l")))), lambda x: x["l"]), "\n").alias("html"))
+    return g.select("page", F.concat(F.lit("https://"), "page").alias("url"), "html")
 
 
-@query("""WITH s AS (SELECT doc_id AS page, CAST(CASE WHEN regexp_matches(text, '(?i)newsletter|bulletin') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)mass') THEN 10 ELSE 0 END AS INTEGER) AS newsletter,
- CASE WHEN regexp_matches(text, '(?i)^harvest report') THEN 30 ELSE 0 END AS report, CASE WHEN regexp_matches(text, '(?i)recipe') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)timeout|error') THEN 15 ELSE 0 END AS mail FROM documents WHERE text IS NOT NULL)
- SELECT page, 'newsletter' AS rule, newsletter AS score FROM s WHERE newsletter >= 20 UNION ALL SELECT page, 'report', report FROM s WHERE report >= 30 UNION ALL SELECT page, 'mail', mail FROM s WHERE mail >= 10""")
+def _pages(spark, sf) -> DataFrame:
+    """Documents at the address of their source's last result, and pages of links."""
+    urls = results(spark, sf).where("url IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.max_by("url", "result_id").alias("url"))
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("page"), F.col("text").alias("html"), norm_key("parish").alias("key"))
+    return d.join(urls, "key", "left").select("page", "url", "html").unionByName(_link_pages(spark, sf))
+
+
+PAGES_SQL = f"""(SELECT CAST(doc_id AS VARCHAR) AS page, u.url, text AS html FROM documents d LEFT JOIN (SELECT key, arg_max(url, result_id) AS url FROM {FR} WHERE url IS NOT NULL AND key IS NOT NULL GROUP BY 1) u ON u.key = lower(trim(d.parish)) WHERE text IS NOT NULL
+ UNION ALL SELECT page, 'https://' || page, string_agg('<a href="' || href || '">' || text || '</a>', chr(10) ORDER BY idx) FROM {LINKS} GROUP BY page)"""
+
+
+def _q(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+_CONTENT_SQL = f"regexp_extract(html, {_q(G_.CONTENT)}, 0)"
+_IMAGES_SQL = f"list_filter(regexp_extract_all({_CONTENT_SQL}, '(?i)<img[^>]*>', 0), lambda x: coalesce(try_cast(nullif(regexp_extract(x, {_q(G_.WIDTH)}, 1), '') AS INTEGER), 0) >= {{0}} AND NOT regexp_matches(x, {_q(G_.DECORATIVE)}))"
+_LENGTH_SQL = f"length(trim(regexp_replace(regexp_replace('<' || {_CONTENT_SQL}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
+_PARAGRAPHS_SQL = f"len(regexp_extract_all({_CONTENT_SQL}, '(?i)<(?:p|li)\\b|wp-block-paragraph', 0))"
+TEXT_PAGE_SQL = f"({_LENGTH_SQL} >= 400 AND ({_PARAGRAPHS_SQL} >= 4 OR {_LENGTH_SQL} >= 800) AND (regexp_matches(html, {_q(G_.WP_SIGNS)}) OR regexp_matches(html, {_q(G_.EDITION_SIGNS)})) AND NOT (len({_IMAGES_SQL.replace('{0}', '500')}) = 1 AND {_LENGTH_SQL} < 600))"
+IMAGE_PAGE_SQL = f"(len(list_filter({_IMAGES_SQL.replace('{0}', '400')}, lambda x: regexp_matches(x, {_q(P.EDITION_WORDS)}) OR regexp_matches(x, '(?i)/wp-content/uploads/'))) > 0)"
+
+
+def _rules_sql() -> str:
+    parts = []
+    for i, r in enumerate(G_.RULE_SETS):
+        score = " + ".join(f"CASE WHEN regexp_matches(html, {_q(p)}) THEN {w} ELSE 0 END" for p, w in r.marks)
+        held = {"text": TEXT_PAGE_SQL, "image": IMAGE_PAGE_SQL, None: "true"}[r.test]
+        parts.append(f"SELECT page, {i} AS i, '{r.name}' AS rule, '{r.kind}' AS kind, CAST({score} AS INTEGER) AS score FROM {PAGES_SQL} WHERE {held} AND {score} >= {r.least}")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"SELECT page, rule, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, i) AS rn FROM ({_rules_sql()})) WHERE rn <= 6")
 def html_fingerprint(spark, sf):
-    pages = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), F.col("text").alias("html"))
-    return ranking.fingerprints(pages, RULES)
+    return ranking.fingerprints(_pages(spark, sf))
+
+
+_FOLDER_SQL = "coalesce(regexp_matches(lower(url), 'drive\\.google\\.com.*/folders/|1drv\\.ms'), false)"
+
+
+@query(f"""WITH b AS (SELECT page, arg_min(kind, (-score, i)) AS kind FROM ({_rules_sql()}) GROUP BY page)
+ SELECT p.page, CASE WHEN regexp_matches(lower(coalesce(url, '')), {_q(G_.DIRECT)}) THEN 'direct_pdf' WHEN {_FOLDER_SQL} THEN 'cloud_folder'
+ WHEN b.kind IS NOT NULL AND NOT (b.kind = 'cloud_folder' OR (b.kind = 'image' AND (NOT {IMAGE_PAGE_SQL} OR {TEXT_PAGE_SQL}))) THEN b.kind WHEN {TEXT_PAGE_SQL} THEN 'wix_html'
+ {' '.join(f"WHEN regexp_matches(html, {_q(x)}){chr(32) + 'AND regexp_matches(html, ' + _q('(?i)onewebstatic|one.com') + ')' if k == 'oneweb_docx' else ''} THEN '{k}'" for k, x in G_.SIGNS)}
+ WHEN len(list_filter(regexp_extract_all(html, {_q(G_.DOCUMENT_LINK)}, 1), lambda x: NOT (regexp_matches(x, '{P.OTHER_WORDS}') AND NOT regexp_matches(x, '{P.EDITION_WORDS}')))) > 0 THEN 'pdf_links'
+ WHEN regexp_matches(html, {_q(G_.WEEKLY)}) AND regexp_matches(html, {_q(G_.WEEKLY_ROW)}) THEN 'weekly_bulletin_download' WHEN {IMAGE_PAGE_SQL} THEN 'image'
+ WHEN regexp_matches(html, {_q(G_.WIX)}) AND regexp_matches(lower(coalesce(url, '')), {_q(G_.DATED_SLUG)}) THEN 'wix_html' WHEN regexp_matches(html, {_q(G_.WIX)}) AND len(regexp_extract_all(html, {_q(G_.DATED_LINK)}, 0)) >= 4 THEN 'wix_date_grid'
+ WHEN regexp_matches(html, '(?i)<a[^>]+href|<button') THEN 'html' ELSE 'unknown' END AS kind FROM {PAGES_SQL} p LEFT JOIN b ON b.page = p.page""")
+def page_types(spark, sf):
+    return _pages(spark, sf).select("page", G_.page_type(F.col("url"), F.col("html")).alias("kind"))
+
+
+@query(f"""WITH l AS (SELECT * EXCLUDE t, coalesce(r.file_type, '') = 'pdf' AS is_download, lower(d.href || ' ' || text) AS t FROM {DATED} d JOIN (SELECT row_id, file_type FROM report_long) r ON r.row_id = d.idx),
+ w AS (SELECT * FROM l WHERE (regexp_matches(lower(href), 'weekly-bulletins|/newsletters/|/files/\\d+/[^/?#]*sunday') OR regexp_matches(lower(trim(href)), '\\.(?:pdf|docx)$') OR regexp_matches(lower(href), '^[^?#]*\\.(?:pdf|docx)(?:[?#]|$)')) AND NOT ({OTHER_SQL}))
+ SELECT page, idx, href, text, is_download, full_date, dated, date_score, points FROM (SELECT *, score IS NOT NULL AS dated, coalesce(score, 0) AS date_score, idx + CASE WHEN is_download THEN 25 ELSE 0 END AS points,
+ row_number() OVER (PARTITION BY page ORDER BY full_date DESC, score IS NOT NULL DESC, coalesce(score, 0) DESC, idx + CASE WHEN is_download THEN 25 ELSE 0 END DESC, idx DESC) AS rn FROM w) WHERE rn = 1""")
+def best_weekly_link(spark, sf):
+    kinds = table(spark, sf, "report_long").select(F.col("row_id").alias("idx"), (F.coalesce("file_type", F.lit("")) == "pdf").alias("is_download"))
+    return ranking.best_weekly(_links(spark, sf).join(kinds, "idx").select("page", "idx", "href", "text", "is_download"))
 
 
 KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(e, '{p}') THEN '{k}'" for k, p in P.ERROR_KINDS) + " ELSE 'other' END"
@@ -874,19 +932,6 @@ def this_week_link(spark, sf):
     return ranking.this_week(_links(spark, sf), target())
 
 
-PAGE_URLS = f"(SELECT key, arg_max(url, result_id) AS url FROM {FR} WHERE url IS NOT NULL AND key IS NOT NULL GROUP BY 1)"
-
-
-def _pages(spark, sf) -> DataFrame:
-    """Documents as pages, at the address of their source's last result."""
-    urls = results(spark, sf).where("url IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.max_by("url", "result_id").alias("url"))
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("page"), F.col("text").alias("html"), norm_key("parish").alias("key"))
-    return d.join(urls, "key", "left").select("page", "url", "html")
-
-
-PAGES = f"(SELECT doc_id AS page, u.url, text AS html FROM documents d LEFT JOIN {PAGE_URLS} u ON u.key = lower(trim(d.parish)) WHERE text IS NOT NULL)"
-
-
 @query(f"""SELECT result_id, status, is_stale, stale_reason FROM (SELECT result_id, CASE WHEN s THEN 'error' ELSE status END AS status, CASE WHEN s THEN true ELSE is_stale END AS is_stale,
  CASE WHEN s THEN CASE WHEN d > DATE '{TARGET}' THEN 'date_ahead_of_target' ELSE 'date_behind_of_target' END ELSE stale_reason END AS stale_reason FROM
  (SELECT *, coalesce(status = 'ok' AND NOT coalesce(is_stale, false) AND length(url) > 0 AND d IS NOT NULL AND NOT (d BETWEEN DATE '{TARGET}' - 6 AND DATE '{TARGET}') AND abs(d - DATE '{TARGET}') > 8, false) AS s
@@ -924,3 +969,91 @@ def _sundays_sql() -> str:
 @query(_sundays_sql())
 def named_sundays(spark, sf):
     return calendar.named_sundays(table(spark, sf, "report_long").select(F.year("target_date").alias("year")))
+
+
+@query(f"""SELECT station, target_date, row_id, parish, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY station, target_date ORDER BY row_id) AS INTEGER) AS place FROM {RL} WHERE bucket = 'failed') WHERE place <= 5""")
+def first_failures(spark, sf):
+    return reports.first_failures(report(spark, sf), ["station", "target_date"], "row_id").select("station", "target_date", "row_id", "parish", "place")
+
+
+@query("""WITH k AS (SELECT DISTINCT diocese, lower(trim(key)) AS key FROM contacts), b AS (SELECT lower(trim(key)) AS key, max(failures) >= 2 AS b FROM consecutive_failures GROUP BY 1),
+ o AS (SELECT lower(trim(key)) AS key, bool_or(list_name = 'stale') AS s, bool_or(list_name = 'unknown_date') AS u FROM stale_bulletins GROUP BY 1)
+ SELECT diocese, count(*) AS sources, count(*) FILTER (b) AS broken, count(*) FILTER (s) AS stale, count(*) FILTER (u) AS unknown_date FROM k LEFT JOIN b ON b.key = k.key LEFT JOIN o ON o.key = k.key GROUP BY 1""")
+def problem_counts(spark, sf):
+    keyed = lambda t: table(spark, sf, t).withColumn("key", norm_key("key"))
+    return reports.problem_counts(keyed("contacts").select("diocese", "key"), keyed("consecutive_failures"), keyed("stale_bulletins"), ["diocese"])
+
+
+@query(f"SELECT key, error, min(result_id) AS result_id FROM {FR} WHERE error IS NOT NULL GROUP BY 1, 2")
+def distinct_errors(spark, sf):
+    return order.ordered_distinct(results(spark, sf), ["key"], "error", "result_id")
+
+
+def _trimmed(c: str) -> str:
+    return f"nullif(trim({c}), '')"
+
+
+@query(f"SELECT result_id, coalesce({_trimmed('error')}, {_trimmed('stale_reason')}, {_trimmed('retry_strategy')}, {_trimmed('status')}) AS answer FROM {FR}")
+def first_answer(spark, sf):
+    return results(spark, sf).select("result_id", P.first_text(*[F.col(c) for c in ("error", "stale_reason", "retry_strategy", "status")]).alias("answer"))
+
+
+@query("""WITH m AS (SELECT lower(trim(key)) AS key, arg_max(station, row_id) AS g FROM site_health WHERE key IS NOT NULL AND status = 'inactive_candidate' GROUP BY 1)
+ SELECT row_id, coalesce(g, diocese) AS diocese FROM contacts c LEFT JOIN m ON m.key = c.key""")
+def regrouped_sources(spark, sf):
+    moves = table(spark, sf, "site_health").where("key IS NOT NULL AND status = 'inactive_candidate'").select(norm_key("key").alias("key"), F.col("station").alias("diocese"), F.col("row_id").alias("seq"))
+    return recipes.regrouped(table(spark, sf, "contacts").select("row_id", "key", "diocese"), moves, group="diocese").select("row_id", "diocese")
+
+
+@query("""SELECT row_id, path, CASE WHEN regexp_matches(path, '^[^/_][^/]*\\.json$') THEN 'unknown/' || path ELSE path END AS new_path FROM
+ (SELECT row_id, CASE WHEN removed_on IS NOT NULL THEN '_' || key WHEN facebook IS NULL THEN key ELSE diocese || '/' || key END || '.json' AS path FROM contacts)""")
+def recipe_layout(spark, sf):
+    path = F.concat(F.when(F.col("removed_on").isNotNull(), F.concat(F.lit("_"), "key")).when(F.col("facebook").isNull(), F.col("key")).otherwise(F.concat("diocese", F.lit("/"), "key")), F.lit(".json"))
+    return table(spark, sf, "contacts").select("row_id", path.alias("path")).withColumn("new_path", recipes.laid_out(F.col("path")))
+
+
+FOLDED_SQL = f"translate(lower(display_name), '{X.MARKED}', '{X.PLAIN}')"
+_SLUG_SQL = "regexp_replace(regexp_replace({0}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"""SELECT display_name, {_SLUG_SQL.format(FOLDED_SQL)} AS page, left({_SLUG_SQL.format(FOLDED_SQL)}, 40) AS short, coalesce(nullif({_SLUG_SQL.format('lower(display_name)')}, ''), 'source') AS plain
+ FROM (SELECT DISTINCT display_name FROM contacts WHERE display_name IS NOT NULL)""")
+def slugs(spark, sf):
+    n = F.col("display_name")
+    d = table(spark, sf, "contacts").where("display_name IS NOT NULL").select("display_name").distinct()
+    return d.select("display_name", X.page_slug(n).alias("page"), X.slug(n).alias("short"), X.plain_slug(n, "source").alias("plain"))
+
+
+@query("""SELECT 'all' AS file, CAST(row_number() OVER (ORDER BY row_id) AS INTEGER) AS section, display_name AS name, key, website AS page_url, CASE WHEN facebook IS NULL THEN '' ELSE facebook || '|' || facebook || '/again' END AS urls, removed_on IS NOT NULL AS disabled
+ FROM contacts WHERE display_name IS NOT NULL AND trim(display_name) = display_name AND regexp_matches(display_name, '^[A-Za-z ]+$') AND key IS NOT NULL""")
+def declared_sections(spark, sf):
+    c = table(spark, sf, "contacts").where("display_name IS NOT NULL AND trim(display_name) = display_name AND key IS NOT NULL").where(F.col("display_name").rlike("^[A-Za-z ]+$"))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("# --- "), "display_name", F.lit(" ---")), F.when(F.col("removed_on").isNotNull(), "# DISABLED by hand"), F.concat(F.lit("# key: "), "key"), F.concat(F.lit("# page: "), "website"), F.col("facebook"),
+        F.concat("facebook", F.lit("/again")),
+    )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    lines = sections.numbered_lines(c.agg(text.alias("value")).withColumn("file", F.lit("all")))
+    return sections.declared_sections(lines).withColumn("urls", F.array_join("urls", "|"))
+
+
+@query()
+def linkified_documents(spark, sf):
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", X.linkified(F.col("text")).alias("html"))
+
+
+@query()
+def rendered_documents(spark, sf):
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", X.rendered(F.col("text")).alias("html"))
+
+
+@query()
+def calculated_urls(spark, sf):
+    return results(spark, sf).where("url IS NOT NULL").select("key", "url").distinct().join(_entries(spark, sf), "key", "left").select("key", "url", Y.calculated_url(F.coalesce("pattern", F.lit("A")), F.col("url"), target()).alias("new_url"))
+
+
+@query()
+def docx_variants(spark, sf):
+    return _urls(spark, sf).where(F.lower("url").contains(".docx")).select("url", Y.docx_variants("url", target()).alias("variants"))

@@ -162,3 +162,28 @@ def test_html_links(spark):
     html = '<a href="/a.pdf">A  <b>x</b></a><iframe src="https://y/v"></iframe><a>no</a><embed src="e.pdf">'
     got = spark.createDataFrame([(html, "https://x.org/p/"), (None, None)], "h string, u string").select(Y.html_links("h", "u")).collect()
     assert [(r["idx"], r["href"], r["text"]) for r in got[0][0]] == [(0, "https://x.org/a.pdf", "A x"), (1, "https://y/v", ""), (2, "https://x.org/p/e.pdf", "")] and got[1][0] == []
+
+
+def test_text_as_html(spark):
+    def html(f, *texts):
+        return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(f(F.col("t"))).collect()]
+
+    got = html(X.linkified, "Mail a.b@c.ie & see www.x.ie/a_(b), (https://y.ie/z). 074 912 3456 or +353 87-123-4567!", "028 7131 23456 <b> o'x", None, "https://x.ie/0749123456")
+    assert got[0] == (
+        'Mail <a href="mailto:a.b@c.ie">a.b@c.ie</a> &amp; see <a href="https://www.x.ie/a_(b)">www.x.ie/a_(b)</a>, (<a href="https://y.ie/z">https://y.ie/z</a>). '
+        '<a href="tel:+353749123456">074 912 3456</a> or <a href="tel:+353871234567">+353 87-123-4567</a>!'
+    )
+    assert got[1] == "028 7131 23456 &lt;b&gt; o&#x27;x" and got[2] is None and got[3] == '<a href="https://x.ie/0749123456">https://x.ie/0749123456</a>'
+    r = html(X.rendered, "# Title\n\n| a | **b** |\n| c | d |\ntext *so* __x__\n---\n##### deep\n| e | f |")[0].split("\n")
+    assert r == ["<h1>Title</h1>", "<table><tr><td>a</td><td><strong>b</strong></td></tr><tr><td>c</td><td>d</td></tr></table>", "<p>text <em>so</em> <strong>x</strong></p>", "<hr>", "<h4>deep</h4>", "<table><tr><td>e</td><td>f</td></tr></table>"]
+
+
+def test_addresses_by_pattern(spark):
+    t = F.lit("2026-06-14").cast("date")
+    rows = [("F", "https://x.ie/a-2025-06-15.pdf"), ("html_link", "https://x.ie/"), ("A", "https://x.ie/070626.pdf"), ("H", "https://x.ie/files/Newsletters/7/7-June-2026"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, u string").select(Y.calculated_url(F.col("p"), F.col("u"), t)).collect()]
+    assert got[:3] == ["https://x.ie/a-2025-06-15.pdf", "https://x.ie/", "https://x.ie/140626.pdf"] and "/8/" in got[3] and got[4] is None
+    docs = spark.createDataFrame([("https://c.com/onewebmedia/newsletter%207-6-26%20-.docx",), ("https://c.com/n/070626.docx",), ("https://c.com/070626.pdf",), (None,)], "u string")
+    got = [r[0] for r in docs.select(Y.docx_variants("u", t)).collect()]
+    assert got[0][1:] == ["https://c.com/onewebmedia/newsletter%2014-6-26.docx", "https://c.com/onewebmedia/newsletter%2014-6-26%20.docx", "https://c.com/onewebmedia/newsletter%2014-6-26%20-.docx"]
+    assert got[1] == ["https://c.com/n/140626.docx", "https://c.com/n/140626 .docx", "https://c.com/n/140626 -.docx"] and got[2] == ["https://c.com/140626.pdf"] and got[3] == []

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.functions import predicates as P
+from almanac.functions.pages import RuleSet, page_type
 from almanac.operators import calendar, lookups, order, ranking, recipes, reports, sections, state
 from almanac.operators.orphans import Edge, direct_orphans, orphan_cascade
 from almanac.operators.snapshots import change_counts, snapshot_changes
@@ -204,7 +205,7 @@ def test_ranking(spark):
     assert best(ranking.ranked_links(links, spark.createDataFrame([("p", "undated")], "page string, text string")).where("rank = 1"))["p"] == 2
     assert {r["page"] for r in ranking.ambiguous_pages(spark.createDataFrame([("a", 0, "x", ""), ("a", 1, "y", ""), ("b", 0, "x/2026-06-14", ""), ("b", 1, "y", "")], "page string, idx int, href string, text string")).collect()} == {"a"}
     pages = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "none")], "page int, html string")
-    got = {(r["page"], r["rule"], r["score"]) for r in ranking.fingerprints(pages, [("one", "alpha", 5, 10), ("one", "beta", 6, 10), ("two", "beta", 0, 3)]).collect()}
+    got = {(r["page"], r["rule"], r["score"]) for r in ranking.fingerprints(pages, (RuleSet("one", "k", 10, (("alpha", 5), ("beta", 6))), RuleSet("two", "k", 3, (("beta", 10),)))).collect()}
     assert got == {(1, "one", 11), (1, "two", 10), (2, "two", 10)}
 
 
@@ -276,8 +277,99 @@ def test_edits_images_and_weeks(spark):
     assert {r["k"]: r["seq"] for r in ranking.first_after(rows, ["k"], "ts", F.lit("2026-01-02 00:00:05").cast("timestamp"), "seq").collect()} == {"a": 2, "b": 3}
     res = spark.createDataFrame([("a", "ok", None, None, "B", 2), ("b", "ok", True, None, "A", 1), ("c", "ok", None, None, "C", 9), ("d", "ok", None, None, "D", 1)], "key string, status string, is_fallback boolean, is_stale boolean, display_name string, n_pages int")
     assert [r["key"] for r in recipes.stitch_plan(res, spark.createDataFrame([("d",)], "key string")).collect()] == ["a"]
-    kinds = spark.createDataFrame([("https://x/a.pdf?1", ""), ("", "<a href='n.pdf'>x</a>"), ("", "<div>" + "word " * 200), ("", None)], "u string, h string").select(P.page_type(F.col("u"), F.col("h"))).collect()
-    assert [r[0] for r in kinds] == ["direct_pdf", "pdf_links", "html", "unknown"]
+
+
+ARTICLE = '<html><title>Parish newsletter</title><article class="post entry-content">' + "<p>Words of this week for all who read them here.</p>" * 20 + "</article> wp-content/themes"
+PAGES = [
+    ("https://x/a.pdf?1", "", "direct_pdf"), ("", "<a href='n.pdf'>x</a>", "pdf_links"), ("", "<div><a href='/y'>" + "word " * 200, "html"), ("", "<div>" + "word " * 200, "unknown"), ("", None, "unknown"),
+    ("https://drive.google.com/drive/folders/1", "", "cloud_folder"), ("", "see https://drive.google.com/drive/folders/1 of 26.06.14 <a href='x'>", "html"), ("", ARTICLE, "wix_html"),
+    ("", '<script src="//www.theparishmessenger.com/x.js"></script>', "parish_messenger"), ("", '<a class="pdfemb-viewer" href="x.pdf">', "pdfemb"), ("", '<a class="pdfemb-viewer" href="x.pdf"> wp-content/plugins/pdf-embedder', "pdfemb"),
+    ("", "<iframe src='https://wixlabs-pdf-dev.appspot.com/?url=x'>", "wix_viewer"), ("", '<iframe src="/onewebmedia/Newsletter 1-2-26.docx"> onewebstatic', "oneweb_docx"), ("", '<iframe src="/x/a.pdf">', "iframe"), ("", '<iframe src="https://dropbox.com/z">', "iframe_maybe"),
+    ("", '<object data="n.pdf">', "embed"), ("", '<a href="/safeguarding.pdf">s</a> <b>weekly bulletins</b> Sunday 4', "weekly_bulletin_download"), ("", "com_dropfiles mod_dropfiles_latest mod_downloadlink", "weekly_bulletin_download"),
+    ("https://x/june_2026", "static.wixstatic.com <b>", "wix_html"), ("https://x/", "static.wixstatic.com " + '<a href="/may_2026">' * 4, "wix_date_grid"),
+    ("", '<article><img src="/wp-content/uploads/bulletin.jpg" width="900"></article> wordpress', "image"), ("", '<article><img src="/wp-content/uploads/logo.jpg" width="900"></article>', "unknown"),
+]
+
+
+def test_kinds_of_pages(spark):
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(PAGES)], "i int, u string, h string").select("i", page_type(F.col("u"), F.col("h")).alias("k")).collect()
+    assert {r["i"]: r["k"] for r in rows} == {i: k for i, (_, _, k) in enumerate(PAGES)}
+
+
+def test_rules_with_tests_of_the_content(spark):
+    sets = (RuleSet("must", "k", 5, (("alpha", 10),), "text", True), RuleSet("part", "k", 3, (("alpha", 10),), "text"), RuleSet("high", "k", 4, (("alpha", 10),), "image"))
+    df = spark.createDataFrame([(1, "alpha"), (2, "alpha" + ARTICLE), (3, None)], "page int, html string")
+    got = {(r["page"], r["rule"], r["score"]) for r in ranking.fingerprints(df, sets).collect()}
+    assert got == {(1, "part", 3), (2, "must", 10), (2, "part", 10)}
+
+
+def test_links_of_equal_date_keep_page_order_and_rejected_ones_are_no_alternatives(spark):
+    links = spark.createDataFrame([("p", 0, "x/2026-06-14-bulletin", "a"), ("p", 1, "x/2026-06-14-bulletin", "b"), ("p", 2, "x/giftaid-2026-06-21", "Gift Aid"), ("p", 3, "x/old", "c"), ("q", 0, "x/privacy", "Privacy"), ("q", 1, "x/gdpr", "GDPR")], "page string, idx int, href string, text string")
+    got = {(r["page"], r["rank"]): r["idx"] for r in ranking.ranked_links(links).collect()}
+    assert got == {("p", 1): 0, ("p", 2): 1, ("p", 3): 3, ("q", 1): 1}
+
+
+def test_best_weekly(spark):
+    rows = [("p", 0, "x/weekly-bulletins/5/", "14 June 2026", False), ("p", 1, "x/weekly-bulletins/6/", "21 June 2026", False), ("p", 2, "x/other", "28 June 2026", True), ("q", 0, "x/weekly-bulletins/1/", "", True), ("q", 9, "x/weekly-bulletins/2/", "", False), ("r", 0, "x/y", "", True)]
+    got = {r["page"]: r["idx"] for r in ranking.best_weekly(spark.createDataFrame(rows, "page string, idx int, href string, text string, is_download boolean")).collect()}
+    assert got == {"p": 1, "q": 0}
+
+
+def test_steps(spark):
+    t = F.lit("2026-06-14").cast("date")
+    step = "struct<action:string,url:string,selector:string,text:string,fallback_selectors:array<string>>"
+    df = spark.createDataFrame([("a", [("click", None, None, "26.06.07.pdf", ["  own ", "", ':has-text("26.06.14")']), ("click", None, "x", "plain", None), ("goto", "26.01.01", None, None, None)])], f"key string, steps array<{step}>")
+    s = recipes.cloud_steps(df, t).first()["steps"]
+    assert s[0]["text"] == "26.06.14.pdf" and s[0]["selector"] == ':has-text("26.06.14")' and s[0]["fallback_selectors"][-1] == "own" and len(s[0]["fallback_selectors"]) == 6
+    assert s[1]["text"] == "plain" and s[2]["url"] == "26.01.01"
+    clicks = spark.createDataFrame([("A", "link", "Bulletin 14 June", "x.pdf", "div > a"), ("div", None, "12", "y.docx", None), (None, None, "7", None, "p"), (None, None, "3", "", " ")], "tag string, role string, text string, href string, css_path string")
+    got = [(r["selector"], r["fallback_selectors"]) for r in recipes.click_steps(clicks).collect()]
+    assert got[0] == ("a:has-text('Bulletin')", ['role=link[name="Bulletin"]', "a[href$='.pdf']", "a[href*='.pdf']", "div > a"])
+    assert got[1] == ("a[href$='.docx']", ["a[href*='.pdf']"]) and got[2][0] == "p" and len(got) == 3
+    known = spark.createDataFrame([("list", "pb", "st", True, ["n"], True)], "page_type string, playbook string, site_type string, auto_direct boolean, operator_notes array<string>, skip_goto boolean")
+    r = spark.createDataFrame([("a", "list", [("goto", None, None, None), ("download", None, None, None)]), ("b", "list", [("goto", None, None, None)]), ("c", None, [])], f"key string, page_type string, steps array<{recipes.STEP}>")
+    e = {x["key"]: x for x in recipes.enriched(r, known).collect()}
+    assert len(e["a"]["steps"]) == 1 and len(e["b"]["steps"]) == 1 and e["b"]["playbook"] == "pb" and e["c"]["playbook"] is None
+    h = spark.createDataFrame([("list", None, ["A", "B"], "u"), ("zz", "tip", [], " ")], "t string, tip string, names array<string>, u string").select(recipes.hint(F.col("t"), {"list": "a list", "unknown": "?"}, F.col("tip"), F.col("names"), F.col("u")).alias("h")).collect()
+    assert [x["h"].split("\n") for x in h] == [["This looks like: a list", "Similar sources already solved: A, B", "This week's address may be: u"], ["This looks like: ?", "Learned tip: tip"]]
+
+
+def test_sections_are_disabled_and_cut_out(spark):
+    text = "# --- One ---\nhttps://a.ie/x\n\n# --- Two ---\n# DISABLED before\n# page: https://b.ie/\n\n# --- Three ---"
+    lines = sections.sectioned(sections.numbered_lines(spark.createDataFrame([("f", text)], "file string, value string")))
+    d = {r["name"]: r for r in sections.declared_sections(sections.numbered_lines(spark.createDataFrame([("f", text)], "file string, value string"))).collect()}
+    assert (d["One"]["urls"], d["One"]["disabled"], d["Two"]["urls"], d["Two"]["disabled"], d["Three"]["key"]) == (["https://a.ie/x"], False, [], True, "")
+    names = spark.createDataFrame([("f", "one"), ("f", "Two"), ("f", "none")], "file string, name string")
+    out = [r["line"] for r in sections.disabled_sections(lines, names).orderBy("pos").collect()]
+    assert out[:3] == ["# --- One ---", "# DISABLED", "https://a.ie/x"] and len(out) == 9
+    blocks = {r["name"]: r["block"] for r in sections.section_block(lines).collect()}
+    assert blocks["One"] == "# --- One ---\nhttps://a.ie/x" and blocks["Three"] == "# --- Three ---"
+
+
+def test_segments_do_not_change_the_fold(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), i, rng.choice(["ok", "bad", "bad", "x"])) for i in range(300)] + [("d", 1000, "bad")]
+    df = spark.createDataFrame(rows, "key string, seq long, r string")
+    fold = lambda n: sorted(map(tuple, state._since(df, "key", "seq", F.col("r") == "ok", F.col("r") == "bad", n).collect()))
+    want = []
+    for k in "abcd":
+        own = [(q, r) for x, q, r in rows if x == k]
+        last = max((q for q, r in own if r == "ok"), default=None)
+        want.append((k, last, sum(r == "bad" and (last is None or q > last) for q, r in own)))
+    assert fold(1 << 16) == fold(7) == fold(1) == want
+
+
+def test_run_of_equal_values_over_segments(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, i, rng.choice(["u", "v", None]) if i < 60 else k) for i in range(80) for k in "uvw"] + [("n", 5, None), ("n", 6, None)]
+    df = spark.createDataFrame(rows, "key string, seq long, new_url string")
+    want = {}
+    for k in {r[0] for r in rows}:
+        vals = [v for x, _, v in sorted(rows, key=lambda r: r[1]) if x == k]
+        want[k] = (vals[-1], next((n for n, v in enumerate(reversed(vals)) if v != vals[-1]), len(vals)))
+    for n in (1 << 16, 7, 1):
+        monkeypatch.setattr(state, "SEGMENT", n)
+        assert {r["key"]: (r["new_url"], r["confidence"]) for r in state.confidence(df).collect()} == want
 
 
 def test_named_sundays(spark):

@@ -35,7 +35,7 @@ def test_query(spark, con, name):
 def test_recipes_have_every_result(spark, con):
     steps = """SELECT key, run_id, count(*) AS n, string_agg(CASE status WHEN 'ok' THEN 'download' WHEN 'html_link' THEN 'html' WHEN 'skipped' THEN 'goto' ELSE 'click' END, '>' ORDER BY result_id) AS flow
      FROM (SELECT DISTINCT * EXCLUDE key, lower(trim(key)) AS key FROM (SELECT result_id, run_id, seq, key, display_name, status, url, file_name, file_exists, file_type, error, is_fallback, is_stale, stale_reason, retry_strategy, fetched_at FROM fetch_results)) WHERE key IS NOT NULL GROUP BY 1, 2"""
-    got = QUERIES["recipe_run_fingerprints"](spark, SF)
+    got = QUERIES["recipe_fingerprints"](spark, SF)
     assert compare(got.selectExpr("key", "run_id", "n_steps AS n", "flow"), con, steps) == ""
     whole = QUERIES["recipe_standalone"](spark, SF)
     # all steps but the leading goto that was put in front, and the terminal ones before the last

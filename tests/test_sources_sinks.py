@@ -69,6 +69,16 @@ def test_retention(spark):
     assert got == {"a/1.pdf": "zip", "a/2.pdf": "keep", "a/3.pdf": "delete", "z/2026-02-individual-pdfs.zip": "keep", "z/2023-01-individual-pdfs.zip": "delete"}
 
 
+def test_retention_of_merged_files_and_cap(spark):
+    f = [("m/1.pdf", 5, "2026-03-30", "merged"), ("m/2.pdf", 5, "2026-02-10", "merged"), ("z/2024-07-individual-pdfs.zip", 40, "2024-08-01", "archive"), ("z/2024-09-individual-pdfs.zip", 40, "2024-10-01", "archive"), ("z/2025-09-individual-pdfs.zip", 40, "2025-10-01", "archive")]
+    df = spark.createDataFrame(f, "path string, bytes int, m string, kind string").select("path", "bytes", F.col("m").cast("timestamp").alias("modified"), "kind")
+    plan = lambda cap: {r["path"].split("/")[1][:7]: r["action"] for r in retention_plan(df, F.lit("2026-06-14").cast("timestamp"), cap=cap).collect()}
+    assert plan(None) == plan(1000) == {"1.pdf": "keep", "2.pdf": "zip", "2024-07": "keep", "2024-09": "keep", "2025-09": "keep"}
+    assert plan(95) == {"1.pdf": "keep", "2.pdf": "zip", "2024-07": "prune", "2024-09": "keep", "2025-09": "keep"}
+    assert plan(60) == {"1.pdf": "keep", "2.pdf": "zip", "2024-07": "prune", "2024-09": "prune", "2025-09": "keep"}
+    assert plan(1)["2025-09"] == "prune" and plan(1)["1.pdf"] == "keep"
+
+
 @pytest.mark.parametrize("kind", ["json", "text"])
 def test_writing_per_group(spark, tmp_path, kind):
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "g string, v string")
