@@ -42,7 +42,7 @@ def events_of(raw: Column) -> Column:
 
 def bullets(text: Column, wanted: int = 3) -> Column:
     """Non-blank lines without their marks; null unless there are exactly so many."""
-    out = F.filter(F.transform(lines(text), F.trim), lambda x: x != "")
+    out = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != "")
     out = F.transform(out, lambda x: F.when(F.left(x, F.lit(1)).isin("-", "*", "•"), F.trim(F.substring(x, 2, 1 << 20))).otherwise(x))
     return F.when(F.size(out) == wanted, out)
 

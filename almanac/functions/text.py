@@ -82,7 +82,7 @@ def html_text(html: Column, panel: str | None = None) -> Column:
 
 def found_names(html: Column, pattern: str) -> Column:
     """All first groups, each normal form once, first spelling kept."""
-    names = F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.trim), lambda x: F.length(x) > 0)
+    names = F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     keys = F.transform(names, norm_key)
     return F.filter(names, lambda x, i: F.array_position(keys, norm_key(x)) == i + 1)
 

@@ -95,7 +95,7 @@ def seed_urls(target_url: Column, example: Column, html_link: Column) -> Column:
 
     first = F.when(html_link, F.array(example)).otherwise(F.array(target_url, example))
     more = F.array(*[x for u in (target_url, example) for x in (F.concat(root(u), F.lit("/")), parent(u))])
-    return F.array_distinct(F.filter(F.transform(F.concat(first, more), F.trim), lambda x: F.length(x) > 0))
+    return F.array_distinct(F.filter(F.transform(F.concat(first, more), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
 
 
 def newsletter_number(url: Column) -> Column:

@@ -187,3 +187,9 @@ def test_addresses_by_pattern(spark):
     got = [r[0] for r in docs.select(Y.docx_variants("u", t)).collect()]
     assert got[0][1:] == ["https://c.com/onewebmedia/newsletter%2014-6-26.docx", "https://c.com/onewebmedia/newsletter%2014-6-26%20.docx", "https://c.com/onewebmedia/newsletter%2014-6-26%20-.docx"]
     assert got[1] == ["https://c.com/n/140626.docx", "https://c.com/n/140626 .docx", "https://c.com/n/140626 -.docx"] and got[2] == ["https://c.com/140626.pdf"] and got[3] == []
+
+
+def test_blanks_round_items_go_and_digits_stay(spark):
+    df = spark.createDataFrame([("0 one 0 \n1 two 1\n - 2 three ", "<b> 0 Ann </b><b>1 Bea 1</b>", "https://x.ie/0 ")], "t string, h string, u string")
+    r = df.select(A.bullets(F.col("t")), X.found_names(F.col("h"), "<b>([^<]*)</b>"), U.seed_urls(F.col("u"), F.col("u"), F.lit(False))).first()
+    assert r[0] == ["0 one 0", "1 two 1", "2 three"] and r[1] == ["0 Ann", "1 Bea 1"] and r[2][0] == "https://x.ie/0"
