@@ -58,6 +58,24 @@ def test_snapshot_changes_against_brute_force(spark):
     assert snapshot_changes(df.limit(0), "station", "day", "parish", ["url"], ["row_id"]).count() == 0
 
 
+def test_cascade_down_four_levels_against_recursive_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(12)
+    levels = {f"l{n}": pd.DataFrame([(i, f"l{n}-{i}", None if rng.random() < 0.1 else f"l{n - 1}-{rng.randint(0, 44)}") for i in range(40)], columns=["row_id", "k", "ref"]) for n in range(1, 5)}
+    levels["l0"] = pd.DataFrame({"k": [f"l0-{i}" for i in range(25)]})
+    con = duckdb.connect()
+    con.register("n", pd.concat([d.assign(t=t) for t, d in levels.items()]))
+    want = con.execute("""WITH RECURSIVE o AS (SELECT t, row_id, k, 0 AS depth FROM n WHERE ref IS NOT NULL AND ref NOT IN (SELECT k FROM n) UNION ALL SELECT n.t, n.row_id, n.k, depth + 1 FROM n JOIN o ON n.ref = o.k)
+     SELECT t, CAST(row_id AS BIGINT), CASE depth WHEN 0 THEN 'direct' ELSE 'inherited' END, depth FROM o""").fetchall()
+    nodes = {t: spark.createDataFrame(d.astype(object).where(d.notna(), None), "k string" if t == "l0" else "row_id long, k string, ref string") for t, d in levels.items()}
+    edges = [Edge(f"l{n}", ["ref"], f"l{n - 1}", ["k"]) for n in range(1, 5)]
+    got = orphan_cascade(nodes, edges)
+    assert sorted((r["table_name"], r["row_id"], r["kind"], r["depth"]) for r in got.collect()) == sorted(want)
+    assert {d for *_, d in want} == {0, 1, 2, 3}
+
+
 def test_direct_orphans(spark):
     child = spark.createDataFrame(
         [(1, "a", "2025-01-10"), (2, "a", "2024-01-10"), (3, "b", "2025-01-10"), (4, None, "2025-01-10"), (5, "a", None), (6, "a", "2025-02-01"), (3, "b", "2025-01-10")], "row_id long, k string, d string"
