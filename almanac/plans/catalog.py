@@ -641,11 +641,14 @@ def _pairs(spark, sf) -> DataFrame:
  SELECT doc, CAST(sum(greatest(coalesce(n.c, 0) - coalesce(p.c, 0), 0)) AS BIGINT) AS added, CAST(sum(greatest(coalesce(p.c, 0) - coalesce(n.c, 0), 0)) AS BIGINT) AS removed, CAST(sum(least(coalesce(n.c, 0), coalesce(p.c, 0))) AS BIGINT) AS kept
  FROM n FULL JOIN p USING (doc, line) GROUP BY 1""")
 def line_bag_diff(spark, sf):
-    side = lambda c: _pairs(spark, sf).select("doc", F.explode(X.compared_lines(F.col(c))).alias("line")).groupBy("doc", "line").agg(F.count("*").alias(c))
-    n, p = F.coalesce("new", F.lit(0)), F.coalesce("old", F.lit(0))
-    return side("new").join(side("old"), ["doc", "line"], "full_outer").groupBy("doc").agg(
-        F.sum(F.greatest(n - p, F.lit(0))).alias("added"), F.sum(F.greatest(p - n, F.lit(0))).alias("removed"), F.sum(F.least(n, p)).alias("kept")
-    )
+    e = lookups.previous_edition(_editions(spark, sf), ["parish"], "day", "doc").where("previous_doc IS NOT NULL").join(_editions(spark, sf), ["parish", "day"])
+    sides = F.array(F.struct(F.col("doc").alias("doc_id"), F.lit(True).alias("is_new")), F.struct(F.col("previous_doc").alias("doc_id"), F.lit(False).alias("is_new")))
+    roles = e.select("doc", F.inline(sides))
+    texts = table(spark, sf, "documents").select("doc_id", "text").join(roles, "doc_id")
+    lines = texts.select("doc", "is_new", F.explode(X.compared_lines(F.col("text"))).alias("line"))
+    both = lines.groupBy("doc", "line").agg(F.count_if("is_new").alias("n"), F.count_if(~F.col("is_new")).alias("p"))
+    n, p = F.col("n"), F.col("p")
+    return both.groupBy("doc").agg(F.sum(F.greatest(n - p, F.lit(0))).alias("added"), F.sum(F.greatest(p - n, F.lit(0))).alias("removed"), F.sum(F.least(n, p)).alias("kept"))
 
 
 @query()
