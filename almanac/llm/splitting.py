@@ -95,9 +95,9 @@ def _line_ends(raw: np.ndarray) -> np.ndarray:
 
 def _abbreviated(raw: np.ndarray, buffer: bytes, at: np.ndarray, words: frozenset[bytes]) -> np.ndarray:
     """Of the places of full stops, those after an abbreviation or a single capital."""
-    letter = (raw >= 0x80) | ((raw | 32) - 97 < 26)
-    edge = np.maximum.accumulate(np.where(letter, -1, np.arange(len(raw))))
-    size = np.where(at > 0, at - 1 - edge[np.maximum(at - 1, 0)], 0)
+    back = raw[np.maximum(at[:, None] - np.arange(1, 8), 0)]
+    other = ~((back >= 0x80) | ((back | 32) - 97 < 26)) | (at[:, None] <= np.arange(7))
+    size = np.where(other.any(1), other.argmax(1), 7)
     out = np.zeros(len(at), bool)
     short = np.flatnonzero((size > 0) & (size <= 6))
     for k, e, n in zip(short.tolist(), at[short].tolist(), size[short].tolist(), strict=True):
@@ -133,11 +133,17 @@ def boundaries(raw: np.ndarray, starts: np.ndarray, abbreviations: frozenset[byt
     buffer = raw.tobytes()
     kind = _CLASS[raw]
     blank = kind == _BLANK
-    solid = np.cumsum(~blank)
+    blanks = np.flatnonzero(blank)
+
+    def solid(at: np.ndarray) -> np.ndarray:
+        """Bytes up to a place that are no blanks."""
+        return at + 1 - np.searchsorted(blanks, at, "right")
+
     lines = _line_ends(raw)
     level = np.full(len(lines), LINE)
     if len(lines) > 1:
-        same = solid[lines[1:]] == solid[lines[:-1]]
+        n = solid(lines)
+        same = n[1:] == n[:-1]
         last = np.append(~same, True)
         level[1:][same] = PARAGRAPH
         lines_end, level = lines[last], level[last]
@@ -162,7 +168,7 @@ def boundaries(raw: np.ndarray, starts: np.ndarray, abbreviations: frozenset[byt
     at, strength = before[some] + 1, np.where(stop[some], SENTENCE, CLAUSE)
     if len(lines) and len(at):  # not where only blanks come before the line's end
         k = np.searchsorted(lines, at)
-        own = (k == len(lines)) | (solid[lines[np.minimum(k, len(lines) - 1)]] > solid[at])
+        own = (k == len(lines)) | (solid(lines[np.minimum(k, len(lines) - 1)]) > solid(at))
         at, strength = at[own], strength[own]
     at, strength = np.concatenate([at, lines_end + 1]), np.concatenate([strength, level])
     standing = _standing(raw, buffer)
@@ -196,45 +202,46 @@ class _Cutter:
     def atoms(self, a: int, b: int, limit: int) -> tuple[list[int], list[int]]:
         """Edges, the tokens ``a`` and ``b`` included, and the strengths of those between."""
         self.limit, self.edges, self.kinds = limit, [a], []
-        self._cut(a, b, bisect_right(self.pos, a), bisect_left(self.pos, b), PARAGRAPH)
+        if b - a > limit:
+            self._cut(a, b, bisect_right(self.pos, a), bisect_left(self.pos, b))
         return [*self.edges, b], self.kinds
 
-    def _add(self, at: int, kind: int) -> None:
-        self.edges.append(at)
-        self.kinds.append(kind)
-
-    def _cut(self, a: int, b: int, lo: int, hi: int, level: int) -> None:
-        if b - a <= self.limit:
+    def _cut(self, a: int, b: int, lo: int, hi: int) -> None:
+        """The run from ``a`` to ``b``, above the limit: at its strongest boundaries, its pieces above the limit at theirs."""
+        pos, strength, limit, edges, kinds = self.pos, self.strength, self.limit, self.edges, self.kinds
+        if lo < hi:
+            level = max(strength[lo:hi])
+            for j in range(lo, hi):
+                if strength[j] == level:
+                    at = pos[j]
+                    if at - a > limit:
+                        self._cut(a, at, lo, j)
+                    edges.append(at)
+                    kinds.append(level)
+                    a, lo = at, j + 1
+            if b - a > limit:
+                self._cut(a, b, lo, hi)
             return
-        pos, strength = self.pos, self.strength
-        while level >= CLAUSE:
-            here = [j for j in range(lo, hi) if strength[j] == level]
-            if here:
-                for j in here:
-                    self._cut(a, pos[j], lo, j, level - 1)
-                    self._add(pos[j], level)
-                    a, lo = pos[j], j + 1
-                self._cut(a, b, lo, hi, level - 1)
-                return
-            level -= 1
         if self._words is None:
             first = _CLASS[self.raw[self.starts]]
             self._words = np.flatnonzero(first == _BLANK).tolist()
         for w in self._words[bisect_right(self._words, a) : bisect_left(self._words, b)]:
-            self._tokens(a, w)
-            self._add(w, WORD)
+            if w - a > limit:
+                self._tokens(a, w)
+            edges.append(w)
+            kinds.append(WORD)
             a = w
-        self._tokens(a, b)
+        if b - a > limit:
+            self._tokens(a, b)
 
     def _tokens(self, a: int, b: int) -> None:
-        if b - a <= self.limit:
-            return
         if self._chars is None:
             self._chars = np.flatnonzero((self.raw[self.starts] & 0xC0) != 0x80).tolist()
         step, last = max(1, self.limit // 8), a
         for c in self._chars[bisect_right(self._chars, a) : bisect_left(self._chars, b)]:
             if c - last >= step:
-                self._add(c, TOKEN)
+                self.edges.append(c)
+                self.kinds.append(TOKEN)
                 last = c
 
 
@@ -281,11 +288,12 @@ class Splitter:
         text, own, end, begin = (np.array(x, np.int64) for x in (text_of, own_of, end_of, begin_of))
         while (inner := (raw[starts[begin]] & 0xC0 == 0x80) & (begin < own)).any():
             begin += inner
-        chars = np.cumsum(raw & 0xC0 != 0x80)
+        inner = np.flatnonzero(raw & 0xC0 == 0x80)
+        char = [x - np.searchsorted(inner, x) for x in (starts[begin], starts[own], starts[first[text]])]
         at = zip(starts[begin].tolist(), ends[end - 1].tolist(), strict=True)
         return text, [
             profile_of, piece_of, begin - first[text], end - first[text], end - begin, own - begin,
-            chars[starts[begin]] - chars[starts[first[text]]], chars[starts[own]] - chars[starts[begin]], kind_of, [buffer[x:y] for x, y in at],
+            char[0] - char[2], char[1] - char[0], kind_of, [buffer[x:y] for x, y in at],
         ]
 
     def pieces(self, text: str, profiles: list[tuple[str, int, int]]) -> list[tuple]:
