@@ -148,7 +148,7 @@ def mix_sizes(sizes: DataFrame, targets: DataFrame, p: MixParameters = MixParame
     quotas = mix_quotas(rows, have, sum(totals.values()))
     of = F.broadcast(spark.createDataFrame([(s, ceil(n / p.block_tokens)) for s, n in have.items()], "source string, _n long"))
     blocked = sizes.join(of, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(p.seed), "_id"), F.col("_n"))).drop("_n")
-    blocks = written(blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    blocks = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     units = written(_units(blocks, quotas, have, p), "units")
     counts: dict[int, dict[str, int]] = {}
     for r in units.groupBy("mix_id", "source").agg(F.count("*").alias("n")).collect():
