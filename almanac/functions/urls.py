@@ -105,7 +105,7 @@ def newsletter_number(url: Column) -> Column:
 def next_newsletter(url: Column, target: Column) -> Column:
     """The number moved on by the whole weeks since the url's own date, by one without a date; what follows the number is dropped."""
     slug = F.element_at(F.split(decoded(part(url, "PATH")), "/"), -1)
-    since = F.coalesce(D.date_in_slug(slug), D.date_in_text(slug))
+    since = F.get(F.transform(F.array(slug), lambda x: F.coalesce(D.date_in_slug(x), D.date_in_text(x))), F.lit(0))  # in a lambda, else the generated code is too large
     weeks = F.when(since.isNull(), F.lit(1)).otherwise(F.greatest(F.lit(0), F.floor(F.datediff(target, since) / 7)).cast("int"))
     stem = F.regexp_extract(url, r"^(.*?/(?:Newsletters|Weekly-Bulletins)/)\d+/", 1)
     return F.when(newsletter_number(url).isNotNull(), F.concat(stem, (newsletter_number(url) + weeks).cast("string"), F.lit("/"))).otherwise(url)
