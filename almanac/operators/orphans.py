@@ -62,24 +62,25 @@ def direct_orphans(child: DataFrame, parent: DataFrame, edge: Edge) -> DataFrame
     return child.join(p, on, "left_anti")
 
 
-def orphan_cascade(nodes: dict[str, DataFrame], edges: list[Edge], id_col: str = "row_id", max_rounds: int | None = None) -> DataFrame:
-    """Fixpoint over the foreign-key graph: ``table_name, <id_col>, edge, kind (direct | inherited), depth``.
+def orphan_cascade(nodes: dict[str, DataFrame], edges: list[Edge], id_col: str = "row_id", max_rounds: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fixpoint over the foreign-key graph: ``table_name, <id_col>, edge, kind (direct | inherited), depth`` and the columns ``keep`` of the orphaned rows.
 
     A row is a *direct* orphan (depth 0) by an edge whose reference nothing answers. It *inherits* when its
     reference is answered by orphaned rows only. Each round semi-joins the children of the newly orphaned
     rows; the loop ends when a round finds none (cycles end because a row is orphaned once). One row per
     (table, id, edge); the smallest depth wins. ``id_col`` must be unique per table. With ``max_rounds``, rows that
-    are still found after so many rounds are an error.
+    are still found after so many rounds are an error. The columns ``keep`` must be in all tables that refer to others, with equal types; carrying them spares
+    a join back to these tables.
 
     Each round's finds are written to the shared folder, and every ``GATHER`` rounds all finds together, so lineage
     stays short and a lost executor costs one round at most. Only row counts reach the driver.
     """
-    schema_cols = ["table_name", id_col, "edge", "kind", "depth"]
+    schema_cols = ["table_name", id_col, "edge", "kind", "depth", *keep]
 
     def tag(df: DataFrame, edge: Edge, kind: str, depth: int) -> DataFrame:
         return df.select(
             F.lit(edge.child).alias("table_name"), F.col(id_col).cast("long").alias(id_col),
-            F.lit(edge.name or f"{edge.child}->{edge.parent}").alias("edge"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"),
+            F.lit(edge.name or f"{edge.child}->{edge.parent}").alias("edge"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), *keep,
         )
 
     found = written(

@@ -69,29 +69,19 @@ WEEK_EDGES = [
 ]
 
 
-def _periods(nodes: dict[str, DataFrame], edges: list[Edge]) -> DataFrame:
-    """``table_name, row_id, period`` of the rows of all referring tables."""
-    days = None
-    for t in dict.fromkeys(e.child for e in edges):
-        part = nodes[t].select(F.lit(t).alias("table_name"), F.col("row_id").cast("long").alias("row_id"), F.date_format("day", "yyyy-MM").alias("period"))
-        days = part if days is None else days.unionByName(part)
-    return days
+def _orphans(spark: SparkSession, sf: str, edges: list[Edge]) -> DataFrame:
+    """Orphans with their period."""
+    return orphan_cascade(_nodes(spark, sf), edges, keep=("day",)).withColumn("period", F.date_format("day", "yyyy-MM"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _nodes(spark, sf)
-    found = orphan_cascade(nodes, REGISTRY_EDGES).where("kind = 'direct'").select("table_name", "row_id")
-    return found.join(_periods(nodes, REGISTRY_EDGES), ["table_name", "row_id"]).select("table_name", "period", "row_id")
+    return _orphans(spark, sf, REGISTRY_EDGES).where("kind = 'direct'").select("table_name", "period", "row_id")
 
 
 def p5_orphan_report(spark: SparkSession, sf: str) -> DataFrame:
     """Direct and inherited orphans per table, edge and month, over the whole foreign-key graph."""
-    nodes = _nodes(spark, sf)
-    edges = REGISTRY_EDGES + WEEK_EDGES
-    found = orphan_cascade(nodes, edges)
-    days = _periods(nodes, edges)
     return (
-        found.join(days, ["table_name", "row_id"])
+        _orphans(spark, sf, REGISTRY_EDGES + WEEK_EDGES)
         .groupBy("table_name", "edge", "period")
         .agg(
             F.count_if(F.col("kind") == "direct").alias("direct"),
